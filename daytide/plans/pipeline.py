@@ -1,0 +1,101 @@
+"""The whole run, from an event table to labelled user-days and reports."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+
+from daytide import schema
+from daytide.operators import daily, eda, hmm, normalize, states
+from daytide.operators.features import user_day_features
+from daytide.session import stage
+from daytide.sources import sinks
+
+
+def features_from_events(
+    events: DataFrame,
+    start_date: str | None = None,
+    end_date: str | None = None,
+    offset_hours: int = schema.UTC_OFFSET_HOURS,
+    crowd_limit: int | None = None,
+    **filters,
+) -> DataFrame:
+    """Event rows -> 17-column user-day features, one lazy plan with two exchanges.
+
+    ``crowd_limit`` first counts events per minute chunk (one extra narrow scan) and
+    splits chunks above the limit; give it when one user may be that busy.
+    """
+    kept = daily.filter_events(events, start_date, end_date, offset_hours, **filters)
+    local = daily.local_events(kept, offset_hours)
+    crowded = None
+    if crowd_limit is not None:
+        found = daily.crowded_chunks(local, crowd_limit)
+        crowded = None if found.isEmpty() else found
+    return user_day_features(daily.user_day_base(local, crowded=crowded))
+
+
+@dataclass
+class Run:
+    features: DataFrame
+    stats: DataFrame
+    sequences: DataFrame
+    fit: hmm.HmmFit
+    labelled: DataFrame
+    profile: DataFrame
+
+
+def run(
+    events: DataFrame,
+    start_date: str | None = None,
+    end_date: str | None = None,
+    n_states: int = 4,
+    min_train_days: int = 3,
+    max_iter: int = 150,
+    crowd_limit: int | None = 20_000_000,
+    seed: int = 42,
+) -> Run:
+    """All stages in order. Tables read by several passes are staged in the shared folder."""
+    features = stage(
+        features_from_events(events, start_date, end_date, crowd_limit=crowd_limit), "features"
+    )
+    stats = stage(normalize.fit_stats(features), "stats")
+    sequences = hmm.staged_sequences(normalize.transform(features, stats))
+    fit = hmm.fit(sequences, n_states, min_train_days, max_iter, seed=seed)
+    with_state = states.attach_states(features, hmm.decode(sequences, fit.params))
+    labelled = stage(states.label_user_days(stage(with_state, "states")), "labelled")
+    return Run(features, stats, sequences, fit, labelled, states.state_profile(labelled))
+
+
+def write_run(run: Run, path: str, min_train_days: int = 3) -> None:
+    """Write every output table of a run below ``path``."""
+    spark = run.features.sparkSession
+    k = run.fit.params.states
+    tables = hmm.parameter_tables(spark, run.fit.params)
+    steps = {
+        "transition_matrix": tables["transitions"],
+        "transition_matrix_2step": states.two_step_transitions(tables["transitions"]),
+    }
+    sinks.write_table(run.labelled, f"{path}/user_day_with_state")
+    sinks.write_json(run.stats, f"{path}/stats")
+    sinks.write_csv(run.profile, f"{path}/state_profile")
+    sinks.write_csv(tables["means"], f"{path}/state_means_z")
+    sinks.write_csv(tables["covars"], f"{path}/state_covars_z")
+    for name, cells in steps.items():
+        sinks.write_matrix_csv(
+            cells, "from_state", "to_state", "p", list(range(k)), f"{path}/{name}", "state_"
+        )
+    hmm.save_params(spark, run.fit.params, f"{path}/model")
+    summary = hmm.run_summary(run.features, run.sequences, run.fit, min_train_days)
+    sinks.write_json(summary, f"{path}/model_summary")
+
+
+def write_eda(features: DataFrame, path: str) -> None:
+    """Write the feature, daily and correlation summaries and the dataset metadata."""
+    corr = eda.correlation_long(features)
+    sinks.write_csv(eda.feature_summary(features), f"{path}/feature_summary")
+    sinks.write_csv(eda.daily_summary(features).orderBy("bet_date"), f"{path}/daily_summary")
+    sinks.write_matrix_csv(
+        corr, "feature_a", "feature_b", "corr", schema.MODEL_FEATURES, f"{path}/correlation"
+    )
+    sinks.write_json(eda.dataset_metadata(features), f"{path}/metadata")
