@@ -17,10 +17,7 @@ the group is small). A rank outside its bracket raises instead of giving a wrong
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, or_
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,32 +38,33 @@ def exact_quantiles(
     margin = 2.0 / accuracy
     x = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL")
 
-    cuts = []
-    for p in probs.values():
-        cuts += [F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0))]
-    brackets = x.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("_x", F.array(*cuts), F.lit(accuracy)).alias("_cut"),
-    )
-
-    def edge(i: int, open_end: bool, infinite: str) -> Column:
-        free = F.lit(open_end) | (F.col("n") <= small_group)
-        return F.when(free, F.lit(float(infinite))).otherwise(F.col("_cut")[i])
-
-    los, his = [], []
+    cuts, edges, steps, inside = [], [], [], []
     for i, p in enumerate(probs.values()):
-        los.append(edge(2 * i, p - margin <= 0, "-inf").alias(f"_lo{i}"))
-        his.append(edge(2 * i + 1, p + margin >= 1, "inf").alias(f"_hi{i}"))
-    brackets = brackets.select(*keys, "n", *los, *his)
+        cuts += [f"{max(p - margin, 0.0)!r}D", f"{min(p + margin, 1.0)!r}D"]
+        first, last = str(p - margin <= 0), str(p + margin >= 1)
+        small = f"n <= {small_group}"
+        edges += [
+            f"if({first} OR {small}, double('-Infinity'), _cut[{2 * i}]) AS _lo{i}",
+            f"if({last} OR {small}, double('Infinity'), _cut[{2 * i + 1}]) AS _hi{i}",
+        ]
+        steps.append(f"int(_x >= _lo{i}) + int(_x > _hi{i})")
+        inside.append(f"_x BETWEEN _lo{i} AND _hi{i}")
+    brackets = (
+        x.groupBy(*keys)
+        .agg(
+            F.count("*").alias("n"),
+            F.expr(f"percentile_approx(_x, array({', '.join(cuts)}), {accuracy})").alias("_cut"),
+        )
+        .selectExpr(*keys, "n", *edges)
+    )
 
-    v = F.col("_x")
-    span = range(len(probs))
-    steps = [(v >= F.col(f"_lo{i}")).cast("int") for i in span]
-    steps += [(v > F.col(f"_hi{i}")).cast("int") for i in span]
-    inside = reduce(or_, [v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in span])
+    # Values between brackets share one slot, so they collapse to a count per gap.
     counted = (
         x.join(F.broadcast(brackets), keys)
-        .groupBy(*keys, "n", reduce(add, steps).alias("_slot"), F.when(inside, v).alias("_v"))
+        .selectExpr(
+            *keys, "n", f"{' + '.join(steps)} AS _slot", f"if({' OR '.join(inside)}, _x, NULL) AS _v"
+        )
+        .groupBy(*keys, "n", "_slot", "_v")
         .agg(F.count("*").alias("_c"))
     )
 
@@ -75,22 +73,15 @@ def exact_quantiles(
         "_upto", F.sum("_c").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
     )
 
-    def at(rank: Column) -> Column:
-        covers = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-        return F.max(F.when(covers, F.col("_v")))
-
     picks, outs = [], []
     for i, (name, p) in enumerate(probs.items()):
-        position = (F.col("n") - 1) * F.lit(float(p))
-        picks += [
-            at(F.floor(position)).alias(f"_a{i}"),
-            at(F.ceil(position)).alias(f"_b{i}"),
-        ]
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        ok = a.isNotNull() & b.isNotNull()
+        position = f"((n - 1) * {float(p)!r}D)"
+        for side, rank in (("a", f"floor({position})"), ("b", f"ceil({position})")):
+            covers = f"_upto > {rank} AND _upto - _c <= {rank}"
+            picks.append(F.expr(f"max(if({covers}, _v, NULL))").alias(f"_{side}{i}"))
         outs.append(
-            F.when(ok, a + (b - a) * (position - F.floor(position)))
-            .otherwise(F.raise_error(F.lit(f"rank of {name} outside its bracket")).cast("double"))
-            .alias(name)
+            f"if(_a{i} IS NULL OR _b{i} IS NULL,"
+            f" double(raise_error('rank of {name} outside its bracket')),"
+            f" _a{i} + (_b{i} - _a{i}) * ({position} - floor({position}))) AS `{name}`"
         )
-    return ranked.groupBy(*keys, "n").agg(*picks).select(*keys, "n", *outs)
+    return ranked.groupBy(*keys, "n").agg(*picks).selectExpr(*keys, "n", *outs)

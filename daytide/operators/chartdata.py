@@ -47,7 +47,9 @@ def histogram(features: DataFrame, log: bool = False, bins: int = 60) -> DataFra
         long, ["feature"], "x", {"lo": 0.01, "hi": 0.99, "median": 0.5}
     ).drop("n")
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
-    step = F.floor((clip(x, lo, hi) - lo) / F.nullif((hi - lo) / bins, F.lit(0.0)))
+    # A value within a billionth of a bin below an edge counts as on it, so that the last
+    # bit of a sum does not choose the bin.
+    step = F.floor((clip(x, lo, hi) - lo) / F.nullif((hi - lo) / bins, F.lit(0.0)) + 1e-9)
     # One row of marks per feature; a constant feature has a single bin.
     return (
         long.join(F.broadcast(marks), "feature")

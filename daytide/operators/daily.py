@@ -15,7 +15,6 @@ from daytide import schema
 from daytide.functions.columns import (
     local_timestamp,
     nan_to_null,
-    over_nonzero,
     second_of_day,
     second_steps,
     utc_bounds,
@@ -24,6 +23,15 @@ from daytide.session import stage
 
 EVENT_ORDER = ["ts_local", "event_sort_id", "is_loss"]
 
+# Partial totals that are added up again at every level.
+SUMMED = ("n", "bet", "bets", "payout", "profit")
+EXTREMES = {"balance": "max(balance)", "first_ts": "min(first_ts)", "last_ts": "max(last_ts)"}
+TOTALS = {c: f"sum({c})" for c in SUMMED} | EXTREMES
+
+
+def _aggregate(grouped, **exprs: str) -> DataFrame:
+    return grouped.agg(*(F.expr(sql).alias(name) for name, sql in exprs.items()))
+
 
 def filter_events(
     events: DataFrame,
@@ -139,30 +147,27 @@ def chunk_summaries(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     pieces = _with_pieces(with_chunks(events, chunk_seconds), crowded)
-    runs = (
-        pieces.withColumn("loss_group", F.sum(1 - F.col("is_loss")).over(run))
-        .groupBy(*keys, "loss_group")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("is_loss").alias("losses"),
-            F.sum("bet").alias("bet"),
-            F.count("bet").alias("bets"),
-            F.sum("payout").alias("payout"),
-            F.sum("profit").alias("profit"),
-            F.max("curr_balance").alias("balance"),
-            F.min("ts_local").alias("first_ts"),
-            F.max("ts_local").alias("last_ts"),
-        )
+    runs = _aggregate(
+        pieces.withColumn("loss_group", F.sum(1 - F.col("is_loss")).over(run)).groupBy(
+            *keys, "loss_group"
+        ),
+        n="count(*)",
+        losses="sum(is_loss)",
+        bet="sum(bet)",
+        bets="count(bet)",
+        payout="sum(payout)",
+        profit="sum(profit)",
+        balance="max(curr_balance)",
+        first_ts="min(ts_local)",
+        last_ts="max(ts_local)",
     )
-    return runs.groupBy(*keys).agg(
-        *(F.sum(c).alias(c) for c in ("n", "bet", "bets", "payout", "profit")),
-        F.max("balance").alias("balance"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        F.max("loss_group").alias("breaks"),
-        F.max("losses").alias("longest"),
-        F.coalesce(F.max(F.when(F.col("loss_group") == 0, F.col("losses"))), F.lit(0)).alias("lead"),
-        F.max_by("losses", "loss_group").alias("trail"),
+    return _aggregate(
+        runs.groupBy(*keys),
+        **TOTALS,
+        breaks="max(loss_group)",
+        longest="max(losses)",
+        lead="coalesce(max(if(loss_group = 0, losses, NULL)), 0L)",
+        trail="max_by(losses, loss_group)",
     )
 
 
@@ -182,57 +187,41 @@ def user_day_base(
         .orderBy("chunk", "piece")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    broken = (F.col("breaks") > 0).cast("int")
     # A run that touches chunk borders is numbered by the broken chunks before it: the
     # leading part of a chunk belongs to run r, the trailing part of a broken one to r+1.
-    spans = chunks.withColumn("r", F.coalesce(F.sum(broken).over(earlier), F.lit(0))).withColumn(
+    # The totals of a chunk go with its leading part.
+    parts = chunks.withColumn(
+        "r", F.coalesce(F.sum((F.col("breaks") > 0).cast("int")).over(earlier), F.lit(0))
+    ).withColumn(
         "part",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.col("r"), F.col("lead").alias("len"), F.lit(True).alias("main")),
-                    F.struct(
-                        (F.col("r") + 1).alias("r"),
-                        F.when(F.col("breaks") > 0, F.col("trail")).alias("len"),
-                        F.lit(False).alias("main"),
-                    ),
-                ),
-                lambda p: p["len"].isNotNull(),
-            )
+        F.expr(
+            "explode(if(breaks > 0,"
+            " array(struct(r AS run, lead AS len, true AS main),"
+            "       struct(r + 1 AS run, trail AS len, false AS main)),"
+            " array(struct(r AS run, lead AS len, true AS main))))"
         ),
     )
-
-    def once(name: str):
-        return F.when(F.col("part.main"), F.col(name))
-
-    spans = spans.groupBy("user_id", "bet_date", F.col("part.r").alias("r")).agg(
-        F.sum("part.len").alias("span"),
-        *(F.sum(once(c)).alias(c) for c in ("n", "bet", "bets", "payout", "profit")),
-        F.max("balance").alias("balance"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        F.max("longest").alias("longest"),
+    spans = _aggregate(
+        parts.groupBy("user_id", "bet_date", "part.run"),
+        **{c: f"sum({c}) FILTER (WHERE part.main)" for c in SUMMED},
+        **EXTREMES,
+        span="sum(part.len)",
+        longest="max(longest)",
     )
-    days = spans.groupBy("user_id", "bet_date").agg(
-        *(F.sum(c).alias(c) for c in ("n", "bet", "bets", "payout", "profit")),
-        F.max("balance").alias("balance"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        F.max(F.greatest("span", "longest")).alias("longest"),
+    days = _aggregate(
+        spans.groupBy("user_id", "bet_date"), **TOTALS, longest="max(greatest(span, longest))"
     )
-    seconds = second_steps(F.col("first_ts"), F.col("last_ts")).cast("double")
-    return days.select(
+    seconds = second_steps(F.col("first_ts"), F.col("last_ts"))
+    return days.withColumn("seconds", seconds.cast("double")).selectExpr(
         "user_id",
         "bet_date",
-        F.col("n").alias("bet_count_today"),
-        F.col("bet").alias("bet_amount_today"),
-        over_nonzero(F.col("bet"), F.col("bets").cast("double")).alias("avg_bet_one_time_today"),
-        F.col("payout").alias("payout_today"),
-        F.col("profit").alias("profit_today"),
-        F.when(F.col("bet") > 0, F.col("payout") / F.col("bet")).alias("rtp_day"),
-        F.when(F.col("n") > 1, over_nonzero(seconds, (F.col("n") - 1).cast("double"))).alias(
-            "bet_interval_day"
-        ),
-        F.col("balance").alias("current_balance_day_max"),
-        F.col("longest").alias("max_consecutive_loss_count_today"),
+        "n AS bet_count_today",
+        "bet AS bet_amount_today",
+        "bet / nullif(bets, 0) AS avg_bet_one_time_today",
+        "payout AS payout_today",
+        "profit AS profit_today",
+        "if(bet > 0, payout / bet, NULL) AS rtp_day",
+        "if(n > 1, seconds / nullif(n - 1, 0), NULL) AS bet_interval_day",
+        "balance AS current_balance_day_max",
+        "longest AS max_consecutive_loss_count_today",
     )

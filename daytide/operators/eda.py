@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,29 +35,34 @@ def feature_counts(features: DataFrame, columns: list[str] = FEATURES) -> DataFr
     The zero rate counts missing rows in its denominator. The skew is bias-corrected,
     the deviation is the sample one.
     """
-    x = F.col("x")
-    n = F.count("x")
-    correction = F.sqrt(n.cast("double") * (n - 1)) / F.nullif(n - 2, F.lit(0))
+    long = to_long(clean_features(features, columns), [], columns)
+    sums = {
+        "rows": "count(*)",
+        "n": "count(x)",
+        "zero_count": "count_if(x = 0)",
+        "mean": "avg(x)",
+        "std": "stddev_samp(x)",
+        "min": "min(x)",
+        "max": "max(x)",
+        "g1": "skewness(x)",
+    }
     return (
-        to_long(clean_features(features, columns), [], columns)
-        .groupBy("feature")
-        .agg(
-            F.count("*").alias("rows"),
-            F.count_if(x.isNull()).alias("missing_count"),
-            F.count_if(x == 0).alias("zero_count"),
-            F.avg("x").alias("mean"),
-            F.stddev_samp("x").alias("std"),
-            F.min("x").alias("min"),
-            F.max("x").alias("max"),
-            F.when(
-                n > 2,
-                F.when(F.min("x") == F.max("x"), F.lit(0.0)).otherwise(
-                    F.skewness("x") * correction
-                ),
-            ).alias("skew"),
+        long.groupBy("feature")
+        .agg(*(F.expr(sql).alias(name) for name, sql in sums.items()))
+        .selectExpr(
+            "feature",
+            "rows",
+            "rows - n AS missing_count",
+            "(rows - n) / rows AS missing_rate",
+            "zero_count",
+            "zero_count / rows AS zero_rate",
+            "mean",
+            "std",
+            "min",
+            "max",
+            "CASE WHEN n <= 2 THEN NULL WHEN min = max THEN 0D"
+            " ELSE g1 * sqrt(n * (n - 1D)) / nullif(n - 2, 0) END AS skew",
         )
-        .withColumn("missing_rate", F.col("missing_count") / F.col("rows"))
-        .withColumn("zero_rate", F.col("zero_count") / F.col("rows"))
     )
 
 
@@ -110,39 +113,57 @@ def daily_summary(features: DataFrame) -> DataFrame:
 
 
 def correlation_long(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """(feature_a, feature_b, corr) for all ordered pairs, pairwise complete.
+    """(pos_a, pos_b, feature_a, feature_b, corr) for all ordered pairs, pairwise complete.
 
-    One global aggregate. A pair without variance has no correlation (the built-in
-    ``corr`` would divide by zero there).
+    Every row contributes to 55 running sums per task, which combine map-side. A pair
+    without variance has no correlation (the built-in ``corr`` would divide by zero).
     """
     clean = clean_features(features, columns)
-    aggs, rows = [], []
-    for i, j in combinations(range(len(columns)), 2):
-        a, b = F.col(columns[i]), F.col(columns[j])
-        aggs += [
-            F.covar_pop(a, b).alias(f"c_{i}_{j}"),
-            F.stddev_pop(F.when(b.isNotNull(), a)).alias(f"a_{i}_{j}"),
-            F.stddev_pop(F.when(a.isNotNull(), b)).alias(f"b_{i}_{j}"),
-        ]
-        spread = F.col(f"a_{i}_{j}") * F.col(f"b_{i}_{j}")
-        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"c_{i}_{j}") / spread))
-        r = F.when(spread > 0, r)
-        for p, q in ((i, j), (j, i)):
-            rows.append((p, q, r))
-    for i, c in enumerate(columns):
-        aggs.append(F.stddev_pop(c).alias(f"s_{i}"))
-        rows.append((i, i, F.when(F.col(f"s_{i}") > 0, F.lit(1.0))))
-    cells = [
+    span = range(len(columns))
+    pairs = [
         F.struct(
-            F.lit(p).alias("pos_a"),
-            F.lit(q).alias("pos_b"),
-            F.lit(columns[p]).alias("feature_a"),
-            F.lit(columns[q]).alias("feature_b"),
-            r.alias("corr"),
+            F.lit(i * len(columns) + j).alias("pair"),
+            F.col(columns[i]).alias("a"),
+            F.col(columns[j]).alias("b"),
         )
-        for p, q, r in rows
+        for i in span
+        for j in span[i:]
     ]
-    return clean.agg(*aggs).select(F.inline(F.array(*cells)))
+    spread = F.col("sa") * F.col("sb")
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / spread))
+    upper = (
+        clean.select(F.inline(F.array(*pairs)))
+        .groupBy("pair")
+        .agg(
+            *(
+                f(*(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col(c)) for c in args))
+                .alias(name)
+                for name, f, args in (
+                    ("cov", F.covar_pop, "ab"),
+                    ("sa", F.stddev_pop, "a"),
+                    ("sb", F.stddev_pop, "b"),
+                )
+            )
+        )
+        .select(
+            F.floor(F.col("pair") / len(columns)).cast("int").alias("p"),
+            (F.col("pair") % len(columns)).cast("int").alias("q"),
+            F.when(spread > 0, r).alias("corr"),
+        )
+    )
+    # From here on one row per pair of columns, mirrored to both orders.
+    name = F.array(*(F.lit(c) for c in columns))
+    both = F.array(
+        F.struct(F.col("p").alias("pos_a"), F.col("q").alias("pos_b")),
+        F.struct(F.col("q").alias("pos_a"), F.col("p").alias("pos_b")),
+    )
+    return upper.select(F.inline(F.array_distinct(both)), "corr").select(
+        "pos_a",
+        "pos_b",
+        name[F.col("pos_a")].alias("feature_a"),
+        name[F.col("pos_b")].alias("feature_b"),
+        "corr",
+    )
 
 
 def correlation_wide(corr: DataFrame, columns: list[str] = FEATURES) -> DataFrame:

@@ -6,7 +6,10 @@ Unknown ids, codes, balances and profits are planted through values the rows car
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+def _events_from(table: DataFrame, **columns: str) -> DataFrame:
+    return table.selectExpr(*(f"{sql} AS {name}" for name, sql in columns.items()))
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,68 +17,62 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``props`` is always {"k": number}, so plain text functions replace JSON parsing.
     """
-    t = spark.read.parquet(f"{sf_dir}/events.parquet")
 
-    def k_is(n: int):
-        return F.col("props") == '{"k": %d}' % n
+    def k_is(n: int) -> str:
+        return "props = '{\"k\": %d}'" % n
 
-    bet = F.when(F.col("event_type") == "signup", 0.0).otherwise(F.col("value"))
-    k = F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("int")
-    payout = bet * k / 50.0
-    return t.select(
-        F.col("user_id").cast("string").alias("user_id"),
-        F.when(~k_is(5), F.col("event_id")).cast("string").alias("event_id"),
-        (F.col("event_id") + 1000000).cast("string").alias("bullet_id"),
-        F.col("ts").alias("created_at"),
-        bet.alias("bet"),
-        payout.alias("payout"),
-        F.when(F.col("event_type") != "click", payout - bet).alias("profit"),
-        F.when(~k_is(6), 1000.0 + F.col("value") * 7).alias("curr_balance"),
-        F.when(k_is(0), None)
-        .when(k_is(1), "TST")
-        .when(k_is(2), "B26")
-        .otherwise("A01")
-        .alias("op_code"),
-        F.when(k_is(3), "USD").otherwise("CNY").alias("currency_type"),
-        F.when(k_is(4), "FM02").otherwise("FM01").alias("game_id"),
+    k = "int(substring_index(substring_index(props, ': ', -1), '}', 1))"
+    bet = "if(event_type = 'signup', 0D, value)"
+    payout = f"({bet} * {k} / 50D)"
+    return _events_from(
+        spark.read.parquet(f"{sf_dir}/events.parquet"),
+        user_id="string(user_id)",
+        event_id=f"if({k_is(5)}, NULL, string(event_id))",
+        bullet_id="string(event_id + 1000000)",
+        created_at="ts",
+        bet=bet,
+        payout=payout,
+        profit=f"if(event_type = 'click', NULL, {payout} - {bet})",
+        curr_balance=f"if({k_is(6)}, NULL, 1000D + value * 7)",
+        op_code=f"CASE WHEN {k_is(0)} THEN NULL WHEN {k_is(1)} THEN 'TST' "
+        f"WHEN {k_is(2)} THEN 'B26' ELSE 'A01' END",
+        currency_type=f"if({k_is(3)}, 'USD', 'CNY')",
+        game_id=f"if({k_is(4)}, 'FM02', 'FM01')",
     )
 
 
 def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders``: long gaps between betting days, users with one day to many."""
-    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    bet = F.col("o_totalprice") / 1000
-    payout = bet * (F.col("o_orderkey") % 100) / 50
-    return t.select(
-        F.col("o_custkey").cast("string").alias("user_id"),
-        F.col("o_orderkey").cast("string").alias("event_id"),
-        F.lit(None).cast("string").alias("bullet_id"),
-        F.col("o_orderdate").alias("created_at"),
-        bet.alias("bet"),
-        payout.alias("payout"),
-        F.when(F.col("o_orderstatus") != "P", payout - bet).alias("profit"),
-        (F.col("o_totalprice") / 10).alias("curr_balance"),
-        F.lit("A01").alias("op_code"),
-        F.lit("CNY").alias("currency_type"),
-        F.lit("FM01").alias("game_id"),
+    payout = "(o_totalprice / 1000 * (o_orderkey % 100) / 50)"
+    return _events_from(
+        spark.read.parquet(f"{sf_dir}/orders.parquet"),
+        user_id="string(o_custkey)",
+        event_id="string(o_orderkey)",
+        bullet_id="string(NULL)",
+        created_at="o_orderdate",
+        bet="o_totalprice / 1000",
+        payout=payout,
+        profit=f"if(o_orderstatus = 'P', NULL, {payout} - o_totalprice / 1000)",
+        curr_balance="o_totalprice / 10",
+        op_code="'A01'",
+        currency_type="'CNY'",
+        game_id="'FM01'",
     )
 
 
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` by supplier: the largest table, with many equal timestamps."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    bet = F.col("l_quantity")
-    payout = bet * F.col("l_discount") * 20
-    return t.select(
-        F.col("l_suppkey").cast("string").alias("user_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"),
-        F.col("l_partkey").cast("string").alias("bullet_id"),
-        F.col("l_shipdate").alias("created_at"),
-        bet.alias("bet"),
-        payout.alias("payout"),
-        F.lit(None).cast("double").alias("profit"),
-        F.col("l_extendedprice").alias("curr_balance"),
-        F.lit("A01").alias("op_code"),
-        F.lit("CNY").alias("currency_type"),
-        F.lit("FM01").alias("game_id"),
+    return _events_from(
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
+        user_id="string(l_suppkey)",
+        event_id="concat_ws('-', l_orderkey, l_linenumber)",
+        bullet_id="string(l_partkey)",
+        created_at="l_shipdate",
+        bet="l_quantity",
+        payout="l_quantity * l_discount * 20",
+        profit="double(NULL)",
+        curr_balance="l_extendedprice",
+        op_code="'A01'",
+        currency_type="'CNY'",
+        game_id="'FM01'",
     )
