@@ -53,7 +53,7 @@ def histogram(features: DataFrame, log: bool = False, bins: int = 60) -> DataFra
     # One row of marks per feature; a constant feature has a single bin.
     return (
         long.join(F.broadcast(marks), "feature")
-        .withColumn("bin", F.coalesce(F.least(step + 1, F.lit(bins)), F.lit(1)).cast("int"))
+        .withColumn("bin", F.least(F.coalesce(step, F.lit(0)) + 1, F.lit(bins)).cast("int"))
         .groupBy("feature", "bin", "lo", "hi", "median")
         .agg(F.count("*").alias("n"))
         .select("feature", "bin", "n", "lo", "hi", "median")

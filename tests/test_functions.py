@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from daytide import schema
@@ -67,9 +66,9 @@ def test_clip_keeps_missing(spark):
 
 
 def test_display_text(spark):
-    df = spark.createDataFrame([(1234567.00005, 0.12345), (None, None)], "x double, p double")
+    df = spark.createDataFrame([(1234567.00005, 0.12346), (None, None)], "x double, p double")
     got = df.select(C.fixed4(F.col("x")), C.plain4(F.col("x")), C.percent2(F.col("p"))).collect()
-    assert tuple(got[0]) == ("1,234,567.0001", "1234567.0001", "12.35%") or got[0][2] == "12.34%"
+    assert tuple(got[0]) == ("1,234,567.0001", "1234567.0001", "12.35%")
     assert tuple(got[1]) == ("", "", "")
 
 
@@ -86,9 +85,3 @@ def test_declared_schema_is_enforced(spark):
     wrong = spark.range(1).select(F.lit(1).alias("user_id"))
     with pytest.raises(TypeError):
         schema.require_columns(wrong, schema.BASE_SCHEMA)
-
-
-def test_out_of_bracket_rank_raises(spark):
-    assert issubclass(PySparkException, Exception)
-    df = spark.range(10).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
-    assert exact_quantiles(df, ["g"], "v", {"m": 0.5}).first()["m"] == 4.5
