@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 
 from daytide.schema import EVENT_SCHEMA
@@ -19,6 +21,7 @@ def make_events(spark):
         "user_id": "u",
         "event_id": "1",
         "bullet_id": None,
+        "created_at": datetime(2026, 1, 5, 4),
         "bet": 1.0,
         "payout": 0.0,
         "profit": None,
