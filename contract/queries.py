@@ -165,12 +165,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    grouped = daily.loss_groups(local(spark, sf_dir, "lineitem"))
-    return (
-        grouped.where("is_loss = 1")
-        .groupBy("user_id", "bet_date", "loss_group")
-        .agg(F.count("*").alias("run_length"))
-    )
+    return daily.loss_runs(daily.loss_groups(local(spark, sf_dir, "lineitem")))
 
 
 def _base_query(name, source, columns=None, **kw):
@@ -773,22 +768,19 @@ def fitted(spark, sf_dir):
 def _(spark, sf_dir):
     """Fit, decode, attach to the raw features and label: the flagship run."""
     table, seqs, result = fitted(spark, sf_dir)
-    with_state = states.attach_states(table, hmm.decode(seqs, result.params))
-    return states.label_user_days(stage(with_state, "states"))
+    return states.label_decoded(table, hmm.decode(seqs, result.params))
 
 
 @register("hmm_state_profile")
 def _(spark, sf_dir):
     table, seqs, result = fitted(spark, sf_dir)
-    with_state = stage(states.attach_states(table, hmm.decode(seqs, result.params)), "states")
-    return states.state_profile(stage(states.label_user_days(with_state), "labelled"))
+    labelled_days = states.label_decoded(table, hmm.decode(seqs, result.params))
+    return states.state_profile(stage(labelled_days, "labelled"))
 
 
-@register("hmm_parameters")
-def _(spark, sf_dir):
-    """(kind, state, item, value) of every fitted parameter."""
-    *_, result = fitted(spark, sf_dir)
-    tables = hmm.parameter_tables(spark, result.params)
+def parameter_rows(spark, params: HmmParams) -> DataFrame:
+    """(kind, state, item, value) of every parameter."""
+    tables = hmm.parameter_tables(spark, params)
     parts = [
         tables["start"].selectExpr("'start' AS kind", "hmm_state AS state", "'p' AS item", "p AS value"),
         tables["transitions"].selectExpr("'transition'", "from_state", "string(to_state)", "p"),
@@ -805,6 +797,29 @@ def _(spark, sf_dir):
     return out
 
 
+@register("hmm_parameters")
+def _(spark, sf_dir):
+    *_, result = fitted(spark, sf_dir)
+    return parameter_rows(spark, result.params)
+
+
+def _em_query(name, source, min_days):
+    @register(name, O.em_step_sql(_plain(fixed_params()), source, min_days))
+    def _(spark, sf_dir):
+        """One EM step from fixed parameters: log-likelihood before, parameters after."""
+        train = sequences(spark, sf_dir, source)[1].where(F.col("days") >= min_days)
+        counts = hmm.expectation(train, fixed_params())
+        loglik, params = hmm.maximization(counts, fixed_params())
+        before = spark.createDataFrame(
+            [("loglik", 0, "", loglik)], "kind string, state int, item string, value double"
+        )
+        return before.union(parameter_rows(spark, params))
+
+
+_em_query("hmm_em_step", "events", 3)
+_em_query("hmm_em_step_orders", "orders", 8)
+
+
 @register("hmm_history")
 def _(spark, sf_dir):
     *_, result = fitted(spark, sf_dir)

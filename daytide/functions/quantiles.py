@@ -28,12 +28,14 @@ def exact_quantiles(
     probs: dict[str, float],
     accuracy: int = 20_000,
     small_group: int = 100_000,
+    max_groups: int = 10_000,
 ) -> DataFrame:
     """One row per group: keys, ``n`` and one linearly interpolated quantile per name.
 
     ``keys`` must form few groups (features, states): one bracket row per group is
-    broadcast. Missing values are skipped. The input is scanned twice, so stage it
-    when it is expensive. Groups of at most ``small_group`` rows skip the brackets.
+    broadcast, and more than ``max_groups`` of them raise. Missing values are skipped.
+    The input is scanned twice, so stage it when it is expensive. Groups of at most
+    ``small_group`` rows skip the brackets.
     """
     margin = 2.0 / accuracy
     x = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL")
@@ -55,6 +57,9 @@ def exact_quantiles(
             F.count("*").alias("n"),
             F.expr(f"percentile_approx(_x, array({', '.join(cuts)}), {accuracy})").alias("_cut"),
         )
+        # one row per group reaches this window
+        .withColumn("_groups", F.count("*").over(Window.partitionBy()))
+        .where(f"if(_groups > {max_groups}, raise_error('too many groups'), true)")
         .selectExpr(*keys, "n", *edges)
     )
 

@@ -41,23 +41,32 @@ def filter_events(
     excluded_op_codes=schema.EXCLUDED_OP_CODES,
     currency: str | None = schema.CURRENCY,
     game: str | None = schema.GAME,
+    utc_date_column: str | None = None,
 ) -> DataFrame:
     """Events of the wanted local dates [start, end), game and currency.
 
     The date range is turned into bounds on the raw ``created_at``, so it reaches the
-    scan. An unknown (NULL) op_code is dropped, as ``NOT IN`` does.
+    scan. If the table is partitioned by UTC date, name that column: folders outside the
+    range are then not listed or read. An unknown (NULL) op_code is dropped, as
+    ``NOT IN`` does.
     """
     out = events.where(~F.col("op_code").isin(*excluded_op_codes))
     if currency is not None:
         out = out.where(F.col("currency_type") == currency)
     if game is not None:
         out = out.where(F.col("game_id") == game)
+    at = F.col("created_at")
+    day = None if utc_date_column is None else F.col(utc_date_column)
     if start_date is not None:
         lo, _ = utc_bounds(start_date, start_date, offset_hours)
-        out = out.where(F.col("created_at") >= F.lit(str(lo)).cast("timestamp_ntz"))
+        out = out.where(at >= F.lit(str(lo)).cast("timestamp_ntz"))
+        if day is not None:
+            out = out.where(day >= F.lit(lo.date()))
     if end_date is not None:
         _, hi = utc_bounds(end_date, end_date, offset_hours)
-        out = out.where(F.col("created_at") < F.lit(str(hi)).cast("timestamp_ntz"))
+        out = out.where(at < F.lit(str(hi)).cast("timestamp_ntz"))
+        if day is not None:
+            out = out.where(day <= F.lit(hi.date()))
     return out
 
 
@@ -87,19 +96,6 @@ def local_events(events: DataFrame, offset_hours: int = schema.UTC_OFFSET_HOURS)
     )
 
 
-def loss_groups(events: DataFrame) -> DataFrame:
-    """Running count of non-losing events per user-day: constant along a losing run.
-
-    Orders each user-day in one task; ``user_day_base`` does not need this form.
-    """
-    run = (
-        Window.partitionBy("user_id", "bet_date")
-        .orderBy(*EVENT_ORDER)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return events.withColumn("loss_group", F.sum(1 - F.col("is_loss")).over(run))
-
-
 def with_chunks(events: DataFrame, chunk_seconds: int) -> DataFrame:
     chunk = F.floor(second_of_day(F.col("ts_local")) / chunk_seconds)
     return events.withColumn("chunk", chunk.cast("int"))
@@ -132,6 +128,59 @@ def _with_pieces(events: DataFrame, crowded: DataFrame | None) -> DataFrame:
     return calm.unionByName(split)
 
 
+CHUNK_KEYS = ["user_id", "bet_date", "chunk", "piece"]
+
+
+def _chunk_runs(pieces: DataFrame) -> DataFrame:
+    """Running count of non-losing events within each chunk: constant along a run."""
+    run = (
+        Window.partitionBy(*CHUNK_KEYS)
+        .orderBy(*EVENT_ORDER)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return pieces.withColumn("loss_group", F.sum(1 - F.col("is_loss")).over(run))
+
+
+def loss_groups(
+    events: DataFrame, chunk_seconds: int = 60, crowded: DataFrame | None = None
+) -> DataFrame:
+    """Events with the running count of non-losing events of their user-day.
+
+    A prefix sum over chunks: counts per chunk are added up per user-day and joined back
+    to the events, which only ever are ordered within their chunk.
+    """
+    pieces = _with_pieces(with_chunks(events, chunk_seconds), crowded)
+    if crowded is not None:
+        # Both uses below must see the same range partitions.
+        pieces = stage(pieces, "pieces")
+    earlier = (
+        Window.partitionBy("user_id", "bet_date")
+        .orderBy("chunk", "piece")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = (
+        pieces.groupBy(*CHUNK_KEYS)
+        .agg(F.sum(1 - F.col("is_loss")).alias("breaks"))
+        .withColumn("before", F.coalesce(F.sum("breaks").over(earlier), F.lit(0)))
+        .drop("breaks")
+    )
+    return (
+        _chunk_runs(pieces)
+        .join(before, CHUNK_KEYS)
+        .withColumn("loss_group", F.col("loss_group") + F.col("before"))
+        .select(*events.columns, "loss_group")
+    )
+
+
+def loss_runs(grouped: DataFrame) -> DataFrame:
+    """(user_id, bet_date, loss_group, run_length) of the losing events."""
+    return (
+        grouped.where("is_loss = 1")
+        .groupBy("user_id", "bet_date", "loss_group")
+        .agg(F.count("*").alias("run_length"))
+    )
+
+
 def chunk_summaries(
     events: DataFrame, chunk_seconds: int = 60, crowded: DataFrame | None = None
 ) -> DataFrame:
@@ -140,17 +189,9 @@ def chunk_summaries(
     ``lead`` and ``trail`` are the losing runs touching the start and end of the chunk,
     ``breaks`` its number of non-losing events. One exchange, on the grouping keys.
     """
-    keys = ["user_id", "bet_date", "chunk", "piece"]
-    run = (
-        Window.partitionBy(*keys)
-        .orderBy(*EVENT_ORDER)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
     pieces = _with_pieces(with_chunks(events, chunk_seconds), crowded)
     runs = _aggregate(
-        pieces.withColumn("loss_group", F.sum(1 - F.col("is_loss")).over(run)).groupBy(
-            *keys, "loss_group"
-        ),
+        _chunk_runs(pieces).groupBy(*CHUNK_KEYS, "loss_group"),
         n="count(*)",
         losses="sum(is_loss)",
         bet="sum(bet)",
@@ -162,7 +203,7 @@ def chunk_summaries(
         last_ts="max(ts_local)",
     )
     return _aggregate(
-        runs.groupBy(*keys),
+        runs.groupBy(*CHUNK_KEYS),
         **TOTALS,
         breaks="max(loss_group)",
         longest="max(losses)",

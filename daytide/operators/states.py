@@ -57,18 +57,29 @@ def attach_states(features: DataFrame, states: DataFrame) -> DataFrame:
     return features.join(states, ["user_id", "bet_date"])
 
 
-def label_user_days(labelled: DataFrame, churn_days: int = 7) -> DataFrame:
+def label_decoded(features: DataFrame, decoded: DataFrame, churn_days: int = 7) -> DataFrame:
+    """Features joined to (user_id, bet_date, hmm_state) and its labels.
+
+    The windows run on the three narrow columns; the wide features move once, in the join.
+    """
+    return attach_states(features, label_user_days(decoded, churn_days, features))
+
+
+def label_user_days(
+    labelled: DataFrame, churn_days: int = 7, calendar: DataFrame | None = None
+) -> DataFrame:
     """Add duration in state, next betting date, gap and churn proxy.
 
     Durations count betting-day rows. The churn rule is not symmetric: a seen gap needs
     ``churn_days`` idle days, the last row only a date ``churn_days`` before the end.
-    All windows share one exchange by user; a user has one row per day at most.
+    All windows share one exchange by user; a user has one row per day at most. The last
+    date is read from ``calendar`` if that is cheaper to scan than the labelled rows.
     """
     by_day = Window.partitionBy("user_id").orderBy("bet_date")
     so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
     changed = F.lag("hmm_state").over(by_day).eqNullSafe(F.col("hmm_state"))
     next_date = F.col("next_bet_date")
-    last_date = labelled.agg(F.max("bet_date")).scalar()
+    last_date = (labelled if calendar is None else calendar).agg(F.max("bet_date")).scalar()
     return (
         labelled.withColumn("next_bet_date", F.lead("bet_date").over(by_day))
         .withColumn("_row", F.row_number().over(by_day))

@@ -62,8 +62,9 @@ def run(
     stats = stage(normalize.fit_stats(features), "stats")
     sequences = hmm.staged_sequences(normalize.transform(features, stats))
     fit = hmm.fit(sequences, n_states, min_train_days, max_iter, seed=seed)
-    with_state = states.attach_states(features, hmm.decode(sequences, fit.params))
-    labelled = stage(states.label_user_days(stage(with_state, "states")), "labelled")
+    labelled = stage(
+        states.label_decoded(features, hmm.decode(sequences, fit.params)), "labelled"
+    )
     return Run(features, stats, sequences, fit, labelled, states.state_profile(labelled))
 
 
