@@ -20,6 +20,7 @@ from daytide.functions.sequence_kernels import HmmParams
 from daytide.functions.shape import small_table
 from daytide.operators import chartdata, daily, eda, hmm, normalize, states
 from daytide.operators.features import user_day_features, user_day_history
+from daytide.plans import workflow
 from daytide.session import shared_dir, stage
 from daytide.sources import adapters, events, sinks
 
@@ -66,8 +67,12 @@ def local(spark, sf_dir, source="events", **kw):
     return daily.local_events(daily.filter_events(SOURCES[source](spark, sf_dir), **kw))
 
 
+def base(spark, sf_dir, source="events"):
+    return workflow.base_from_events(SOURCES[source](spark, sf_dir))
+
+
 def features(spark, sf_dir, source="events"):
-    return user_day_features(daily.user_day_base(local(spark, sf_dir, source)))
+    return user_day_features(base(spark, sf_dir, source))
 
 
 def staged(spark, sf_dir, source="events"):
@@ -168,7 +173,7 @@ def _(spark, sf_dir):
     return daily.loss_runs(daily.loss_groups(local(spark, sf_dir, "lineitem")))
 
 
-def _base_query(name, source, columns=None, **kw):
+def _base_query(name, source, columns=None):
     picked = columns or schema.BASE_SCHEMA.names
     exprs = ", ".join(
         c
@@ -179,20 +184,39 @@ def _base_query(name, source, columns=None, **kw):
 
     @register(name, O.select(O.base_ctes(source), f"SELECT {exprs} FROM base"))
     def _(spark, sf_dir):
-        rows = local(spark, sf_dir, source)
-        limit = kw.get("crowd_limit")
-        crowded = None if limit is None else daily.crowded_chunks(rows, limit, 43_200)
-        chunk = 60 if limit is None else 43_200
-        base = daily.user_day_base(rows, chunk_seconds=chunk, crowded=crowded)
-        return schema.require_columns(base, schema.BASE_SCHEMA).select(*picked)
+        table = base(spark, sf_dir, source)
+        return schema.require_columns(table, schema.BASE_SCHEMA).select(*picked)
 
 
 KEYS = ["user_id", "bet_date"]
 _base_query("daily_base", "events")
 _base_query("daily_base_orders", "orders")
 _base_query("daily_base_lineitem", "lineitem")
-# Half-day chunks of more than two events are cut by range, to exercise that path.
-_base_query("daily_base_crowded", "lineitem", crowd_limit=2)
+
+
+@register("daily_base_crowded", O.select(O.base_ctes("lineitem"), f"SELECT {O.BASE_COLS} FROM base"))
+def _(spark, sf_dir):
+    """Half-day chunks of more than two events are cut by range, to exercise that path."""
+    rows, half_day = local(spark, sf_dir, "lineitem"), 43_200
+    crowded = daily.crowded_chunks(rows, 2, half_day)
+    return daily.user_day_base(rows, half_day, crowded)
+
+
+@register(
+    "loss_groups_crowded",
+    O.select(
+        O.base_ctes("lineitem"),
+        f"SELECT user_id, bet_date, event_sort_id, {O.big('is_loss')}, {O.big('loss_group')} FROM grouped",
+    ),
+)
+def _(spark, sf_dir):
+    rows, half_day = local(spark, sf_dir, "lineitem"), 43_200
+    crowded = daily.crowded_chunks(rows, 2, half_day)
+    return daily.loss_groups(rows, half_day, crowded).select(
+        "user_id", "bet_date", "event_sort_id", "is_loss", "loss_group"
+    )
+
+
 _base_query(
     "daily_counts",
     "events",
@@ -226,8 +250,7 @@ def _feature_query(name, source, columns=None):
     ),
 )
 def _(spark, sf_dir):
-    base = daily.user_day_base(local(spark, sf_dir, "orders"))
-    return user_day_history(base).select(*KEYS, "prev_bet_date", "no_bet_streak_days")
+    return user_day_history(base(spark, sf_dir, "orders")).select(*KEYS, "prev_bet_date", "no_bet_streak_days")
 
 
 @register(
@@ -238,7 +261,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return user_day_history(daily.user_day_base(local(spark, sf_dir))).select(
+    return user_day_history(base(spark, sf_dir)).select(
         *KEYS, "hist_amount", "hist_count", "hist_single"
     )
 

@@ -5,13 +5,13 @@ task, so one global group of a large table does not fit. Here the work is split
 two distributed passes:
 
 1. a mergeable sketch (``percentile_approx``) brackets each wanted rank between two
-   values; its rank error is at most n/accuracy, the bracket is twice as wide;
+   values; its rank error is at most n/accuracy, the bracket is three times as wide;
 2. values inside a bracket are counted by value, everything between brackets only as
    one count per gap. Both combine map-side, so a value or group that holds a large
    part of the rows costs one row per task.
 
 The last step orders the counted values of a group and reads off the ranks; it sees
-about ``4 * len(probs) / accuracy`` of the rows of the group (all distinct values if
+about ``6 * len(probs) / accuracy`` of the rows of the group (all distinct values if
 the group is small). A rank outside its bracket raises instead of giving a wrong value.
 """
 
@@ -27,7 +27,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     accuracy: int = 20_000,
-    small_group: int = 100_000,
+    small_group: int = 40_000,
     max_groups: int = 10_000,
 ) -> DataFrame:
     """One row per group: keys, ``n`` and one linearly interpolated quantile per name.
@@ -37,7 +37,7 @@ def exact_quantiles(
     The input is scanned twice, so stage it when it is expensive. Groups of at most
     ``small_group`` rows skip the brackets.
     """
-    margin = 2.0 / accuracy
+    margin = 3.0 / accuracy
     x = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL")
 
     cuts, edges, steps, inside = [], [], [], []

@@ -13,26 +13,36 @@ from daytide.session import stage
 from daytide.sources import sinks
 
 
-def features_from_events(
+# A task orders this many events of one chunk without trouble.
+CROWD_LIMIT = 20_000_000
+
+
+def base_from_events(
     events: DataFrame,
     start_date: str | None = None,
     end_date: str | None = None,
     offset_hours: int = schema.UTC_OFFSET_HOURS,
-    crowd_limit: int | None = None,
+    crowd_limit: int | None = CROWD_LIMIT,
     **filters,
 ) -> DataFrame:
-    """Event rows -> 17-column user-day features, one lazy plan with two exchanges.
+    """Event rows -> user-day base, one lazy plan with two exchanges.
 
-    ``crowd_limit`` first counts events per minute chunk (one extra narrow scan) and
-    splits chunks above the limit; give it when one user may be that busy.
+    Chunks of more than ``crowd_limit`` events are looked for and split. A table of fewer
+    rows cannot have one: its count comes from the file footers, and the search (a scan
+    of few columns, combined map-side) is skipped. None never searches.
     """
     kept = daily.filter_events(events, start_date, end_date, offset_hours, **filters)
     local = daily.local_events(kept, offset_hours)
     crowded = None
-    if crowd_limit is not None:
+    if crowd_limit is not None and events.count() > crowd_limit:
         found = daily.crowded_chunks(local, crowd_limit)
         crowded = None if found.isEmpty() else found
-    return user_day_features(daily.user_day_base(local, crowded=crowded))
+    return daily.user_day_base(local, crowded=crowded)
+
+
+def features_from_events(events: DataFrame, *args, **kwargs) -> DataFrame:
+    """Event rows -> 17-column user-day features; arguments as for the base."""
+    return user_day_features(base_from_events(events, *args, **kwargs))
 
 
 @dataclass
@@ -52,7 +62,7 @@ def run(
     n_states: int = 4,
     min_train_days: int = 3,
     max_iter: int = 150,
-    crowd_limit: int | None = 20_000_000,
+    crowd_limit: int | None = CROWD_LIMIT,
     seed: int = 42,
 ) -> Run:
     """All stages in order. Tables read by several passes are staged in the shared folder."""

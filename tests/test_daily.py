@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daytide import schema
 from daytide.operators import daily
-from daytide.plans.pipeline import features_from_events
+from daytide.plans.workflow import features_from_events
 
 NOON = datetime(2026, 1, 5, 4)  # local noon
 
@@ -188,7 +188,7 @@ def test_crowded_chunks_are_split_without_changing_results(spark, make_events):
     assert got == expected_runs(rows)
 
 
-def test_pipeline_with_and_without_crowd_limit_agree(make_events):
+def test_workflow_with_and_without_crowd_limit_agree(make_events):
     events = make_events(random_events(6, 800))
     plain = features_from_events(events)
     split = features_from_events(events, crowd_limit=15)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daytide import schema
-from daytide.plans import pipeline
+from daytide.plans import workflow
 from daytide.session import stage
 from daytide.sources import events, sinks
 from tests.test_daily import random_events
@@ -76,12 +76,12 @@ def test_lookup_compares_ids_as_text(make_events):
 
 
 def test_whole_run_writes_every_table(spark, make_events, tmp_path):
-    run = pipeline.run(make_events(random_events(9, 600)), n_states=2, max_iter=3, crowd_limit=50)
+    run = workflow.run(make_events(random_events(9, 600)), n_states=2, max_iter=3, crowd_limit=50)
     assert run.labelled.count() == run.features.count()
     assert run.profile.agg(F.sum("rows")).first()[0] == run.features.count()
     assert run.profile.agg(F.sum("row_share")).first()[0] == pytest.approx(1.0)
-    pipeline.write_run(run, str(tmp_path / "run"))
-    pipeline.write_eda(run.features, str(tmp_path / "eda"))
+    workflow.write_run(run, str(tmp_path / "run"))
+    workflow.write_eda(run.features, str(tmp_path / "eda"))
     (summary,) = spark.read.json(str(tmp_path / "run" / "model_summary")).collect()
     assert summary["rows"] == run.features.count() and summary["iterations"] <= 3
     names = {p.name for p in (tmp_path / "run").iterdir()} | {p.name for p in (tmp_path / "eda").iterdir()}
