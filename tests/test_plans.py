@@ -1,8 +1,10 @@
 """Physical plans keep the shape that makes them scale."""
 
 import re
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from contract import queries as Q
 from daytide.operators import daily, eda, hmm, normalize
@@ -97,3 +99,16 @@ def test_decode_is_a_narrow_arrow_pass(spark):
     sequences = Q.sequences(spark, SF)[1]
     plan = plan_of(hmm.decode(sequences, Q.fixed_params()))
     assert "MapInArrow" in plan and exchanges(plan) == []
+
+
+def test_date_folders_outside_the_range_are_pruned(spark, tmp_path, make_events):
+    path = str(tmp_path / "by-day")
+    rows = [{"event_id": str(d), "created_at": datetime(2026, 1, d, 12)} for d in (3, 4, 5, 6, 7)]
+    table = make_events(rows).withColumn("day", F.to_date("created_at"))
+    table.write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    kept = daily.filter_events(stored, "2026-01-05", "2026-01-06", utc_date_column="day")
+    assert kept.inputFiles() and [r["event_id"] for r in kept.collect()] == ["5"]
+    plan = plan_of(kept)
+    filters = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert ">= 2026-01-04" in filters and "<= 2026-01-05" in filters

@@ -1,12 +1,13 @@
 import json
 from datetime import date, datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from daytide import schema
 from daytide.plans import workflow
-from daytide.session import stage
+from daytide.session import shared_dir, stage
 from daytide.sources import events, sinks
 from tests.test_daily import random_events
 from tests.test_features import base_frame
@@ -53,6 +54,19 @@ def test_stage_cuts_the_plan_and_keeps_the_schema(spark):
     assert back.count() == 10
 
 
+@pytest.mark.parametrize("master, allowed", [("local[4]", True), ("spark://host:7077", False)])
+def test_folder_is_made_up_only_for_local_sessions(master, allowed):
+    context = SimpleNamespace(master=master, applicationId="app")
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context
+    )
+    if allowed:
+        assert shared_dir(session) == shared_dir(session)
+    else:
+        with pytest.raises(RuntimeError):
+            shared_dir(session)
+
+
 def test_jdbc_options():
     options = events.jdbc_options("jdbc:x://h/d", "events", "created_at", "2026-01-01", "2026-02-01", 64)
     assert options["fetchsize"] == "50000" and options["numPartitions"] == "64"
