@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,25 @@ def local_session(cores: int | str = 8, app: str = "daytide", memory: str = "8g"
 
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of all executors this package, once per application.
+
+    Kernels are pickled by reference, so the workers import them. The archive is made on
+    the driver, whose file server hands it out, as for ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="daytide-py-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +71,7 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     prune columns and push filters into parquet.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
