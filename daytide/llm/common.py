@@ -9,12 +9,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daytide.session import ship_package
+
 #: Stands for a missing doc_id inside kernels; such documents come before all others.
 NO_ID = -(2**63)
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id long, text string) of a document frame; every other column is left behind."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytide.llm import oracle
-from daytide.llm import substring_dedup
+from daytide.llm import decontaminate, near_dedup, secrets, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,37 @@ def op1_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    """Words of every document that windows of benchmark items cover."""
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op8_near_dedup(spark, sf_dir):
+    """Components of documents that share four fifths of their four-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op9_secret_scan(spark, sf_dir):
+    """Secrets of every document: base kinds, and strings of high entropy."""
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    base, spans = secrets.listed(F.col("base")), secrets.listed(F.col("spans"))
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 QUERIES = [
     op1_substring_dedup,
+    op2_decontaminate,
+    op8_near_dedup,
+    op9_secret_scan,
 ]
 
 
