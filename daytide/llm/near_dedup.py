@@ -40,11 +40,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytide.llm.common import NO_ID, texts
-from daytide.llm.words import Words
+from daytide.llm.words import Words, parts
 from daytide.session import stage
 
 ROUNDS = 3
-ROWS = 500
 
 
 def shingle_sets(column, n: int) -> Iterator[np.ndarray]:
@@ -73,30 +72,26 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 def _sketches(n: int, k: int):
     def kernel(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                sets = list(shingle_sets(batch["text"], n))
-                yield pa.record_batch(
-                    [
-                        batch["doc_id"],
-                        pa.array(map(len, sets), pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
-                        _lists([s[:k] for s in sets]),
-                    ],
-                    names=["doc_id", "n_shingles", "class", "sketch"],
-                )
+        for batch in parts(batches):
+            sets = list(shingle_sets(batch["text"], n))
+            yield pa.record_batch(
+                [
+                    batch["doc_id"],
+                    pa.array(map(len, sets), pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
+                    _lists([s[:k] for s in sets]),
+                ],
+                names=["doc_id", "n_shingles", "class", "sketch"],
+            )
 
     return kernel
 
 
 def _full_sets(n: int):
     def kernel(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                sets = _lists(list(shingle_sets(batch["text"], n)))
-                yield pa.record_batch([batch["doc_id"], sets], names=["rep", "shingles"])
+        for batch in parts(batches):
+            sets = _lists(list(shingle_sets(batch["text"], n)))
+            yield pa.record_batch([batch["doc_id"], sets], names=["rep", "shingles"])
 
     return kernel
 

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytide.llm import oracle
-from daytide.llm import decontaminate, near_dedup, secrets, substring_dedup
+from daytide.llm import (
+    decontaminate,
+    fingerprint,
+    langid,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    substring_dedup,
+    toxicity,
+    warc,
+)
+from daytide.llm.common import held_out
+from daytide.session import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +47,41 @@ def op2_decontaminate(spark, sf_dir):
     )
 
 
+def op3_quality(spark, sf_dir):
+    """Quality score of every document."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, compared with each other and the next."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    """Every document's token pieces with their place in sequences of 2048 tokens."""
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_warc(spark, sf_dir):
+    """Every page written to an archive and read back."""
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    out = warc.read_archive(spark, path)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_near_dedup(spark, sf_dir):
     """Components of documents that share four fifths of their four-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
@@ -45,11 +95,24 @@ def op9_secret_scan(spark, sf_dir):
     return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op10_language_id(spark, sf_dir):
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.learn(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = [
     op1_substring_dedup,
     op2_decontaminate,
+    op3_quality,
+    op4_fingerprints,
+    op5_toxicity,
+    op6_best_fit_packing,
+    op7_warc,
     op8_near_dedup,
     op9_secret_scan,
+    op10_language_id,
 ]
 
 

@@ -133,3 +133,17 @@ class Words:
         number = self.text_number()
         inside = number[: len(out)] == number[n - 1 :] if len(out) else np.zeros(0, bool)
         return mixed(out + np.uint64(n)), inside
+
+
+def parts(batches, column: str = "text", limit: int = 4 << 20):
+    """Record batches cut to about ``limit`` bytes of text each, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end
