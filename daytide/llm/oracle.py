@@ -96,3 +96,85 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
   d.doc_id <= coalesce(y, d.doc_id) AS kept
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)
 """
+
+_INSIDE = "A-Za-z0-9+/_=-"
+# kind, rank, pattern, group, and what a match must fulfil
+_BASE = [
+    (
+        "assign",
+        0,
+        r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        "length(body) >= 6",
+    ),
+    ("access", 1, "AKIA[A-Z0-9]+", 0, "length(body) >= 20"),
+    ("hex", 2, "[0-9a-f]+", 0, "length(body) >= 24"),
+    ("run", 9, f"[{_INSIDE}]+", 0, "length(body) >= 20"),
+]
+
+
+def _matches(kind: str, rank: int, pattern: str, group: int, ok: str) -> str:
+    """Matches with their places: running lengths of the gaps and the matches before."""
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {rank} AS rank, body, CAST(stop - length(found) AS BIGINT) AS start,
+    CAST(stop AS BIGINT) AS stop
+  FROM (
+    SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+    FROM (
+      SELECT doc_id, unnest(found) AS found, unnest(body) AS body, unnest(gap[:len(found)]) AS gap,
+        generate_subscripts(found, 1) AS i
+      FROM (
+        SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found,
+          regexp_extract_all(text, '{pattern}', {group}) AS body, string_split_regex(text, '{pattern}') AS gap
+        FROM d
+      )
+    )
+  ) WHERE {ok}"""
+
+
+SQL["op9_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({" UNION ALL ".join(_matches(*k) for k in _BASE[:3])}),
+runs AS (
+  SELECT *, string_split(body, '') AS chars, regexp_full_match(body, '[0-9A-Fa-f]+') AS hexed
+  FROM ({_matches(*_BASE[3])})
+  WHERE NOT regexp_matches(body, '(?i)example|sample|dummy|placeholder|x{{6}}|0123456789|abcdefgh')
+),
+varied AS (
+  SELECT * FROM runs
+  WHERE NOT list_contains(list_transform(range(1, len(chars) - 6), lambda i: list_unique(chars[i:i + 7])), 1)
+),
+candidate AS (
+  SELECT doc_id, 'entropy_hex' AS kind, 3 AS rank, start, 2.9 AS bits, string_split(lower(body), '') AS chars
+  FROM varied WHERE hexed AND regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Fa-f]')
+  UNION ALL
+  SELECT doc_id, 'entropy_base64', 4, start, 3.7, chars
+  FROM varied WHERE regexp_matches(body, '[0-9]') AND regexp_matches(body, '[a-z]') AND regexp_matches(body, '[A-Z]')
+),
+dense AS (
+  SELECT doc_id, kind, rank, start, list_filter(range(1, len(chars) - 18),
+    lambda i: list_aggregate(chars[i:i + 19], 'entropy') >= bits - 1e-9) AS places
+  FROM candidate
+),
+added AS (
+  SELECT doc_id, kind, rank, start + list_min(places) - 1 AS start, start + list_max(places) + 19 AS stop
+  FROM dense WHERE len(places) > 0
+),
+spans AS (
+  SELECT doc_id, kind, rank, start, stop FROM base
+  UNION ALL
+  SELECT * FROM added a
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND a.stop <= b.stop)
+),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, rank, stop) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+  CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
