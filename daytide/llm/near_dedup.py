@@ -13,10 +13,11 @@ shingle; without words the set is empty and links with nothing). Steps:
    class enters only the lists of its rarest values, as many as suffice to meet every
    class that shares ``need`` values. A passage that a third of the documents carry is
    frequent, so its lists are entered by classes that consist of little else.
-4. In a list no pairs are formed: each member is held against one member, the smallest,
-   and against another one in further rounds. Lists whose members are in one component
-   are finished. What is left after the last round, members of different components, is
-   joined.
+4. In a list no pairs are formed: each member is held against one member of another
+   component, the smallest, and against another one in further rounds. Lists whose members
+   are in one component are finished. What is left after the last round goes through a
+   prefix join on the full sets, exact and bounded by place, which meets only members of
+   different components that can still be similar.
 5. A pair passes the estimate on the union sketch (with a margin below which a true link
    has a chance under 1e-8) and then exact Jaccard on the full sets of shingle hashes.
 
@@ -43,7 +44,7 @@ from daytide.llm.common import NO_ID, texts
 from daytide.llm.words import Words, parts
 from daytide.session import stage
 
-ROUNDS = 3
+ROUNDS = 1
 
 
 def shingle_sets(column, n: int) -> Iterator[np.ndarray]:
@@ -155,21 +156,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFr
     return both.where(alike).select("a", "b").distinct()
 
 
-def _against_one(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each list member with one member: (a, b, n_a, n_b).
+def _open(lists: DataFrame, state: DataFrame | None) -> DataFrame | None:
+    """Rows of the lists whose members are in several components, with these; None if none are."""
+    if state is None:
+        placed = lists.withColumn("component", F.col("rep"))
+    else:
+        placed = lists.join(state, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    still = stage(placed.join(several.where("low < high"), "value"), "open")
+    return None if still.isEmpty() else still
+
 
-    At first that is the smallest member; then, in turn, members of the largest and of the
-    smallest component, held against members of other components.
+def _against_one(still: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each list member with one member of another component: (a, b, n_a, n_b).
+
+    That is the smallest member of the smallest component, and in later rounds one of the
+    largest component, in turn.
     """
     hub = F.struct("rep", "n", "component")
-    if turn == 0:
-        hubs = lists.groupBy("value").agg(F.min(hub).alias("hub"))
-    elif turn % 2:
-        hubs = lists.groupBy("value").agg(F.min(F.when(F.expr("component = high"), hub)).alias("hub"))
-    else:
-        hubs = lists.groupBy("value").agg(F.max(F.when(F.expr("component = low"), hub)).alias("hub"))
+    of = F.expr("component = high" if turn % 2 else "component = low")
+    pick = F.min if turn < 2 else F.max
+    hubs = still.groupBy("value").agg(pick(F.when(of, hub)).alias("hub"))
     return (
-        lists.join(hubs, "value")
+        still.join(hubs, "value")
         .where("component <> hub.component")
         .select(
             F.least("rep", "hub.rep").alias("a"),
@@ -180,6 +189,46 @@ def _against_one(lists: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def _left_over(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of what is still open, by a prefix join on the full sets.
+
+    Two similar sets share percent / (100 + percent) of their joint size. With shingles in
+    order of rarity, the first one they share stands so early in either that the rest still
+    suffices. A text with many changes of its own has these in front, which takes it out of
+    every list; so a large group of copies with many changes each leaves few pairs.
+    """
+    members = still.select("rep", "component").distinct()
+    whole = members.join(sets.select("rep", "n", "shingles"), "rep")
+    rows = whole.select("rep", "n", "component", F.explode("shingles").alias("value"))
+    shared = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    of_rep = Window.partitionBy("rep", "n")
+    rows = rows.join(shared, "value").withColumn(
+        "place", F.row_number().over(of_rep.orderBy("df", "value")) + F.col("n") - F.count("*").over(of_rep)
+    )
+    # the partner is at least as large as the share asks for
+    smallest = F.ceil(F.col("n") * percent / 100)
+    rows = rows.select("value", "rep", "n", "component", (F.col("n") - F.col("place") + 1).alias("rest"))
+    rows = stage(rows.where(F.col("rest") >= smallest), "prefixes")
+    for _ in range(2):
+        lists = rows.groupBy("value").agg(
+            F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        joint = F.col("n") + F.greatest("least", smallest)
+        rows = rows.join(lists.where("low < high"), "value").where(
+            F.col("rest") * (100 + percent) >= joint * percent
+        )
+        rows = stage(rows.select("value", "rep", "n", "component", "rest"), "prefixes")
+    a, b = rows.alias("a"), rows.alias("b")
+    enough = F.expr(f"least(a.rest, b.rest) * {100 + percent} >= (a.n + b.n) * {percent}")
+    met = a.join(b, F.expr("a.value = b.value AND a.component < b.component") & enough)
+    return met.select(
+        F.expr("least(a.rep, b.rep)").alias("a"),
+        F.expr("greatest(a.rep, b.rep)").alias("b"),
+        F.expr("a.n").alias("n_a"),
+        F.expr("b.n").alias("n_b"),
+    ).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -231,30 +280,16 @@ def near_duplicates(
     sets = stage(full, "sets")
     links, state = None, None
     for turn in range(rounds + 1):
-        open_lists = lists.withColumn("component", F.col("rep"))
-        if state is not None:
-            # lists whose members are still in several components
-            placed = lists.join(state, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            several = placed.groupBy("value").agg(
-                F.min("component").alias("low"), F.max("component").alias("high")
-            )
-            several = several.where("low < high")
-            open_lists = placed.join(several, "value")
-            open_lists = stage(open_lists, "open")
-            if open_lists.isEmpty():
-                break
-        if turn < rounds:
-            pairs = _against_one(open_lists, turn)
-        else:
-            side = ("value", "rep", "n", "component")
-            one, two = open_lists.select(*side), open_lists.select(*side)
-            one, two = one.toDF("value", "a", "n_a", "of_a"), two.toDF("value", "b", "n_b", "of_b")
-            pairs = one.join(two, "value").where("of_a < of_b")
-            pairs = pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+        still = _open(lists, state)
+        if still is None:
+            break
+        pairs = _against_one(still, turn) if turn < rounds else _left_over(still, sets, percent)
         pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         found = stage(_verified(pairs.select("a", "b").distinct(), sets, k, percent), "found")
         links = found if links is None else links.union(found)
         state = _components(links)
+    if state is None:
+        state = lists.select("rep", F.col("rep").alias("component")).limit(0)
 
     # a class takes the component of its representative; a document that of its class
     of_class = reps.select("class", "rep").join(state, "rep", "left")
