@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from contract import oracle as O
 from daytide import schema
+from daytide.functions.columns import fixed4, numeric, percent2, plain4, rounded
 from daytide.functions.sampling import seeded_sample
 from daytide.functions.sequence_kernels import HmmParams
 from daytide.functions.shape import small_table
@@ -30,7 +31,7 @@ SOURCES = {
     "lineitem": adapters.from_lineitem,
 }
 MODEL = schema.MODEL_FEATURES
-SAMPLE = 2000
+SAMPLE = 50_000
 BOUNDS = ("2024-01-05", "2024-01-20")
 
 _queries: dict = {}
@@ -196,10 +197,9 @@ _base_query("daily_base_lineitem", "lineitem")
 
 @register("daily_base_crowded", O.select(O.base_ctes("lineitem"), f"SELECT {O.BASE_COLS} FROM base"))
 def _(spark, sf_dir):
-    """Half-day chunks of more than two events are cut by range, to exercise that path."""
-    rows, half_day = local(spark, sf_dir, "lineitem"), 43_200
-    crowded = daily.crowded_chunks(rows, 2, half_day)
-    return daily.user_day_base(rows, half_day, crowded)
+    """A limit of two events cuts user-days into half-days, and these by range."""
+    rows = local(spark, sf_dir, "lineitem")
+    return daily.user_day_base(rows, daily.find_cuts(rows, 2, 43_200))
 
 
 @register(
@@ -210,9 +210,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    rows, half_day = local(spark, sf_dir, "lineitem"), 43_200
-    crowded = daily.crowded_chunks(rows, 2, half_day)
-    return daily.loss_groups(rows, half_day, crowded).select(
+    rows = local(spark, sf_dir, "lineitem")
+    return daily.loss_groups(rows, daily.find_cuts(rows, 2, 43_200)).select(
         "user_id", "bet_date", "event_sort_id", "is_loss", "loss_group"
     )
 
@@ -430,7 +429,7 @@ def _(spark, sf_dir):
 
 @register(
     "correlation_cells",
-    O.select(O.eda_ctes(), "SELECT feature_a, feature_b, round(corr, 2) + 0.0 AS corr FROM corrs"),
+    O.select(O.eda_ctes(), f"SELECT feature_a, feature_b, {O.rounded('corr', 2, 'corr')} FROM corrs"),
 )
 def _(spark, sf_dir):
     return chartdata.correlation_cells(eda.correlation_long(features(spark, sf_dir)))
@@ -651,7 +650,7 @@ READABLE = [
     O.select(
         O.state_ctes(),
         f"SELECT {O.big('hmm_state')}, label AS manual_label, {O.big('rows')}, "
-        f"round(row_share * 100, 2) AS row_share_pct, round(churn7_rate * 100, 2) AS churn7_rate_pct, "
+        f"{O.rounded('row_share * 100', 2, 'row_share_pct')}, {O.rounded('churn7_rate * 100', 2, 'churn7_rate_pct')}, "
         + ", ".join(O.big(c) if c == "users" else O.r(c) for c in READABLE)
         + " FROM prof",
     ),
@@ -665,10 +664,11 @@ def _(spark, sf_dir):
     "state_bars",
     O.select(
         O.state_ctes(),
-        """SELECT 'S' || hmm_state || ' ' || CASE hmm_state WHEN 0 THEN 'Stable Active'
+        f"""SELECT 'S' || hmm_state || ' ' || CASE hmm_state WHEN 0 THEN 'Stable Active'
                 WHEN 1 THEN 'High-Churn Decline' WHEN 2 THEN 'Low-Bet Active'
                 WHEN 3 THEN 'Reactivation' ELSE 'State' END AS state_label,
-            round(row_share * 100, 2) AS row_share_pct, round(churn7_rate * 100, 2) AS churn7_rate_pct FROM prof""",
+            {O.rounded('row_share * 100', 2, 'row_share_pct')},
+            {O.rounded('churn7_rate * 100', 2, 'churn7_rate_pct')} FROM prof""",
     ),
 )
 def _(spark, sf_dir):
@@ -718,7 +718,7 @@ STATE_LABELS = {s: f"S{s} {n}" for s, n in chartdata.STATE_NAMES.items()}
         + " ".join(f"WHEN {s} THEN '{n}'" for s, n in chartdata.STATE_NAMES.items())
         + " END AS state, "
         + ", ".join(
-            f"max(CASE WHEN to_state = {s} THEN round(p * 100, 1) END) AS \"{n}\""
+            f"max(CASE WHEN to_state = {s} THEN CAST(printf('%.1f', p * 100) AS DOUBLE) END) AS \"{n}\""
             for s, n in STATE_LABELS.items()
         )
         + " FROM trans GROUP BY from_state",
@@ -779,12 +779,55 @@ def _(spark, sf_dir):
     return hmm.train_user_days(staged(spark, sf_dir, "orders"), 8).select(*KEYS)
 
 
-MAX_ITER = 8
+def decoded_days(spark, sf_dir):
+    """Path of fixed parameters, attached to the raw features and labelled."""
+    table, seqs = sequences(spark, sf_dir)
+    out = stage(states.label_decoded(table, hmm.decode(seqs, fixed_params())), "labelled")
+    states.check_attached(table, out)
+    return out
+
+
+DECODED = O.path_ctes(_plain(fixed_params()), "events")
+
+
+@register("decoded_user_days", O.select(O.state_ctes("events", DECODED), f"SELECT {O.LABELLED_COLS} FROM labelled"))
+def _(spark, sf_dir):
+    return decoded_days(spark, sf_dir).select(*LABEL_COLS)
+
+
+@register("decoded_profile", O.select(O.state_ctes("events", DECODED), f"SELECT {O.PROFILE_COLS} FROM prof"))
+def _(spark, sf_dir):
+    return states.state_profile(decoded_days(spark, sf_dir))
 
 
 def fitted(spark, sf_dir):
     table, seqs = sequences(spark, sf_dir)
-    return table, seqs, hmm.fit(seqs, max_iter=MAX_ITER)
+    return table, seqs, hmm.fit(seqs)
+
+
+@register(
+    "hmm_fit_facts",
+    O.select(
+        O.feature_ctes(),
+        f"""SELECT {O.big('count(*)', 'rows')}, {O.big('count(DISTINCT (user_id, bet_date))', 'keys')},
+            {O.big('count(*)', 'labelled')}, CAST(4 AS BIGINT) AS proper_transition_rows,
+            true AS converged, true AS objective_never_falls FROM feat""",
+    ),
+)
+def _(spark, sf_dir):
+    """What holds for any full fit: every user-day labelled once, proper rows, a rising objective."""
+    table, seqs, result = fitted(spark, sf_dir)
+    out = states.label_decoded(table, hmm.decode(seqs, result.params))
+    proper = int(np.isclose(result.params.trans.sum(axis=1), 1).sum())
+    gains = np.diff(result.objectives)
+    return out.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("user_id", "bet_date").alias("keys"),
+        F.count("hmm_state").alias("labelled"),
+        F.lit(proper).alias("proper_transition_rows"),
+        F.lit(result.converged).alias("converged"),
+        F.lit(bool((gains >= -1e-6 * np.abs(result.objectives[:-1])).all())).alias("objective_never_falls"),
+    )
 
 
 @register("hmm_states")
@@ -946,6 +989,65 @@ def _(spark, sf_dir):
     return hmm.decode(sequences(spark, sf_dir)[1], hmm.load_params(spark, path))
 
 
+@register(
+    "text_of_ties",
+    "SELECT CAST(o_orderkey AS BIGINT) AS k, format('{:,.4f}', v * 1000) AS fixed, printf('%.4f', v) AS plain, "
+    "printf('%.2f%%', v * 100) AS share, CAST(printf('%.2f', v) AS DOUBLE) + 0.0 AS two "
+    "FROM (SELECT o_orderkey, (o_orderkey % 3200) / 3200.0 AS v FROM (SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey FROM orders))",
+)
+def _(spark, sf_dir):
+    """Display text of numbers that often lie on or next to a half of the last digit."""
+    v = (F.col("o_orderkey").cast("double") % 3200) / 3200.0
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").cast("long").alias("k"),
+        fixed4(v * 1000).alias("fixed"),
+        plain4(v).alias("plain"),
+        percent2(v).alias("share"),
+        rounded(v, 2).alias("two"),
+    )
+
+
+def dirty_events(spark, sf_dir) -> DataFrame:
+    """A CSV copy of the events, some numbers bad text, NaN or infinite, read by the declared scan."""
+    path, table = out_path(spark, "dirty"), adapters.from_events(spark, sf_dir)
+    n = F.coalesce(F.col("event_id"), F.col("bullet_id")).cast("long")
+    bad = F.when(n % 11 == 0, "n/a").when(n % 13 == 0, "NaN").when(n % 17 == 0, "Infinity")
+    columns = [
+        F.when(n % 19 == 0, None).otherwise(F.col("user_id")).alias("user_id")
+        if c == "user_id"
+        else F.coalesce(bad, F.col(c).cast("string")).alias(c)
+        if c == "curr_balance"
+        else F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+        if c == "created_at"
+        else F.col(c)
+        for c in schema.EVENT_SCHEMA.names
+    ]
+    table.select(columns).write.option("header", True).csv(path)
+    return events.read_events(spark, path, "csv")
+
+
+DIRTY = f"""src AS ({O.EVENT_SOURCES["events"]}),
+    n AS (SELECT *, CAST(coalesce(event_id, bullet_id) AS BIGINT) AS k FROM src)"""
+
+
+@register(
+    "dirty_scan",
+    O.select(
+        DIRTY,
+        f"""SELECT CASE WHEN k % 19 <> 0 THEN user_id END AS user_id, {O.big('count(*)', 'n')},
+            {O.r('sum(bet)', 'bet')},
+            {O.r('max(CASE WHEN k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0 THEN curr_balance END)', 'balance')}
+            FROM n GROUP BY 1""",
+    ),
+)
+def _(spark, sf_dir):
+    """Rows of unknown users stay; bad text, NaN and infinities are missing."""
+    table = dirty_events(spark, sf_dir)
+    return table.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.sum("bet").alias("bet"), F.max(numeric("curr_balance")).alias("balance")
+    )
+
+
 def queries() -> dict:
     return dict(_queries)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,22 +64,35 @@ def second_steps(start: Column, end: Column) -> Column:
     return days * 86400 + second_of_day(end) - second_of_day(start)
 
 
-def _or_empty(c: Column, text: Column) -> Column:
-    return F.when(c.isNull(), F.lit("")).otherwise(text)
+def _text(pattern: str, scale: float = 1.0):
+    """Numbers as text, rounded from their exact binary value, halves to even; empty if missing.
 
+    Spark's own formatting rounds the shortest decimal form instead: it prints 0.00375 as
+    0.0038, though the double lies below that half. These columns belong to report tables,
+    which have a row for each feature, pair or state.
+    """
 
-def fixed4(c: Column) -> Column:
-    """Thousands separators and four decimals; empty when missing.
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: "" if pd.isna(v) else pattern.format(v * scale)).astype(object)
+
+    return text
 
-    format_string rounds the binary value; format_number would round half to even.
-    """
-    return _or_empty(c, F.format_string("%,.4f", c))
+
+def fixed4(c: Column) -> Column:
+    """Thousands separators and four decimals; empty when missing."""
+    return _text("{:,.4f}")(c.cast("double"))
 
 
 def plain4(c: Column) -> Column:
-    return _or_empty(c, F.format_string("%.4f", c))
+    return _text("{:.4f}")(c.cast("double"))
 
 
 def percent2(c: Column) -> Column:
     """A share as a percentage with two decimals; empty when missing."""
-    return _or_empty(c, F.format_string("%.2f%%", c * 100))
+    return _text("{:.2f}%", 100.0)(c.cast("double"))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """A number rounded from its exact binary value, halves to even; for report tables."""
+    return F.nullif(_text(f"{{:.{digits}f}}")(c.cast("double")), F.lit("")).cast("double") + F.lit(0.0)

@@ -1,24 +1,97 @@
 """Exact interpolated quantiles of few, very large groups.
 
-The built-in exact ``percentile`` merges every distinct value of a group in one
-task, so one global group of a large table does not fit. Here the work is split in
-two distributed passes:
-
-1. a mergeable sketch (``percentile_approx``) brackets each wanted rank between two
-   values; its rank error is at most n/accuracy, the bracket is three times as wide;
-2. values inside a bracket are counted by value, everything between brackets only as
-   one count per gap. Both combine map-side, so a value or group that holds a large
-   part of the rows costs one row per task.
-
-The last step orders the counted values of a group and reads off the ranks; it sees
-about ``6 * len(probs) / accuracy`` of the rows of the group (all distinct values if
-the group is small). A rank outside its bracket raises instead of giving a wrong value.
+The built-in exact ``percentile`` merges every distinct value of a group in one task, so
+one global group of a large table does not fit. Here each wanted rank is held between two
+values that close in on it:
+
+1. a mergeable sketch (``percentile_approx``) proposes the two values. Its rank error is at
+   most n/accuracy and the bracket is three times as wide;
+2. the values below and inside each bracket are counted. A bracket with more than
+   ``rank_rows`` values loses an end whose equal values do not hold the rank, gets a sketch
+   of its own inside values, and so on, until it is small or of two values;
+3. the values inside the brackets are counted by value and ordered.
+
+Every pass combines map-side, a sketch has a fixed size, and no task orders more than
+``rank_rows`` different values, however large a group is; each further pass of step 2
+divides a bracket by about a hundred. A rank outside its bracket raises, it is never
+approximated. The driver holds two numbers for each group and rank.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+INF = float("inf")
+#: Ranks at which the sketch of a bracket is read.
+GRID = [i / 200 for i in range(201)]
+
+
+@dataclass
+class _Bracket:
+    keys: tuple
+    name: str
+    position: float  # fractional rank, from 0
+    low: float = -INF
+    high: float = INF
+    below: int = 0
+    inside: int = 0
+    settled: bool = False  # one or two different values are left
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.position), math.ceil(self.position)
+
+    def without_heavy_ends(self, at_low: int, at_high: int, up: float, down: float) -> None:
+        """Drop an end, with its equal values, that the rank lies beyond; exact."""
+        first, last = (r - self.below for r in self.ranks)
+        top = self.inside - at_high
+        if last < at_low:
+            self.high = self.low
+        elif first >= top:
+            self.low = self.high
+        elif first < at_low:
+            self.high, self.settled = up, True
+        elif last >= top:
+            self.low, self.settled = down, True
+        else:
+            self.low, self.high = up, down
+            self.below, self.inside = self.below + at_low, top - at_low
+        self.settled = self.settled or self.low >= self.high
+
+    def narrowed(self, marks: list[float], margin: float) -> None:
+        """Move the ends to the sketched values around the rank."""
+        first, last = ((r - self.below) / max(self.inside - 1, 1) for r in self.ranks)
+        lower = [m for m, g in zip(marks, GRID) if 0 < g <= first - margin]
+        upper = [m for m, g in zip(marks, GRID) if last + margin <= g < 1]
+        self.low = max(self.low, lower[-1]) if lower else self.low
+        self.high = min(self.high, upper[0]) if upper else self.high
+
+
+def _frame(spark, key_fields, brackets: list[_Bracket]) -> DataFrame:
+    fields = [
+        *key_fields,
+        T.StructField("_i", T.IntegerType()),
+        T.StructField("_lo", T.DoubleType()),
+        T.StructField("_hi", T.DoubleType()),
+    ]
+    rows = [(*b.keys, i, b.low, b.high) for i, b in enumerate(brackets)]
+    return spark.createDataFrame(rows, T.StructType(fields))
+
+
+def _with_brackets(x: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
+    """x joined to the array of brackets of its group; groups are few, see ``max_groups``."""
+    arrays = table.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_lo", "_hi")).alias("_b"))
+    return x.join(F.broadcast(arrays), keys)
+
+
+def _inside(value: str = "_x"):
+    return F.filter("_b", lambda b: (F.col(value) >= b["_lo"]) & (F.col(value) <= b["_hi"]))
 
 
 def exact_quantiles(
@@ -26,67 +99,110 @@ def exact_quantiles(
     keys: list[str],
     value: str,
     probs: dict[str, float],
-    accuracy: int = 20_000,
-    small_group: int = 40_000,
+    accuracy: int = 2_000,
+    rank_rows: int = 20_000,
     max_groups: int = 10_000,
+    positions: Callable[[int, int], dict[str, float]] | None = None,
 ) -> DataFrame:
     """One row per group: keys, ``n`` and one linearly interpolated quantile per name.
 
-    ``keys`` must form few groups (features, states): one bracket row per group is
-    broadcast, and more than ``max_groups`` of them raise. Missing values are skipped.
-    The input is scanned twice, so stage it when it is expensive. Groups of at most
-    ``small_group`` rows skip the brackets.
+    ``positions`` may give other fractional ranks (from 0) for the names in ``probs``, from the
+    number of known values of the group and the number of its rows. ``keys`` must form few groups without missing keys (features, states): more than
+    ``max_groups`` raise. Missing values are skipped. The input is scanned three times, and
+    once or twice more for each further narrowing, so stage it when it is expensive.
     """
-    margin = 3.0 / accuracy
-    x = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL")
-
-    cuts, edges, steps, inside = [], [], [], []
-    for i, p in enumerate(probs.values()):
-        cuts += [f"{max(p - margin, 0.0)!r}D", f"{min(p + margin, 1.0)!r}D"]
-        first, last = str(p - margin <= 0), str(p + margin >= 1)
-        small = f"n <= {small_group}"
-        edges += [
-            f"if({first} OR {small}, double('-Infinity'), _cut[{2 * i}]) AS _lo{i}",
-            f"if({last} OR {small}, double('Infinity'), _cut[{2 * i + 1}]) AS _hi{i}",
-        ]
-        steps.append(f"int(_x >= _lo{i}) + int(_x > _hi{i})")
-        inside.append(f"_x BETWEEN _lo{i} AND _hi{i}")
-    brackets = (
-        x.groupBy(*keys)
-        .agg(
-            F.count("*").alias("n"),
-            F.expr(f"percentile_approx(_x, array({', '.join(cuts)}), {accuracy})").alias("_cut"),
-        )
-        # one row per group reaches this window
-        .withColumn("_groups", F.count("*").over(Window.partitionBy()))
-        .where(f"if(_groups > {max_groups}, raise_error('too many groups'), true)")
-        .selectExpr(*keys, "n", *edges)
-    )
+    spark, margin = df.sparkSession, 3.0 / accuracy
+    every = df.select(*keys, F.col(value).cast("double").alias("_x"))
+    x = every.where("_x IS NOT NULL")
+    key_fields = [x.schema[k] for k in keys]
 
-    # Values between brackets share one slot, so they collapse to a count per gap.
+    grid = ", ".join(f"{g!r}D" for g in GRID)
+    sketch = F.expr(f"percentile_approx(_x, array({grid}), {accuracy})").alias("_cut")
+    first = every.groupBy(*keys).agg(F.count("_x").alias("n"), F.count("*").alias("rows"), sketch)
+    rows = first.limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError(f"expected at most {max_groups} groups")
+    brackets, sizes = [], {}
+    for row in rows:
+        if not row["n"]:
+            continue
+        group = tuple(row[k] for k in keys)
+        sizes[group] = row["n"]
+        wanted = positions(row["n"], row["rows"]) if positions else {}
+        for name, p in probs.items():
+            one = _Bracket(group, name, float(wanted.get(name, (row["n"] - 1) * p)), inside=row["n"])
+            one.narrowed(row["_cut"], margin)
+            brackets.append(one)
+
+    while brackets:
+        counted = _with_brackets(x, keys, _frame(spark, key_fields, brackets))
+        # of each bracket of the group: rows below it and rows in it, summed map-side
+        most = len(probs)
+        sums = []
+        for j in range(most):
+            edge, at = F.col("_b")[j], F.col("_x")
+            within = (at >= edge["_lo"]) & (at <= edge["_hi"])
+            tests = {"below": at < edge["_lo"], "in": within, "low": at == edge["_lo"], "high": at == edge["_hi"]}
+            sums += [F.count_if(test).alias(f"_{name}{j}") for name, test in tests.items()]
+            sums += [
+                F.min(F.when(within & (at > edge["_lo"]), at)).alias(f"_up{j}"),
+                F.max(F.when(within & (at < edge["_hi"]), at)).alias(f"_down{j}"),
+                F.max(edge["_i"]).alias(f"_i{j}"),
+            ]
+        wide = []
+        for row in counted.groupBy(*keys).agg(*sums).collect():
+            for j in range(most):
+                one = brackets[row[f"_i{j}"]]
+                one.below, one.inside = row[f"_below{j}"], row[f"_in{j}"]
+                if not one.below <= one.ranks[0] <= one.ranks[1] < one.below + one.inside:
+                    raise ValueError(f"rank of {one.name} outside its bracket")
+                if one.inside > rank_rows and one.low < one.high and not one.settled:
+                    one.without_heavy_ends(row[f"_low{j}"], row[f"_high{j}"], row[f"_up{j}"], row[f"_down{j}"])
+                    wide.append(one)
+        if not wide:
+            break
+        closing = [b for b in wide if not b.settled]
+        inner = _with_brackets(x, keys, _frame(spark, key_fields, closing)) if closing else None
+        if inner is not None:
+            inner = inner.select("_x", F.explode(F.transform(_inside(), lambda b: b["_i"])).alias("_i"))
+            marks = inner.groupBy("_i").agg(sketch)
+            for row in marks.collect():
+                closing[row["_i"]].narrowed(row["_cut"], margin)
+
+    kinds = [*key_fields, T.StructField("n", T.LongType())]
+    if not brackets:
+        kinds += [T.StructField(name, T.DoubleType()) for name in probs]
+        return spark.createDataFrame([], T.StructType(kinds))
     counted = (
-        x.join(F.broadcast(brackets), keys)
-        .selectExpr(
-            *keys, "n", f"{' + '.join(steps)} AS _slot", f"if({' OR '.join(inside)}, _x, NULL) AS _v"
-        )
-        .groupBy(*keys, "n", "_slot", "_v")
+        _with_brackets(x, keys, _frame(spark, key_fields, brackets))
+        .select("_x", F.explode(F.transform(_inside(), lambda b: b["_i"])).alias("_i"))
+        .groupBy("_i", "_x")
         .agg(F.count("*").alias("_c"))
     )
-
-    by_value = Window.partitionBy(*keys).orderBy("_slot", "_v")
-    ranked = counted.withColumn(
-        "_upto", F.sum("_c").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
+    by_value = Window.partitionBy("_i").orderBy("_x")
+    ranked = counted.withColumn("_upto", F.sum("_c").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = spark.createDataFrame(
+        [(i, *b.keys, sizes[b.keys], b.name, b.position, *(r - b.below for r in b.ranks)) for i, b in enumerate(brackets)],
+        T.StructType(
+            [
+                T.StructField("_i", T.IntegerType()),
+                *kinds,
+                T.StructField("_name", T.StringType()),
+                T.StructField("_position", T.DoubleType()),
+                T.StructField("_first", T.LongType()),
+                T.StructField("_last", T.LongType()),
+            ]
+        ),
     )
+    # one row for each group and rank
+    found = ranked.join(F.broadcast(wanted), "_i")
 
-    picks, outs = [], []
-    for i, (name, p) in enumerate(probs.items()):
-        position = f"((n - 1) * {float(p)!r}D)"
-        for side, rank in (("a", f"floor({position})"), ("b", f"ceil({position})")):
-            covers = f"_upto > {rank} AND _upto - _c <= {rank}"
-            picks.append(F.expr(f"max(if({covers}, _v, NULL))").alias(f"_{side}{i}"))
-        outs.append(
-            f"if(_a{i} IS NULL OR _b{i} IS NULL,"
-            f" double(raise_error('rank of {name} outside its bracket')),"
-            f" _a{i} + (_b{i} - _a{i}) * ({position} - floor({position}))) AS `{name}`"
-        )
-    return ranked.groupBy(*keys, "n").agg(*picks).selectExpr(*keys, "n", *outs)
+    def at(rank: str):
+        return F.max(F.when((F.col("_upto") > F.col(rank)) & (F.col("_upto") - F.col("_c") <= F.col(rank)), F.col("_x")))
+
+    part = F.col("_position") - F.floor("_position")
+    values = found.groupBy(*keys, "n", "_name", "_position").agg(at("_first").alias("_a"), at("_last").alias("_z"))
+    values = values.withColumn("_value", F.col("_a") + (F.col("_z") - F.col("_a")) * part)
+    return values.groupBy(*keys, "n").agg(
+        *(F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in probs)
+    )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytide import schema
-from daytide.functions.columns import clip, finite
+from daytide.functions.columns import clip, finite, rounded
 from daytide.functions.quantiles import exact_quantiles
 from daytide.functions.sampling import seeded_sample
 from daytide.functions.shape import to_long
@@ -26,18 +26,23 @@ STATE_NAMES = {
 
 def missing_zero_rates(summary: DataFrame) -> DataFrame:
     """(feature, metric, rate, axis_max) with metric Missing or Zero."""
-    long = summary.select(
-        "feature", F.col("missing_rate").alias("Missing"), F.col("zero_rate").alias("Zero")
-    ).unpivot("feature", ["Missing", "Zero"], "metric", "rate")
-    top = summary.agg(F.max(F.greatest("missing_rate", "zero_rate"))).scalar()
+    # one row for each feature, so the window over all of them is small
+    top = F.max(F.greatest("missing_rate", "zero_rate")).over(Window.partitionBy())
     axis = F.least(F.lit(1.0), F.greatest(F.lit(0.05), top * 1.15))
-    return long.withColumn("axis_max", axis)
+    return summary.select(
+        "feature",
+        F.col("missing_rate").alias("Missing"),
+        F.col("zero_rate").alias("Zero"),
+        axis.alias("axis_max"),
+    ).unpivot(["feature", "axis_max"], ["Missing", "Zero"], "metric", "rate").select(
+        "feature", "metric", "rate", "axis_max"
+    )
 
 
 def histogram(features: DataFrame, log: bool = False, bins: int = 60) -> DataFrame:
     """(feature, bin, n, lo, hi, median): equal-width bins over values clipped to P1-P99.
 
-    Clipped values land in the edge bins. The median is taken before clipping. With
+    Every bin is returned, empty ones with n = 0. Clipped values land in the edge bins. The median is taken before clipping. With
     ``log`` the same is done on log1p of the non-negative values.
     """
     long = to_long(clean_features(features), [], FEATURES).where("x IS NOT NULL")
@@ -51,17 +56,22 @@ def histogram(features: DataFrame, log: bool = False, bins: int = 60) -> DataFra
     # bit of a sum does not choose the bin.
     step = F.floor((clip(x, lo, hi) - lo) / F.nullif((hi - lo) / bins, F.lit(0.0)) + 1e-9)
     # One row of marks per feature; a constant feature has a single bin.
-    return (
-        long.join(F.broadcast(marks), "feature")
+    marks = F.broadcast(marks)
+    found = (
+        long.join(marks, "feature")
         .withColumn("bin", F.least(F.coalesce(step, F.lit(0)) + 1, F.lit(bins)).cast("int"))
-        .groupBy("feature", "bin", "lo", "hi", "median")
+        .groupBy("feature", "bin")
         .agg(F.count("*").alias("n"))
-        .select("feature", "bin", "n", "lo", "hi", "median")
+    )
+    last = F.when(F.col("hi") > F.col("lo"), bins).otherwise(1)
+    every = marks.withColumn("bin", F.explode(F.sequence(F.lit(1), last)))
+    return every.join(found, ["feature", "bin"], "left").select(
+        "feature", "bin", F.coalesce("n", F.lit(0)).alias("n"), "lo", "hi", "median"
     )
 
 
 def correlation_cells(corr: DataFrame) -> DataFrame:
-    return corr.select("feature_a", "feature_b", F.round("corr", 2).alias("corr"))
+    return corr.select("feature_a", "feature_b", rounded(F.col("corr"), 2).alias("corr"))
 
 
 def daily_trends(daily: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
 """Events -> one row per user and local day, including the longest losing run.
 
 The longest run needs the events of a user-day in time order, but a user-day may hold
-a large part of all events. So a day is cut into time chunks: each chunk is ordered by
-its own task and reduced to one row, and only these rows are put together per user.
-A run crossing chunks is the trailing run of one chunk plus the leading runs after it.
+a large part of all events. A count of events by user-day, combined map-side, finds those
+that are too large for a task. They are cut into time chunks, and chunks that are still
+too large by range. Every chunk (an ordinary user-day is a single one) is ordered by its
+own task and reduced to one row, and only these rows are put together per user. A run
+crossing chunks is the trailing run of one chunk plus the leading runs after it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +25,12 @@ from daytide.functions.columns import (
 )
 from daytide.session import stage
 
+#: Events of one user-day, or of one chunk of it, that a task orders without trouble.
+DAY_LIMIT = 1_000_000
+#: Rows up to which a table of large user-days is broadcast; there are at most rows / limit.
+BROADCAST_ROWS = 100_000
 EVENT_ORDER = ["ts_local", "event_sort_id", "is_loss"]
+DAY_KEYS = ["user_id", "bet_date"]
 
 # Partial totals that are added up again at every level.
 SUMMED = ("n", "bet", "bets", "payout", "profit")
@@ -96,39 +105,72 @@ def local_events(events: DataFrame, offset_hours: int = schema.UTC_OFFSET_HOURS)
     )
 
 
-def with_chunks(events: DataFrame, chunk_seconds: int) -> DataFrame:
-    chunk = F.floor(second_of_day(F.col("ts_local")) / chunk_seconds)
-    return events.withColumn("chunk", chunk.cast("int"))
+@dataclass(frozen=True)
+class Cuts:
+    """User-days, and chunks of them, with more events than a task should order."""
 
+    days: DataFrame | None = None
+    chunks: DataFrame | None = None
+    chunk_seconds: int = 60
 
-def crowded_chunks(events: DataFrame, limit: int, chunk_seconds: int = 60) -> DataFrame:
-    """Chunks with more than ``limit`` events: at most rows/limit of them.
 
-    Counted with map-side combining, then staged so their number is known.
-    """
-    counts = with_chunks(events, chunk_seconds).groupBy("user_id", "bet_date", "chunk").count()
-    return stage(counts.where(F.col("count") > limit).drop("count"), "crowded")
+def _over(events: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """Keys with more than ``limit`` events as a written table; None if there are none."""
+    counts = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    large = stage(counts.where(F.col("n") > limit).select(*keys), "large")
+    n = large.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return None
+    return F.broadcast(large) if n <= BROADCAST_ROWS else large
+
+
+def find_cuts(events: DataFrame, limit: int = DAY_LIMIT, chunk_seconds: int = 60) -> Cuts:
+    """Count events by user-day, and by chunk within the large ones."""
+    days = _over(events, DAY_KEYS, limit)
+    if days is None:
+        return Cuts(chunk_seconds=chunk_seconds)
+    inside = _chunked(events, Cuts(days, None, chunk_seconds)).where("chunk >= 0")
+    return Cuts(days, _over(inside, [*DAY_KEYS, "chunk"], limit), chunk_seconds)
+
+
+def _same(keys: list[str]):
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"e.{k}").eqNullSafe(F.col(f"l.{k}"))
+    return out
 
 
-def _with_pieces(events: DataFrame, crowded: DataFrame | None) -> DataFrame:
-    """Add ``piece``: 0, or for a crowded chunk its place in a range partitioning.
+def _chunked(events: DataFrame, cuts: Cuts) -> DataFrame:
+    """Add ``chunk``: -1, or in a large user-day the place of its time chunk."""
+    if cuts.days is None:
+        return events.withColumn("chunk", F.lit(-1))
+    large = cuts.days.withColumn("large", F.lit(True))
+    found = events.alias("e").join(large.alias("l"), _same(DAY_KEYS), "left")
+    chunk = F.floor(second_of_day(F.col("e.ts_local")) / cuts.chunk_seconds).cast("int")
+    return found.select("e.*", F.when(F.col("l.large"), chunk).otherwise(-1).alias("chunk"))
+
+
+def _with_pieces(events: DataFrame, cuts: Cuts) -> DataFrame:
+    """Add ``chunk`` and ``piece``: 0, or for a large chunk its place in a range partitioning.
 
     Range partitioning by the full event order cuts a chunk between any two events,
-    so not even equal timestamps keep a crowded chunk in one task.
+    so not even equal timestamps keep a large chunk in one task.
     """
-    keys = ["user_id", "bet_date", "chunk"]
-    if crowded is None:
-        return events.withColumn("piece", F.lit(0))
-    calm = events.join(crowded, keys, "left_anti").withColumn("piece", F.lit(0))
+    chunked = _chunked(events, cuts)
+    if cuts.chunks is None:
+        return chunked.withColumn("piece", F.lit(0))
+    keys = [*DAY_KEYS, "chunk"]
+    e, large = chunked.alias("e"), cuts.chunks.alias("l")
+    calm = e.join(large, _same(keys), "left_anti").withColumn("piece", F.lit(0))
     split = (
-        events.join(crowded, keys, "left_semi")
+        e.join(large, _same(keys), "left_semi")
         .repartitionByRange(*keys, *EVENT_ORDER)
         .withColumn("piece", F.spark_partition_id())
     )
     return calm.unionByName(split)
 
 
-CHUNK_KEYS = ["user_id", "bet_date", "chunk", "piece"]
+CHUNK_KEYS = [*DAY_KEYS, "chunk", "piece"]
 
 
 def _chunk_runs(pieces: DataFrame) -> DataFrame:
@@ -141,16 +183,15 @@ def _chunk_runs(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("loss_group", F.sum(1 - F.col("is_loss")).over(run))
 
 
-def loss_groups(
-    events: DataFrame, chunk_seconds: int = 60, crowded: DataFrame | None = None
-) -> DataFrame:
+def loss_groups(events: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """Events with the running count of non-losing events of their user-day.
 
     A prefix sum over chunks: counts per chunk are added up per user-day and joined back
     to the events, which only ever are ordered within their chunk.
     """
-    pieces = _with_pieces(with_chunks(events, chunk_seconds), crowded)
-    if crowded is not None:
+    cuts = cuts or find_cuts(events)
+    pieces = _with_pieces(events, cuts)
+    if cuts.chunks is not None:
         # Both uses below must see the same range partitions.
         pieces = stage(pieces, "pieces")
     earlier = (
@@ -164,11 +205,10 @@ def loss_groups(
         .withColumn("before", F.coalesce(F.sum("breaks").over(earlier), F.lit(0)))
         .drop("breaks")
     )
-    return (
-        _chunk_runs(pieces)
-        .join(before, CHUNK_KEYS)
-        .withColumn("loss_group", F.col("loss_group") + F.col("before"))
-        .select(*events.columns, "loss_group")
+    runs, before = _chunk_runs(pieces).alias("e"), before.alias("l")
+    return runs.join(before, _same(CHUNK_KEYS)).select(
+        *(F.col(f"e.{c}") for c in events.columns),
+        (F.col("e.loss_group") + F.col("l.before")).alias("loss_group"),
     )
 
 
@@ -181,15 +221,13 @@ def loss_runs(grouped: DataFrame) -> DataFrame:
     )
 
 
-def chunk_summaries(
-    events: DataFrame, chunk_seconds: int = 60, crowded: DataFrame | None = None
-) -> DataFrame:
+def chunk_summaries(events: DataFrame, cuts: Cuts) -> DataFrame:
     """One row per (user, day, chunk, piece): partial totals and the shape of its runs.
 
     ``lead`` and ``trail`` are the losing runs touching the start and end of the chunk,
     ``breaks`` its number of non-losing events. One exchange, on the grouping keys.
     """
-    pieces = _with_pieces(with_chunks(events, chunk_seconds), crowded)
+    pieces = _with_pieces(events, cuts)
     runs = _aggregate(
         _chunk_runs(pieces).groupBy(*CHUNK_KEYS, "loss_group"),
         n="count(*)",
@@ -212,17 +250,15 @@ def chunk_summaries(
     )
 
 
-def user_day_base(
-    events: DataFrame, chunk_seconds: int = 60, crowded: DataFrame | None = None
-) -> DataFrame:
+def user_day_base(events: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """User-day metrics from ``local_events`` rows.
 
-    Two exchanges: events by (user, day, chunk), then the few chunk rows by user. The
-    second one also serves all per-user windows that follow. A user has at most
-    days x chunks rows there, whatever the number of events. Pass ``crowded`` (see
-    ``crowded_chunks``) when single chunks are themselves too large for a task.
+    Two exchanges: events by user-day (or chunk of a large one), then their summaries by
+    user, one row for each user-day but the large ones. The second one also serves all
+    per-user windows that follow. ``cuts`` is found by a counting pass if it is not given.
     """
-    chunks = chunk_summaries(events, chunk_seconds, crowded).repartition("user_id")
+    cuts = cuts or find_cuts(events)
+    chunks = chunk_summaries(events, cuts).repartition("user_id")
     earlier = (
         Window.partitionBy("user_id", "bet_date")
         .orderBy("chunk", "piece")

@@ -115,42 +115,27 @@ def daily_summary(features: DataFrame) -> DataFrame:
 def correlation_long(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     """(pos_a, pos_b, feature_a, feature_b, corr) for all ordered pairs, pairwise complete.
 
-    Every row contributes to 55 running sums per task, which combine map-side. A pair
+    Plain column aggregates: every task sends one row of running sums. A pair
     without variance has no correlation (the built-in ``corr`` would divide by zero).
     """
     clean = clean_features(features, columns)
     span = range(len(columns))
-    pairs = [
-        F.struct(
-            F.lit(i * len(columns) + j).alias("pair"),
-            F.col(columns[i]).alias("a"),
-            F.col(columns[j]).alias("b"),
-        )
-        for i in span
-        for j in span[i:]
-    ]
-    spread = F.col("sa") * F.col("sb")
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / spread))
-    upper = (
-        clean.select(F.inline(F.array(*pairs)))
-        .groupBy("pair")
-        .agg(
-            *(
-                f(*(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col(c)) for c in args))
-                .alias(name)
-                for name, f, args in (
-                    ("cov", F.covar_pop, "ab"),
-                    ("sa", F.stddev_pop, "a"),
-                    ("sb", F.stddev_pop, "b"),
-                )
-            )
-        )
-        .select(
-            F.floor(F.col("pair") / len(columns)).cast("int").alias("p"),
-            (F.col("pair") % len(columns)).cast("int").alias("q"),
-            F.when(spread > 0, r).alias("corr"),
-        )
-    )
+    pairs = [(i, j) for i in span for j in span[i:]]
+    sums = []
+    for i, j in pairs:
+        a, b = F.col(columns[i]), F.col(columns[j])
+        sums.append(F.covar_pop(a, b).alias(f"c{i}_{j}"))
+        if i != j:
+            sums.append(F.stddev_pop(F.when(b.isNotNull(), a)).alias(f"a{i}_{j}"))
+            sums.append(F.stddev_pop(F.when(a.isNotNull(), b)).alias(f"b{i}_{j}"))
+        else:
+            sums.append(F.stddev_pop(a).alias(f"a{i}_{j}"))
+    rows = []
+    for i, j in pairs:
+        spread = F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}" if i != j else f"a{i}_{j}")
+        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"c{i}_{j}") / spread))
+        rows.append(F.struct(F.lit(i).alias("p"), F.lit(j).alias("q"), F.when(spread > 0, r).alias("corr")))
+    upper = clean.agg(*sums).select(F.inline(F.array(*rows)))
     # From here on one row per pair of columns, mirrored to both orders.
     name = F.array(*(F.lit(c) for c in columns))
     both = F.array(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from daytide import schema
 from daytide.functions.sequence_kernels import HmmParams, expected_counts, most_likely_states
-from daytide.session import stage
+from daytide.session import ship_package, stage
 
 
 @dataclass
@@ -28,6 +28,8 @@ class HmmFit:
     params: HmmParams
     converged: bool
     log_likelihoods: list[float] = field(default_factory=list)
+    #: Log-likelihood less the penalty of the covariance prior: what EM never lowers.
+    objectives: list[float] = field(default_factory=list)
 
     @property
     def iterations(self) -> int:
@@ -103,6 +105,7 @@ def expectation(sequences: DataFrame, params: HmmParams) -> np.ndarray:
 
     Partition vectors are added in partition order, so a rerun gives the same bits.
     """
+    ship_package(sequences.sparkSession)
     width = params.means.shape[1]
     size = 1 + 2 * params.states + params.states**2 + 2 * params.states * width
 
@@ -165,6 +168,11 @@ def canonical_order(params: HmmParams) -> HmmParams:
     )
 
 
+def penalty(params: HmmParams, covars_prior: float = 1e-2) -> float:
+    """What the prior on the variances takes off the log-likelihood in the maximisation step."""
+    return float(covars_prior / 2 * (1 / params.covars).sum())
+
+
 def fit(
     sequences: DataFrame,
     states: int = 4,
@@ -179,6 +187,10 @@ def fit(
 ) -> HmmFit:
     """EM until the log-likelihood gains less than ``tol`` or ``max_iter`` passes.
 
+    The prior on the variances is part of what EM raises, so near the end the likelihood
+    alone may fall a little; ``objectives`` has the penalised values, and if the likelihood
+    fell the parameters before that step are kept.
+
     Pass staged sequences: every iteration reads them, from memory where they fit, and
     a lost executor only re-reads its part of the staged table.
     """
@@ -187,13 +199,17 @@ def fit(
     try:
         params = init or initial_params(train, states, width, seed, min_covar)
         result = HmmFit(params, converged=False)
+        previous = params
         for _ in range(max_iter):
-            loglik, params = maximization(expectation(train, params), params, covars_prior)
+            loglik, after = maximization(expectation(train, params), params, covars_prior)
             history = result.log_likelihoods
             history.append(loglik)
+            result.objectives.append(loglik - penalty(params, covars_prior))
             if len(history) > 1 and history[-1] - history[-2] < tol:
                 result.converged = True
+                params = previous if history[-1] < history[-2] else after
                 break
+            previous, params = params, after
         result.params = canonical_order(params)
         return result
     finally:
@@ -202,6 +218,7 @@ def fit(
 
 def decode(sequences: DataFrame, params: HmmParams) -> DataFrame:
     """(user_id, bet_date, hmm_state) of the most likely path, for users of any length."""
+    ship_package(sequences.sparkSession)
     width = params.means.shape[1]
 
     def paths(batches):
@@ -274,12 +291,14 @@ def load_params(spark: SparkSession, path: str) -> HmmParams:
 
 
 def history_table(spark: SparkSession, result: HmmFit) -> DataFrame:
-    """(iteration, log_likelihood, gain)."""
+    """(iteration, log_likelihood, gain, objective); a negative gain is shown as it is."""
     rows, previous = [], None
-    for i, value in enumerate(result.log_likelihoods, 1):
-        rows.append((i, value, None if previous is None else value - previous))
+    for i, (value, objective) in enumerate(zip(result.log_likelihoods, result.objectives), 1):
+        rows.append((i, value, None if previous is None else value - previous, objective))
         previous = value
-    return spark.createDataFrame(rows, "iteration int, log_likelihood double, gain double")
+    return spark.createDataFrame(
+        rows, "iteration int, log_likelihood double, gain double, objective double"
+    )
 
 
 def run_summary(

@@ -7,6 +7,8 @@ partial results combine map-side; only single rows move between the passes.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,19 +84,52 @@ def fit_moments(winsorized: DataFrame) -> DataFrame:
     return winsorized.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def fit_marks(filled: DataFrame, low: float = 0.01, high: float = 0.99) -> dict[str, dict[str, float]]:
+    """{feature: {fill_value, p01, p99}} by one quantile call over the known values.
+
+    Filling m missing values with the median puts m equal values between the known ones up
+    to the median and those above it. So a rank of the filled column is a rank of the known
+    values, or that of the median.
+    """
+    names = [f"{end}_{name}" for name in ("p01", "p99") for end in ("a", "z")]
+
+    def positions(known: int, rows: int) -> dict[str, float]:
+        middle, missing = (known - 1) / 2, rows - known
+        below = (known + 1) // 2
+        out = {"fill_value": middle}
+        for name, p in (("p01", low), ("p99", high)):
+            at = (rows - 1) * p
+            for end, rank in (("a", math.floor(at)), ("z", math.ceil(at))):
+                inside = below <= rank < below + missing
+                out[f"{end}_{name}"] = middle if inside else rank if rank < below else rank - missing
+        return out
+
+    long = to_long(filled, [], FEATURES)
+    probs = {"fill_value": 0.5} | dict.fromkeys(names, 0.5)
+    marks = exact_quantiles(long, ["feature"], "x", probs, positions=positions)
+    rows = filled.count()
+    found = {r["feature"]: r.asDict() for r in marks.collect()}
+    out = {}
+    for c in FEATURES:
+        mark = found.get(c, dict.fromkeys(probs, 0.0))  # without any value 0 is filled
+        out[c] = {"fill_value": mark["fill_value"]}
+        for name, p in (("p01", low), ("p99", high)):
+            part = (rows - 1) * p - math.floor((rows - 1) * p)
+            out[c][name] = mark[f"a_{name}"] + (mark[f"z_{name}"] - mark[f"a_{name}"]) * part
+    return out
+
+
 def fit_stats(features: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(feature, fill_value, p01, p99, mean, std), ten rows.
 
-    Each fit needs the numbers of the one before (median, then P1/P99 of the imputed
-    column, then moments of the clipped one). These ten rows come to the driver and go
-    into the next pass as literals; the last pass stays lazy. The input is scanned by
-    five aggregates: pass a staged table.
+    Median and P1/P99 of the filled column come from one quantile call, and go as literals
+    into the pass for the moments of the clipped columns, which stays lazy. Pass a staged
+    table.
     """
     filled = fill_constants(features)
-    medians = small_table(fit_fill_values(filled), "feature")
-    fill = {c: medians.get(c, {}).get("fill_value", 0.0) for c in FEATURES}
+    bounds = fit_marks(filled, low, high)
+    fill = {c: bounds[c]["fill_value"] for c in FEATURES}
     imputed = impute(filled, fill)
-    bounds = small_table(fit_bounds(imputed, low, high), "feature")
     moments = fit_moments(winsorize(imputed, bounds))
     known = F.create_map(
         *(

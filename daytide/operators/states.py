@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daytide.functions.columns import nan_to_null
+from daytide.functions.columns import nan_to_null, rounded
 from daytide.functions.quantiles import exact_quantiles
 from daytide.functions.shape import to_long
 
@@ -53,8 +53,23 @@ PROFILE_COLUMNS = [
 
 
 def attach_states(features: DataFrame, states: DataFrame) -> DataFrame:
-    """Join (user_id, bet_date, hmm_state) to the raw features by key."""
-    return features.join(states, ["user_id", "bet_date"])
+    """Join (user_id, bet_date, hmm_state) to the raw features by key.
+
+    Days of an unknown (NULL) user form one sequence like any other and keep their rows.
+    """
+    f, s = features.alias("f"), states.alias("s")
+    same = F.col("f.user_id").eqNullSafe(F.col("s.user_id")) & (F.col("f.bet_date") == F.col("s.bet_date"))
+    added = [F.col(f"s.{c}") for c in states.columns if c not in ("user_id", "bet_date")]
+    return f.join(s, same).select("f.*", *added)
+
+
+def check_attached(features: DataFrame, labelled: DataFrame) -> None:
+    """Raise unless every user-day got exactly one state. Give written tables."""
+    keys = F.count_distinct(F.struct("user_id", "bet_date"))
+    want = features.count()
+    got = labelled.agg(F.count("*").alias("rows"), keys.alias("keys"), F.count("hmm_state").alias("states")).first()
+    if tuple(got) != (want, want, want):
+        raise ValueError(f"{want} user-days, but {tuple(got)} labelled rows, keys and states")
 
 
 def label_decoded(features: DataFrame, decoded: DataFrame, churn_days: int = 7) -> DataFrame:
@@ -140,7 +155,7 @@ def state_profile(labelled: DataFrame) -> DataFrame:
     """One row per state on raw features, missing values skipped; riskiest first.
 
     Few states share all rows, so medians use the distributed quantiles and the rest
-    combines map-side. Scans the input three times: pass a staged table.
+    combines map-side. Scans the input several times: pass a staged table.
     """
     means = labelled.groupBy("hmm_state").agg(
         F.count("*").alias("rows"),
@@ -163,11 +178,10 @@ def state_profile(labelled: DataFrame) -> DataFrame:
         .groupBy("hmm_state")
         .agg(*(F.max(F.when(F.col("feature") == n, F.col("m"))).alias(n) for n in MEDIAN_COLUMNS))
     )
-    total = labelled.agg(F.count("*")).scalar()
-    # One row per state on both sides.
+    # One row per state on both sides, and in the window.
     return (
         means.join(F.broadcast(medians), "hmm_state", "left")
-        .withColumn("row_share", F.col("rows") / total)
+        .withColumn("row_share", F.col("rows") / F.sum("rows").over(Window.partitionBy()))
         .select(*PROFILE_COLUMNS, state_label().alias("label"))
         .orderBy(
             F.col("churn7_rate").desc_nulls_last(),
@@ -190,7 +204,7 @@ def readable_profile(profile: DataFrame, names: dict[int, str] | None = None) ->
         "hmm_state",
         label.alias("manual_label"),
         "rows",
-        F.round(F.col("row_share") * 100, 2).alias("row_share_pct"),
+        rounded(F.col("row_share") * 100, 2).alias("row_share_pct"),
         "users",
         "bet_days_7d_mean",
         "no_bet_streak_days_mean",
@@ -201,7 +215,7 @@ def readable_profile(profile: DataFrame, names: dict[int, str] | None = None) ->
         "rtp_day_mean",
         "max_consecutive_loss_count_today_median",
         "current_balance_max_to_avg_bet_ratio_median",
-        F.round(F.col("churn7_rate") * 100, 2).alias("churn7_rate_pct"),
+        rounded(F.col("churn7_rate") * 100, 2).alias("churn7_rate_pct"),
         "state_duration_median",
     ).orderBy("hmm_state")
 
@@ -226,7 +240,7 @@ def readable_transitions(transitions: DataFrame, labels: dict[int, str]) -> Data
             F.col("from_state"),
             name[F.col("from_state")].alias("state"),
             name[F.col("to_state")].alias("to_label"),
-            F.round(F.col("p") * 100, 1).alias("pct"),
+            rounded(F.col("p") * 100, 1).alias("pct"),
         )
         .groupBy("from_state", "state")
         .pivot("to_label", list(labels.values()))

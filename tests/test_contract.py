@@ -10,7 +10,7 @@ from contract.compare import connect, differences
 from daytide.session import stage
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = Q.queries(), Q.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -12,8 +12,9 @@ from daytide.plans.workflow import features_from_events
 NOON = datetime(2026, 1, 5, 4)  # local noon
 
 
-def base_rows(events, **kw):
-    base = daily.user_day_base(daily.local_events(daily.filter_events(events)), **kw)
+def base_rows(events, chunk_seconds=60, limit=daily.DAY_LIMIT):
+    local = daily.local_events(daily.filter_events(events))
+    base = daily.user_day_base(local, daily.find_cuts(local, limit, chunk_seconds))
     base = schema.require_columns(base, schema.BASE_SCHEMA)
     return sorted(base.collect(), key=lambda r: (r.user_id, r.bet_date))
 
@@ -30,13 +31,13 @@ def longest_run(make_events, profits, **kw):
 @pytest.mark.parametrize("chunk", [1, 60, 86_400])
 def test_run_is_broken_by_zero(make_events, chunk):
     profits = [{"profit": p} for p in (-1.0, -1.0, 0.0, -1.0)]
-    assert longest_run(make_events, profits, chunk_seconds=chunk) == 2
+    assert longest_run(make_events, profits, chunk_seconds=chunk, limit=1) == 2
 
 
 @pytest.mark.parametrize("chunk", [1, 60, 86_400])
 def test_run_is_broken_by_unknown_profit(make_events, chunk):
     profits = [{"profit": -1.0}, {"profit": None, "bet": None}, {"profit": -1.0}]
-    assert longest_run(make_events, profits, chunk_seconds=chunk) == 1
+    assert longest_run(make_events, profits, chunk_seconds=chunk, limit=1) == 1
 
 
 def test_no_loss(make_events):
@@ -162,36 +163,63 @@ def test_runs_match_brute_force(make_events, chunk):
     rows = random_events(chunk)
     got = {
         (r.user_id, r.bet_date): (r.bet_count_today, r.max_consecutive_loss_count_today)
-        for r in base_rows(make_events(rows), chunk_seconds=chunk)
+        for r in base_rows(make_events(rows), chunk_seconds=chunk, limit=100)
     }
     assert got == expected_runs(rows)
 
 
-def test_crowded_chunks_are_split_without_changing_results(spark, make_events):
+def test_large_days_and_chunks_are_split_without_changing_results(spark, make_events):
     rows = random_events(5)
     local = daily.local_events(daily.filter_events(make_events(rows))).repartition(5)
-    crowded = daily.crowded_chunks(local, limit=20)
-    assert 0 < crowded.count() <= len(rows) // 20
+    cuts = daily.find_cuts(local, limit=20)
+    assert 0 < cuts.days.count() <= len(rows) // 20 and 0 < cuts.chunks.count() <= len(rows) // 20
     # At this size Spark would merge the range partitions again.
     merging = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(merging, "false")
     try:
-        pieces = daily.chunk_summaries(local, crowded=crowded)
+        pieces = daily.chunk_summaries(local, cuts)
         first_minute = pieces.where("user_id = 'hot' AND n > 20").agg(F.count("*"), F.max("n"))
         assert first_minute.first()[0] >= 3 and first_minute.first()[1] < 700
     finally:
         spark.conf.set(merging, "true")
     got = {
         (r.user_id, r.bet_date): (r.bet_count_today, r.max_consecutive_loss_count_today)
-        for r in daily.user_day_base(local, crowded=crowded).collect()
+        for r in daily.user_day_base(local, cuts).collect()
     }
     assert got == expected_runs(rows)
 
 
-def test_workflow_with_and_without_crowd_limit_agree(make_events):
+def test_second_exchange_carries_one_row_for_each_ordinary_user_day(make_events):
+    rows = [r for r in random_events(8) if r["user_id"] != "hot"]
+    local = daily.local_events(daily.filter_events(make_events(rows)))
+    cuts = daily.find_cuts(local)
+    assert cuts.days is None and cuts.chunks is None
+    assert daily.chunk_summaries(local, cuts).count() == len(expected_runs(rows))
+
+
+def test_one_large_day_is_the_only_one_cut(make_events):
+    rows = random_events(8)
+    local = daily.local_events(daily.filter_events(make_events(rows)))
+    cuts = daily.find_cuts(local, limit=1000)
+    assert [r.user_id for r in cuts.days.collect()] == ["hot"]
+    per_day = daily.chunk_summaries(local, cuts).groupBy("user_id", "bet_date").count()
+    assert per_day.where("user_id <> 'hot' AND count > 1").isEmpty()
+    assert not per_day.where("user_id = 'hot' AND count >= 3").isEmpty()
+
+
+def test_unknown_users_keep_their_days(make_events):
+    rows = [{"user_id": None, "event_id": str(i), "created_at": NOON, "profit": -1.0} for i in range(5)]
+    for limit in (daily.DAY_LIMIT, 2):
+        local = daily.local_events(daily.filter_events(make_events(rows)))
+        (row,) = daily.user_day_base(local, daily.find_cuts(local, limit)).collect()
+        assert (row.user_id, row.bet_count_today, row.max_consecutive_loss_count_today) == (None, 5, 5)
+        assert daily.loss_groups(local, daily.find_cuts(local, limit)).count() == 5
+
+
+def test_workflow_with_and_without_large_days_agrees(make_events):
     events = make_events(random_events(6, 800))
     plain = features_from_events(events)
-    split = features_from_events(events, crowd_limit=15)
+    split = features_from_events(events, day_limit=15)
     assert plain.count() == split.count()
     picked = ["user_id", "bet_date", "bet_count_today", "max_consecutive_loss_count_today"]
     assert plain.select(picked).exceptAll(split.select(picked)).isEmpty()

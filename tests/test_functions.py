@@ -35,7 +35,22 @@ def test_quantiles_through_brackets(spark):
         "tied": np.concatenate([np.zeros(7_000), rng.integers(0, 5, 14_000)]),
         "signed": rng.normal(size=9_000) * 1e6,
     }
-    check_quantiles(spark, groups, accuracy=400, small_group=100)
+    check_quantiles(spark, groups, accuracy=400, rank_rows=50)
+    check_quantiles(spark, groups)
+
+
+def test_quantiles_between_two_heavy_values(spark):
+    """The rank lies in a thin crowd of values between two that hold nearly all rows."""
+    rng = np.random.default_rng(2)
+    thin = np.sort(rng.random(300))
+    values = np.concatenate([np.zeros(5_000), thin, np.ones(5_000)])
+    check_quantiles(spark, {"thin": values, "half": np.array([0.0] * 3_000 + [1.0] * 3_000)}, rank_rows=20)
+
+
+def test_too_many_groups_are_refused(spark):
+    df = spark.range(20).select(F.col("id").alias("g"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(ValueError):
+        exact_quantiles(df, ["g"], "v", {"m": 0.5}, max_groups=10)
 
 
 def test_quantiles_skip_missing(spark):
@@ -68,10 +83,20 @@ def test_clip_keeps_missing(spark):
 def test_display_text(spark):
     df = spark.createDataFrame([(1234567.00005, 0.12346), (None, None)], "x double, p double")
     got = df.select(C.fixed4(F.col("x")), C.plain4(F.col("x")), C.percent2(F.col("p"))).collect()
-    assert tuple(got[0]) == ("1,234,567.0001", "1234567.0001", "12.35%")
+    assert tuple(got[0]) == (f"{1234567.00005:,.4f}", f"{1234567.00005:.4f}", "12.35%")
     assert tuple(got[1]) == ("", "", "")
 
 
+def test_text_rounds_the_binary_value_as_python_does(spark):
+    values = [0.00125, 0.00375, 0.03125, 0.125, 1.005, -0.00375, 2.5, 1e15, 12345.67885]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    x = F.col("x")
+    got = df.select(x, C.fixed4(x), C.plain4(x), C.percent2(x), C.rounded(x, 2)).collect()
+    for v, fixed, plain, share, two in got:
+        assert (fixed, plain, share) == (f"{v:,.4f}", f"{v:.4f}", f"{v * 100:.2f}%")
+        assert two == float(f"{v:.2f}")
+
+
 def test_small_table_refuses_large_input(spark):
     df = spark.range(20).withColumnRenamed("id", "k")
     assert len(small_table(df, "k")) == 20

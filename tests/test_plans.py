@@ -35,11 +35,20 @@ def local(spark):
 
 
 def test_features_need_two_exchanges(local):
-    plan = plan_of(user_day_features(daily.user_day_base(local)))
+    plan = plan_of(user_day_features(daily.user_day_base(local, daily.find_cuts(local))))
     assert exchanges(plan) == ["hashpartitioning", "hashpartitioning"]
     assert "Python" not in plan and "Join" not in plan
 
 
+def test_base_plan_does_not_depend_on_the_size_of_the_table(spark):
+    def shape(sf):
+        rows = daily.local_events(daily.filter_events(adapters.from_events(spark, sf)))
+        plan = plan_of(daily.user_day_base(rows, daily.find_cuts(rows)))
+        return re.findall(r"[A-Z]\w+(?=[ (])", re.sub(r"#\d+L?|Location: .*", "", plan))
+
+    assert shape(SF) == shape("/root/testdata/sf0.1")
+
+
 def test_date_range_reaches_the_scan(spark):
     kept = daily.filter_events(adapters.from_events(spark, SF), "2024-01-05", "2024-01-07")
     plan = plan_of(daily.local_events(kept).select("user_id", "bet"))

@@ -1,5 +1,5 @@
 import json
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from types import SimpleNamespace
 
 import pytest
@@ -90,7 +90,7 @@ def test_lookup_compares_ids_as_text(make_events):
 
 
 def test_whole_run_writes_every_table(spark, make_events, tmp_path):
-    run = workflow.run(make_events(random_events(9, 600)), n_states=2, max_iter=3, crowd_limit=50)
+    run = workflow.run(make_events(random_events(9, 600)), n_states=2, max_iter=3, day_limit=50)
     assert run.labelled.count() == run.features.count()
     assert run.profile.agg(F.sum("rows")).first()[0] == run.features.count()
     assert run.profile.agg(F.sum("row_share")).first()[0] == pytest.approx(1.0)
@@ -100,7 +100,25 @@ def test_whole_run_writes_every_table(spark, make_events, tmp_path):
     assert summary["rows"] == run.features.count() and summary["iterations"] <= 3
     names = {p.name for p in (tmp_path / "run").iterdir()} | {p.name for p in (tmp_path / "eda").iterdir()}
     assert names == {
-        "user_day_with_state", "stats", "state_profile", "state_means_z", "state_covars_z",
-        "transition_matrix", "transition_matrix_2step", "model", "model_summary",
-        "feature_summary", "daily_summary", "correlation", "metadata",
+        "user_day_with_state", "features", "stats", "state_profile", "state_profile_readable", "state_means_z",
+        "state_covars_z", "transition_matrix", "transition_matrix_2step", "transition_matrix_readable_pct",
+        "history", "model", "model_summary", "feature_summary", "daily_summary", "correlation", "metadata",
+        "report_features", "report_top_correlations", "top_correlations", "charts",
     }
+    assert {p.name for p in (tmp_path / "eda" / "charts").iterdir()} == {
+        "missing_zero", "histogram", "histogram_log1p", "correlation_cells", "daily_trends",
+        "ratio_scatter", "rtp_scatter",
+    }
+    assert summary["min_train_days"] == run.parameters["min_train_days"] == 3
+
+
+def test_tables_are_written_in_order(spark, tmp_path):
+    rows = [(f"u{i % 7}", date(2026, 1, 1) + timedelta(days=i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "user_id string, bet_date date").repartition(5)
+    sinks.write_sorted(df, str(tmp_path / "sorted"))
+    ranges = []
+    for part in sorted((tmp_path / "sorted").glob("part-*")):
+        got = [(r.user_id, r.bet_date) for r in spark.read.parquet(str(part)).collect()]
+        assert got == sorted(got)
+        ranges += [(got[0], got[-1])] if got else []
+    assert all(a[1] <= b[0] for a, b in zip(sorted(ranges), sorted(ranges)[1:]))
