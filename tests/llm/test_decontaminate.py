@@ -38,7 +38,6 @@ def run(spark, rows, items, **kw):
     kept = decontaminate.clean(docs, bench, **kw)
     assert kept.columns == docs.columns
     want = brute(rows, items)
-    assert sorted((r[0], r[1], r[2], list(r[3]), r[4]) for r in got) == want if None not in [r[0] for r in rows] else True
     assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
     clean_ids = sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr)
     assert clean_ids == sorted((w[0] for w in want if not w[4]), key=repr)
