@@ -48,6 +48,8 @@ AROUND = 8  # words on each side of a term
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[0x80:] = False
 SEPARATORS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789@$*")] = False
+#: What is no letter at either end of a word: masks, and quotation marks beyond ASCII.
+EDGES = "@$*«»“”„‘’‚…–—"
 WORD = re.compile(r"[^\W\d_]{3,}")
 
 FEATURES = [
@@ -246,13 +248,15 @@ def term_features(lexicon: Lexicon, column: pa.Array) -> dict[str, np.ndarray]:
     term = np.full(len(first), -1, np.int64)
     edits = np.zeros(len(first), np.int64)
     for i, at in enumerate(first):
-        word = data[words.begin[at] : words.end[at]].tobytes().decode("utf-8", "replace").lower().strip("@$*")
+        word = data[words.begin[at] : words.end[at]].tobytes().decode("utf-8", "replace").lower().strip(EDGES)
         if 3 <= len(word) <= 40:
             term[i], edits[i] = lexicon.match(word)
     hit = np.flatnonzero(term[same] >= 0)
     kind, fuzzy = term[same][hit], edits[same][hit] > 0
     owner = words.text_number()[hit]
-    quoted = _quoted(data, words.offsets, words.begin[hit]) if len(hit) else np.zeros(0, bool)
+    # marks beyond ASCII are at the ends of a word, so its middle is looked at
+    middle = (words.begin[hit] + words.end[hit]) // 2
+    quoted = _quoted(data, words.offsets, middle) if len(hit) else np.zeros(0, bool)
     # other terms of the same text in the window around each term
     low = np.maximum(np.searchsorted(hit, hit - AROUND), np.searchsorted(owner, owner))
     high = np.minimum(np.searchsorted(hit, hit + AROUND, "right"), np.searchsorted(owner, owner, "right"))
