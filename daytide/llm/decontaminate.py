@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daytide.session import stage
+
 # What separates words, after A-Z became a-z.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,6 +83,7 @@ def occurrences(
         .where("first.n > 0")
         .select("words", "item_ids", F.col("first.word").alias("word"), F.col("first.offset").alias("offset"))
     )
+    rarest = stage(rarest, "anchors")  # its size is checked before it is joined
     at = split.select("key", "w", F.posexplode("w").alias("place", "word")).alias("d")
     anchors = _bounded(rarest, broadcast_rows).alias("a")
     start = F.expr("d.place - a.offset")
