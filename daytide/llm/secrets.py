@@ -70,6 +70,15 @@ def classes(window: int) -> list[EntropyClass]:
 ALLOW = [r"(?i)example|sample|dummy|placeholder|x{6}|\*{6}", r"(?i)0123456789|abcdefgh", r"(.)\1{7}"]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once.
+
+    Inside a lambda Spark computes an expression again for every element, so whatever a
+    lambda refers to is bound here first, as the only element of an array.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _running(lengths: Column, block: int = 256) -> Column:
     """Running sums of an array, in blocks, so that long arrays take no quadratic copying."""
     none = F.array().cast("array<int>")
@@ -79,14 +88,17 @@ def _running(lengths: Column, block: int = 256) -> Column:
             part, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
         )
 
+    def joined(blocks: Column) -> Column:
+        heads = plain(F.transform(blocks, lambda x: F.element_at(x, -1)))
+        return let(heads, lambda h: F.flatten(F.transform(blocks, lambda x, i: shifted(x, h, i))))
+
+    def shifted(part: Column, heads: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.get(heads, i - 1))
+        return let(before, lambda n: F.transform(part, lambda v: v + n))
+
     last = F.floor((F.size(lengths) - 1) / block).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), last), lambda b: plain(F.slice(lengths, b * block + 1, F.lit(block))))
-    heads = plain(F.transform(blocks, lambda x: F.element_at(x, -1)))
-    shifted = F.transform(
-        blocks,
-        lambda x, i: F.transform(x, lambda v: v + F.when(i == 0, 0).otherwise(F.get(heads, i - 1))),
-    )
-    return F.when(F.size(lengths) > 0, F.flatten(shifted)).otherwise(none)
+    return F.when(F.size(lengths) > 0, let(blocks, joined)).otherwise(none)
 
 
 def matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
@@ -95,21 +107,28 @@ def matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     What lies between the matches and the matches themselves fill the text, so running
     lengths give the places.
     """
-    whole, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    found = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    lengths = F.transform(whole, lambda m, i: F.length(m) + F.length(F.get(between, i)))
-    spans = F.zip_with(
-        F.arrays_zip(whole.alias("w"), found.alias("f")),
-        _running(lengths),
-        lambda m, end: F.struct(
-            (end - F.length(m["w"])).alias("start"),
-            F.lit(KINDS.index(kind)).alias("rank"),
-            end.alias("end"),
-            F.lit(kind).alias("kind"),
-            m["f"].alias("found"),
-        ),
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("found"),
+        F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
     )
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
+
+    def placed(p: Column) -> Column:
+        lengths = F.zip_with(p["whole"], p["gaps"], lambda m, gap: F.length(m) + gap)
+        # the gap after the last match has no match: its length is unknown here
+        return F.zip_with(
+            F.arrays_zip(p["whole"], p["found"]),
+            let(F.filter(lengths, lambda n: n.isNotNull()), lambda n: _running(n)),
+            lambda m, end: F.struct(
+                (end - F.length(m["whole"])).alias("start"),
+                F.lit(KINDS.index(kind)).alias("rank"),
+                end.alias("end"),
+                F.lit(kind).alias("kind"),
+                m["found"].alias("found"),
+            ),
+        )
+
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(SPANS))
 
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,found:string>"
@@ -125,7 +144,7 @@ def dense_part(found: Column, one: EntropyClass, window: int) -> Column:
     """
     terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
     chars = F.split(F.lower(found) if one.fold else found, "")
-    codes = F.transform(chars, lambda c: F.position(c, F.lit(one.letters)))
+    numbers = F.transform(chars, lambda c: F.position(c, F.lit(one.letters)))
     start = F.struct(
         F.array_repeat(F.lit(0), len(one.letters)).alias("counts"),
         F.lit(0.0).alias("sum"),
@@ -133,7 +152,7 @@ def dense_part(found: Column, one: EntropyClass, window: int) -> Column:
         F.lit(None).cast("int").alias("last"),
     )
 
-    def step(state: Column, i: Column) -> Column:
+    def step(codes: Column, state: Column, i: Column) -> Column:
         full = i > window
         came = F.get(codes, i - 1)
         left = F.when(full, F.get(codes, i - 1 - window)).otherwise(0)
@@ -152,9 +171,9 @@ def dense_part(found: Column, one: EntropyClass, window: int) -> Column:
             F.when(dense, i).otherwise(state["last"]).alias("last"),
         )
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(found)), start, step, lambda s: F.struct(s["first"], s["last"])
-    )
+    places = F.sequence(F.lit(1), F.length(found))
+    ends = lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))
+    return let(numbers, lambda codes: F.aggregate(places, start, lambda s, i: step(codes, s, i), ends))
 
 
 def entropy_spans(text: Column, one: EntropyClass, window: int, allow: list[str]) -> Column:
@@ -169,8 +188,7 @@ def entropy_spans(text: Column, one: EntropyClass, window: int, allow: list[str]
             ok = ok & ~found.rlike(pattern)
         return ok
 
-    def narrowed(span: Column) -> Column:
-        part = dense_part(span["found"], one, window)
+    def narrowed(span: Column, part: Column) -> Column:
         start = (span["start"] + part["first"] - window).cast("int")
         end = (span["start"] + part["last"]).cast("int")
         length = part["last"] - part["first"] + window
@@ -180,7 +198,8 @@ def entropy_spans(text: Column, one: EntropyClass, window: int, allow: list[str]
         )
 
     candidates = F.filter(matches(text, one.run, one.kind), wanted)
-    return F.filter(F.transform(candidates, narrowed), lambda s: s["start"].isNotNull())
+    parts = F.transform(candidates, lambda s: let(dense_part(s["found"], one, window), lambda p: narrowed(s, p)))
+    return F.filter(parts, lambda s: s["start"].isNotNull())
 
 
 def base_spans(text: Column) -> Column:
@@ -217,8 +236,12 @@ def scan(
     given = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    based = given.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    return based.select("doc_id", "base", all_spans(F.col("base"), F.col("text"), window, allow).alias("spans"))
+    body = F.col("text")
+    found = let(
+        base_spans(body),
+        lambda base: F.struct(base.alias("base"), all_spans(base, body, window, allow).alias("spans")),
+    )
+    return given.select("doc_id", found.alias("f")).select("doc_id", "f.base", "f.spans")
 
 
 def redact(
@@ -229,8 +252,7 @@ def redact(
     Overlapping spans are masked once, as their union.
     """
     column = F.col(text).cast("string")
-    base = base_spans(column)
-    spans = all_spans(base, column, window, allow)
+    spans = let(base_spans(column), lambda base: all_spans(base, column, window, allow))
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def step(state: Column, span: Column) -> Column:
@@ -244,4 +266,5 @@ def redact(
     masked = F.aggregate(
         spans, start, step, lambda s: F.concat(s["done"], F.substr(column, s["at"] + 1, F.length(column)))
     )
-    return docs.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(column))
+    # without a span the result is the text itself
+    return docs.withColumn(text, F.when(column.isNotNull(), masked))
