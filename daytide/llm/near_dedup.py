@@ -8,7 +8,7 @@ shingle; without words the set is empty and links with nothing). Steps:
 2. A class keeps the ``k`` smallest of its hash values, its sketch. The sketch of a union
    is the k smallest of both sketches, and the share of common values in it estimates the
    Jaccard similarity. Classes that are similar enough share at least ``need`` sketch
-   values but for a chance below 1e-8 (never, for sets the sketch holds whole).
+   values but for a chance of about 1e-7 (never, for sets the sketch holds whole).
 3. Inverted lists of the retained values give the overlaps. Values go by rarity, and a
    class enters only the lists of its rarest values, as many as suffice to meet every
    class that shares ``need`` values. A passage that a third of the documents carry is
@@ -19,7 +19,7 @@ shingle; without words the set is empty and links with nothing). Steps:
    prefix join on the full sets, exact and bounded by place, which meets only members of
    different components that can still be similar.
 5. A pair passes the estimate on the union sketch (with a margin below which a true link
-   has a chance under 1e-8) and then exact Jaccard on the full sets of shingle hashes.
+   has a chance of about 1e-7) and then exact Jaccard on the full sets of shingle hashes.
 
 Links are closed to components by spreading the smallest id, with tables written between
 passes; no link or component comes to the driver.
