@@ -1,9 +1,11 @@
 """Toxicity by a learnt lexicon, Levenshtein automata and context windows.
 
 1. The lexicon is learnt from the labelled rows outside the held-out fold: words, and stems
-   (beginnings of words), that documents marked toxic have and others lack.
+   (beginnings of words), that documents marked toxic have and others lack. A word stays a
+   term of its own, with its edits, beside a stem that it begins with.
 2. The lexicon is a trie. A Levenshtein automaton for each term, all run at once along the
-   trie, accepts a word within the edits its length allows. The intersection is made
+   trie, accepts a word within the edits its length allows. A stem of five letters or more
+   allows edits before its last letter, which has to be there. The intersection is made
    deterministic as words ask for it, so a word costs one look-up a letter and most words
    end after a few letters.
 3. Each accepted word is judged in its context: a window of words around it counts the
@@ -75,7 +77,7 @@ class Term:
     def edits(self) -> int:
         """Edits that still count as this term."""
         n = len(self.letters)
-        return 0 if self.stem or n < 5 else 1 if n < 8 else 2
+        return 0 if n < 5 else 1 if n < 8 else 2
 
 
 @dataclass
@@ -86,6 +88,9 @@ class Node:
     most: int = 0  # edits allowed to any term below
 
 
+NONE = (3, -1)  # (edits, term number) where no term is
+
+
 class Lexicon:
     """The trie and the lazily determined automaton over it."""
 
@@ -111,15 +116,18 @@ class Lexicon:
         self._restart()
 
     def _restart(self):
-        self.numbers: dict[frozenset, int] = {}
+        self.numbers: dict[tuple, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.stems: list[int] = []
+        self.stems: list[tuple[int, int]] = []
         self.cells = 0
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0)}, NONE)
 
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
-        """The number of a set of (node, edits) once letters of the trie may be skipped."""
+    def _state(self, pairs: set[tuple[int, int]], stem: tuple[int, int]) -> int:
+        """The number of a set of (node, edits) once letters of the trie may be skipped.
+
+        ``stem`` is the (edits, term number) of the closest stem whose last letter led here.
+        """
         todo = list(pairs)
         while todo:
             node, edits = todo.pop()
@@ -127,16 +135,16 @@ class Lexicon:
                 if edits < self.nodes[child].most and (child, edits + 1) not in pairs:
                     pairs.add((child, edits + 1))
                     todo.append((child, edits + 1))
-        key = frozenset(pairs)
+        key = (frozenset(pairs), stem)
         if key not in self.numbers:
             self.numbers[key] = len(self.sets)
-            self.sets.append(key)
+            self.sets.append(key[0])
             self.moves.append({})
-            self.stems.append(max((self.nodes[n].stem for n, e in key if e == 0), default=-1))
+            self.stems.append(stem)
         return self.numbers[key]
 
     def _move(self, state: int, letter: str) -> int:
-        after = set()
+        after, stem = set(), NONE
         for node, edits in self.sets[state]:
             one = self.nodes[node]
             if edits < one.most:
@@ -144,9 +152,12 @@ class Lexicon:
             for other, child in one.children.items():
                 if other == letter:
                     after.add((child, edits))
+                    number = self.nodes[child].stem
+                    if number >= 0 and edits <= self.terms[number].edits:
+                        stem = min(stem, (edits, number))
                 elif edits < self.nodes[child].most:
                     after.add((child, edits + 1))  # another letter
-        to = self._state(after) if after else -1
+        to = self._state(after, stem) if after else -1
         self.moves[state][letter] = to
         self.cells += 1
         return to
@@ -155,16 +166,16 @@ class Lexicon:
         """(term number, edits) of the closest term, or (-1, 0)."""
         if self.cells > self.LIMIT:
             self._restart()
-        state = self.start
+        state, best = self.start, NONE
         for letter in word:
             to = self.moves[state].get(letter)
             state = self._move(state, letter) if to is None else to
             if state < 0:
-                return -1, 0
-            if self.stems[state] >= 0:
-                return self.stems[state], 0
-        best = (3, -1)
-        for node, edits in self.sets[state]:
+                break
+            best = min(best, self.stems[state])
+            if best[0] == 0:
+                return best[1], 0
+        for node, edits in self.sets[state] if state >= 0 else ():
             number = self.nodes[node].term
             if number >= 0 and edits <= self.terms[number].edits:
                 best = min(best, (edits, number))
@@ -207,6 +218,7 @@ def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> list[Term]:
     best = best.withColumn("gain", F.col("toxic") * F.log(ratio))
     best = best.orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(20 * terms).collect()
     chosen: dict[str, int] = {}
+    beside: list[str] = []
     for row in best:
         term, docs = row["term"], row["toxic"]
         bare = term.rstrip("*")
@@ -214,11 +226,11 @@ def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> list[Term]:
         implied = term.endswith("*") and any(
             c.rstrip("*").startswith(bare) and docs <= 1.2 * n for c, n in chosen.items()
         )
-        if not known and not implied:
+        if known and bare == term:
+            beside.append(term)  # the stem has no edits at its end; takes no room of the others
+        elif not known and not implied and len(chosen) < terms:
             chosen[term] = docs
-        if len(chosen) >= terms:
-            break
-    return [Term(t.rstrip("*"), t.endswith("*")) for t in chosen]
+    return [Term(t.rstrip("*"), t.endswith("*")) for t in [*chosen, *beside]]
 
 
 # --- terms in context -----------------------------------------------------------------

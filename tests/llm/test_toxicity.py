@@ -104,6 +104,48 @@ def test_held_out_accuracy_and_misspellings(spark):
         assert r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
 
 
+def test_stems_allow_edits_before_their_last_letter():
+    rng = random.Random(3)
+    terms = [t.Term("abbab", True), t.Term("cabbages", True), t.Term("abbab", False), t.Term("caab", True)]
+    lexicon = t.Lexicon(terms)
+    hits = 0
+    for _ in range(4000):
+        word = list(rng.choice(terms).letters)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(word))
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "g"])
+        word = "".join(word) + rng.choice(["", "x", "aby"])
+        close = [distance(word, terms[2].letters)] if distance(word, terms[2].letters) <= 1 else []
+        for stem in terms:
+            heads = [word[: i + 1] for i, x in enumerate(word) if stem.stem and x == stem.letters[-1]]
+            edits = [distance(h[:-1], stem.letters[:-1]) for h in heads]
+            close += [e for e in edits if e <= stem.edits]
+        got, edits = lexicon.match(word)
+        assert (got >= 0) == bool(close), word
+        if close:
+            assert edits == min(close), word
+            hits += edits > 0
+    assert hits > 300
+
+
+def test_misspelled_documents_score_through_the_learnt_lexicon(spark, monkeypatch):
+    bad = ["grumb", "vlirps", "snorkel", "plinkers"]  # of the lengths that stems have, and one more
+    monkeypatch.setattr(f"{__name__}.BAD", bad)
+    rows, labels = corpus(800)
+    rng = random.Random(4)
+    for i in range(0, 800, 3):  # misspelled in a third of the labelled documents as well
+        for word in bad:
+            at = rng.randrange(1, len(word) - 1)
+            rows[i] = (i, rows[i][1].replace(word, word[:at] + "z" + word[at + 1 :]))
+    wrong = {1000 + i: f"calon dumer {w[:2]}q{w[3:]} calon dumer {w[:1]}q{w[2:]} balon" for i, w in enumerate(bad)}
+    marked = [(text, label) for (_, text), (_, label) in zip(rows, labels)]
+    learnt = t.learn_lexicon(spark.createDataFrame(marked, "text string, label int"))
+    assert {x.letters for x in learnt if not x.stem and x.edits} >= set(bad)
+    got = {r.doc_id: r.score for r in run(spark, rows + list(wrong.items()) + [(2000, "calon dumer balon " * 3)], labels)}
+    assert got[2000] < 0.1
+    assert min(got[d] for d in wrong) > 0.5
+
+
 def test_held_out_labels_are_not_learnt(spark):
     rows, labels = corpus(300)
     wrong = [(d, 1 - y if held(d) else y) for d, y in labels]
