@@ -13,6 +13,11 @@ encodes each distinct stretch (white space and the word after it) once and joins
 token borders never lie elsewhere, because white space starts a new pre-token. Texts with
 rarer white space are encoded whole.
 
+With ``added`` a text's literal added tokens (such as ``<|endoftext|>``) get their own ids,
+as the tokenizer gives them when called with ``add_special_tokens=False`` and nothing else
+set; texts that hold one are encoded whole. The registered query and the pipeline do so.
+Without it such text is encoded as ordinary characters.
+
 Defined cases: a null text is empty and is the one token that ends a document; equal rows
 are packed each; a null doc_id stays null; an empty table gives an empty result; columns
 other than id and text are left behind.
@@ -40,18 +45,20 @@ END = 0
 RARE_SPACE = re.compile("[\x85\xa0  -     　]")
 LONGEST_GAP = 16
 CACHED = 2_000_000
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
     """Token ids of whole texts, with a cache of the stretches met so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else ()
+        self.added = [t.content for t in tokens]
         names = (self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size()))
         self.width = np.array([len(n or "") for n in names], np.int64)  # bytes of each token
         self.keys = np.zeros(0, np.uint64)
@@ -107,6 +114,8 @@ class Encoder:
         for row, text in enumerate(values):
             if text and not text.isascii() and RARE_SPACE.search(text):
                 odd[row] = True
+            elif text and any(content in text for content in self.added):
+                odd[row] = True
         usable = ~odd[number]
         wanted, at = np.unique(keys[usable], return_index=True)
         at = np.flatnonzero(usable)[at]
@@ -141,11 +150,11 @@ class Encoder:
         return np.flatnonzero(self.keys[near] != keys)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The worker's encoder; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 def piece_lengths(total: int, size: int) -> list[int]:
@@ -168,9 +177,9 @@ PIECE = pa.schema(
 )
 
 
-def _cut(path: str, size: int, with_ids: bool):
+def _cut(path: str, size: int, with_ids: bool, added: bool):
     def kernel(batches):
-        own = encoder(path)
+        own = encoder(path, added)
         end = np.array([END], np.uint32)
         for batch in parts(batches):
             rows = []
@@ -188,10 +197,12 @@ def _cut(path: str, size: int, with_ids: bool):
     return kernel
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, doc_id="doc_id", text="text", with_ids=False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, size: int = SIZE, doc_id="doc_id", text="text", with_ids=False, added=False
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): each document's pieces of at most size tokens."""
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
-    return texts(docs, doc_id, text).mapInArrow(_cut(tokenizer, size, with_ids), kind)
+    return texts(docs, doc_id, text).mapInArrow(_cut(tokenizer, size, with_ids, added), kind)
 
 
 # --- the plan, from the histogram alone ---------------------------------------------
@@ -313,14 +324,29 @@ def place(cut: DataFrame, size: int = SIZE, rows_a_salt: int = 200_000) -> DataF
     return found.select(*own, F.expr("s.sequence + p.rank - s.low").alias("sequence_id"), F.col("s.offset"))
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    size: int = SIZE,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    added: bool = False,
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = pieces(docs, tokenizer, size, doc_id, text).drop("ids")
+    cut = pieces(docs, tokenizer, size, doc_id, text, added=added).drop("ids")
     return place(stage(cut, "pieces"), size)
 
 
-def sequences(docs: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sequences(
+    docs: DataFrame,
+    tokenizer: str,
+    size: int = SIZE,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    added: bool = False,
+) -> DataFrame:
     """(sequence_id, ids): the packed token sequences themselves, for writing."""
-    placed = place(stage(pieces(docs, tokenizer, size, doc_id, text, with_ids=True), "pieces"), size)
+    cut = pieces(docs, tokenizer, size, doc_id, text, with_ids=True, added=added)
+    placed = place(stage(cut, "pieces"), size)
     rows = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return rows.select("sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))

@@ -70,7 +70,7 @@ def tokenizer_path() -> str:
 
 def op6_best_fit_packing(spark, sf_dir):
     """Every document's token pieces with their place in sequences of 2048 tokens."""
-    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

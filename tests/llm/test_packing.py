@@ -6,8 +6,9 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from daytide.llm import packing
-from daytide.llm.queries import tokenizer_path
+from daytide.llm.queries import op6_best_fit_packing, tokenizer_path
 from tests.llm.helpers import documents, random_texts
 
 PATH = tokenizer_path()
@@ -45,6 +46,35 @@ def test_a_full_cache_starts_anew(tokenizer, monkeypatch):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+ADDED = [
+    "<|endoftext|> hi", "a<|endoftext|>b", "<|endoftext|>", "x \n<|endoftext|><|endoftext|> y ", "<|endoftext|", "é\xa0<|endoftext|> ",
+    "it's " * 3000 + "<|endoftext|>",
+]
+
+
+def test_ids_are_those_of_the_unmodified_tokenizer():
+    plain = Tokenizer.from_file(PATH)
+    assert plain.encode(ADDED[0], add_special_tokens=False).ids == [50256, 23105]
+    own = packing.Encoder(PATH, added=True)
+    for texts in (ODD, ADDED + ODD + random_texts(9, 50)):
+        for text, ids in zip(texts, own.encode(pa.array(texts))):
+            assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_the_query_and_the_pipeline_use_the_unmodified_tokenizer(spark, tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    rows = list(enumerate(ADDED))
+    docs = documents(spark, rows, clash=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (op6_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        got = {(r.doc_id, r.start): r.ids_crc32 for r in out.collect()}
+        for doc, text in rows:
+            ids = np.array(plain.encode(text, add_special_tokens=False).ids + [0], "<u4")
+            for (d, start), crc in got.items():
+                end = min([s for o, s in got if o == d and s > start], default=len(ids))
+                assert d != doc or crc == zlib.crc32(ids[start:end].tobytes()), repr(text[:40])
+
+
 def placements(rows, size):
     """Check that the pieces of each sequence follow each other; number of sequences."""
     by = {}
