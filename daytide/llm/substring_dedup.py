@@ -1,6 +1,6 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The documents are dealt into blocks of bounded size. Every block is indexed as reference
+The documents are dealt into blocks of bounded size, by id and text. Every block is indexed as reference
 text: each distinct window of ``window`` words, by hash, with its earliest place. The
 index is spread over hash shards, so a block meets every other block without a pair of
 blocks ever being formed, and a window that a third of the documents share is one entry a
@@ -18,7 +18,7 @@ Windows are compared by 64-bit hashes of 64-bit word hashes.
 
 Defined cases: a null text has no words; a document of fewer words than a window has no
 factor; a null doc_id is smaller than every other; rows with one doc_id never remove each
-other's words, and each gives a row; an empty table gives an empty result; columns other
+other's words, and each gives a row (equal rows share a block); an empty table gives an empty result; columns other
 than id and text are left behind.
 """
 
@@ -40,8 +40,13 @@ FACTORS = "array<struct<start:int,length:int,ref_doc:long,ref_start:int>>"
 
 
 def _block(table: pa.Table):
-    """Ids, texts and words of a block, documents in ascending order."""
-    order = pc.sort_indices(table, [("doc_id", "ascending")], null_placement="at_start")
+    """Ids, texts and words of a block, documents in ascending order.
+
+    Places are word numbers in a block, and two passes make them from rows that arrive in
+    any order; so rows of one id are in order of their texts.
+    """
+    by = [("doc_id", "ascending"), ("text", "ascending")]
+    order = pc.sort_indices(table, by, null_placement="at_start")
     table = table.take(order)
     ids = pc.fill_null(table["doc_id"], NO_ID).to_numpy().astype(np.int64)
     return ids, table["text"], Words(table["text"])
@@ -184,6 +189,12 @@ RESULT = pa.schema(
 )
 
 
+def _dealt(kept: DataFrame, blocks: int) -> DataFrame:
+    """Block, id and text of every row; rows of one id, or of none, go to many blocks."""
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    return kept.select(block.alias("block"), "doc_id", "text")
+
+
 def remove_repeats(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -199,8 +210,7 @@ def remove_repeats(
     """
     kept = texts(docs, doc_id, text)
     blocks = group_count(kept, "text", block_mb)
-    dealt = kept.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    dealt = dealt.select("block", "doc_id", "text").groupBy("block")
+    dealt = _dealt(kept, blocks).groupBy("block")
     index = dealt.applyInArrow(_index(window, blocks), "shard int, block int, hashes binary, places binary")
     answers = index.groupBy("shard").applyInArrow(_match, "block int, pointers binary")
     return dealt.cogroup(answers.groupBy("block")).applyInArrow(
