@@ -34,6 +34,8 @@ CHUNK = 64
 #: Bounds of the training sample: documents of each language, windows of each document.
 DOCS_A_LANGUAGE = 800
 WINDOWS_A_DOC = 2
+#: Share of the labelled windows that are less certain than the cut of keep_known().
+UNCERTAIN = 1 / 1000
 
 
 @dataclass
@@ -44,6 +46,7 @@ class ByteNet:
     bias: np.ndarray
     dense: np.ndarray
     dense_bias: np.ndarray
+    least: float = 0.0  # best probability that a text of a learnt language has, see calibrated()
 
     def convolved(self, windows: np.ndarray):
         """Activations (filters x windows x places) and the embedded spans they come from."""
@@ -122,6 +125,15 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs:
     return net
 
 
+def calibrated(net: ByteNet, windows: np.ndarray) -> float:
+    """The best probability that all but UNCERTAIN of these labelled windows reach.
+
+    It is above that of undecided texts, 1 / languages, however many languages there are.
+    """
+    best = np.sort(net.probabilities(windows).max(axis=1))
+    return float(best[int(UNCERTAIN * len(best))]) - 1e-6
+
+
 def windows_of(data: np.ndarray, offsets: np.ndarray):
     """All windows of all texts, padded with spaces, with their text number and byte count."""
     size = np.diff(offsets)
@@ -172,7 +184,11 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     )
     windows, target, languages = sample(given, "lang")
-    return train(windows, target, languages) if len(windows) else None
+    if not len(windows):
+        return None
+    net = train(windows, target, languages)
+    net.least = calibrated(net, windows)
+    return net
 
 
 def document_probabilities(net: ByteNet, column: pa.Array) -> np.ndarray:
@@ -224,20 +240,23 @@ def predict(docs: DataFrame, net: ByteNet | None, doc_id: str = "doc_id", text:
     )
 
 
-def keep_known(docs: DataFrame, net: ByteNet | None, text: str = "text", least: float = 0.3) -> DataFrame:
+def keep_known(docs: DataFrame, net: ByteNet | None, text: str = "text", least: float | None = None) -> DataFrame:
     """The rows, with all their columns, whose language the network knows.
 
     Rejected are texts that are null or without a letter, and texts whose best language has
-    a mean probability below ``least``. Nothing is joined or shuffled.
+    a mean probability below ``least``, by default the cut calibrated on the labelled
+    windows. A network of one language is sure of every text and rejects none. Nothing is
+    joined or shuffled.
     """
     ship_package(docs.sparkSession)
     lettered = docs.where(F.col(text).rlike(r"\p{L}"))
     if net is None:
         return lettered.limit(0)
+    cut = net.least if least is None else least
 
     def kernel(batches):
         for batch in parts(batches, text, limit=1 << 20):
             best = document_probabilities(net, batch[text]).max(axis=1)
-            yield batch.filter(pa.array(best >= least))
+            yield batch.filter(pa.array(best >= cut))
 
     return lettered.mapInArrow(kernel, docs.schema)

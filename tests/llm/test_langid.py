@@ -87,6 +87,15 @@ def test_keep_known(spark, net):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
 
 
+def test_keep_known_rejects_by_the_network(spark, net):
+    rng = random.Random(8)
+    clean = rows(200, seed=9)
+    mixed = [(1000 + i, "\n".join(text(rng, lang, 300) for lang in SYLLABLES), None) for i in range(5)]
+    assert 1 / len(net.languages) < net.least < 1
+    kept = langid.keep_known(documents(spark, clean + mixed, kind=KIND), net)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+
+
 def test_without_labels(spark):
     df = documents(spark, [(1, "text", None)], kind=KIND)
     assert langid.learn(df) is None
