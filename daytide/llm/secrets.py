@@ -202,6 +202,26 @@ def entropy_spans(text: Column, one: EntropyClass, window: int, allow: list[str]
     return F.filter(parts, lambda s: s["start"].isNotNull())
 
 
+def _filled(text: Column, pattern: str) -> Column:
+    parts = F.zip_with(
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, found: F.concat(gap, F.repeat(F.lit(" "), F.coalesce(F.length(found), F.lit(0)))),
+    )
+    return F.array_join(parts, "")
+
+
+def _blanked(pattern: str):
+    return lambda t: F.when(t.rlike(pattern), _filled(t, pattern)).otherwise(t)
+
+
+def blanked(text: Column, patterns: list[str]) -> Column:
+    """The text with every match of the patterns as so many spaces; places stay the same."""
+    for pattern in patterns:
+        text = let(text, _blanked(pattern))
+    return text
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the three base kinds in order of start, then kind."""
     assigned = F.filter(
@@ -249,10 +269,13 @@ def redact(
 ) -> DataFrame:
     """The frame with every span of its text replaced by ``mask``; null texts stay null.
 
-    Overlapping spans are masked once, as their union.
+    Overlapping spans are masked once, as their union. The allow-list takes out its own
+    matches only: what is dense beside one in the same run is masked, other than scan(), which
+    lets the whole run go.
     """
     column = F.col(text).cast("string")
-    spans = let(base_spans(column), lambda base: all_spans(base, column, window, allow))
+    bound = F.struct(base_spans(column).alias("base"), blanked(column, allow).alias("rest"))
+    spans = let(bound, lambda b: all_spans(b["base"], b["rest"], window, []))
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def step(state: Column, span: Column) -> Column:

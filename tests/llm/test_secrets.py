@@ -91,6 +91,17 @@ def test_redact_masks_the_union(spark):
     assert [r.text for r in got.orderBy("doc_id").collect()] == ['a [SECRET]" é b', "clean", None]
 
 
+def test_redact_masks_what_is_dense_beside_an_allowed_part(spark):
+    key, more = "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xYzAbCdEfQ", "Zq9Xw7Vb5Nm3Lk1Jh2Gf4Ds6"
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [f"see com/sample-app/{key} é", f"é {key}AAAAAAAA{more}. b", f"a {alphabet} b", "no example here        x", None]
+    got = secrets.redact(documents(spark, list(enumerate(texts)))).orderBy("doc_id")
+    out = [r.text for r in got.collect()]
+    assert key[:30] not in out[0] and "see com/sample" in out[0] and out[0].endswith("[SECRET] é")
+    assert out[1] == "é [SECRET]AAAAAAAA[SECRET]. b"
+    assert out[2:] == texts[2:]
+
+
 def test_no_python_in_the_plan(spark):
     plan = secrets.scan(documents(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
