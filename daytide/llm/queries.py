@@ -19,6 +19,7 @@ from daytide.llm import (
     substring_dedup,
     toxicity,
     warc,
+    whitening,
 )
 from daytide.llm.common import held_out
 from daytide.session import shared_dir
@@ -102,6 +103,11 @@ def op10_language_id(spark, sf_dir):
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    """Every vector on the leading principal components, with unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = [
     op1_substring_dedup,
     op2_decontaminate,
@@ -113,6 +119,7 @@ QUERIES = [
     op8_near_dedup,
     op9_secret_scan,
     op10_language_id,
+    op11_embedding_whitening,
 ]
 
 
