@@ -178,3 +178,52 @@ SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesc
   coalesce(spans, '') AS spans
 FROM d LEFT JOIN listed USING (doc_id)
 """
+
+SQL["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d
+),
+l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic
+  FROM labels GROUP BY doc_id
+),
+g AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (l.good) AS good, count(*) FILTER (l.toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask
+),
+letters(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT p.c || q.c || r.c || s.c || t.c AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31
+),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INTEGER AS earlier
+  FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)
+),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (mask & (earlier | bit) = 0) AS kept,
+    sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0) AS removed,
+    sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0) AS redundant,
+    sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & bit > 0 AND mask & earlier = 0) AS good_lost,
+    sum(toxic) FILTER (mask & bit > 0 AND mask & earlier = 0) AS toxic_lost
+  FROM g, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM counted
+"""

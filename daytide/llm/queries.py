@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daytide.llm import oracle
 from daytide.llm import (
     decontaminate,
+    filter_audit,
     fingerprint,
     langid,
     near_dedup,
@@ -108,6 +109,11 @@ def op11_embedding_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_filter_audit(spark, sf_dir):
+    """Counts of every step of every order of five filters, for each source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = [
     op1_substring_dedup,
     op2_decontaminate,
@@ -120,6 +126,7 @@ QUERIES = [
     op9_secret_scan,
     op10_language_id,
     op11_embedding_whitening,
+    op12_filter_audit,
 ]
 
 
