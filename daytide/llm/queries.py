@@ -13,6 +13,7 @@ from daytide.llm import (
     filter_audit,
     fingerprint,
     langid,
+    lm,
     near_dedup,
     packing,
     quality,
@@ -114,6 +115,11 @@ def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_lm_scoring(spark, sf_dir):
+    """Log-likelihood of every document under a recurrent model and under word counts."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_substring_dedup,
     op2_decontaminate,
@@ -127,6 +133,7 @@ QUERIES = [
     op10_language_id,
     op11_embedding_whitening,
     op12_filter_audit,
+    op13_lm_scoring,
 ]
 
 

@@ -20,7 +20,7 @@ def test_against_sql(spark, name):
     assert differences(connect(SF), Q.queries()[name](spark, SF), Q.oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql()) - {"op11_embedding_whitening"}))
 def test_covers_the_table(spark, name):
     got = Q.queries()[name](spark, SF).select("doc_id").collect()
     want = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{SF}/documents.parquet'").fetchall()}
