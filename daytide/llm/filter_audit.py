@@ -47,8 +47,9 @@ _SYMBOL[list(SYMBOLS)] = True
 #: Characters of the first prefixes, and how much longer the next ones are.
 PREFIX = 12
 LONGER = 4
-#: Bytes of texts that one trie holds, and the most prefixes that are cut further.
+#: Bytes of texts of a partition, and of a prefix that is not cut further; at most so many are.
 TRIE_BYTES = 32_000_000
+CELL_BYTES = 1_000_000
 MOST_HEAVY = 1_000_000
 
 
@@ -216,7 +217,7 @@ def prefix_cells(given: DataFrame, limit: int, most: int = MOST_HEAVY) -> DataFr
 
 
 def failures(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source", trie_bytes: int = TRIE_BYTES
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source", cell_bytes: int = CELL_BYTES
 ) -> DataFrame:
     """(doc_id, part, mask, n): how many rows of an id and part fail which filters."""
     ship_package(docs.sparkSession)
@@ -229,8 +230,8 @@ def failures(
     marked = stage(given.mapInArrow(_marked, kind), "marked")
     left = marked.where(F.col("text").isNotNull())
     total = left.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    limit = max(trie_bytes, total // MOST_HEAVY)
-    tries = max(8, math.ceil(total / limit))
+    limit = max(cell_bytes, total // MOST_HEAVY)
+    tries = max(8, math.ceil(total / max(TRIE_BYTES, limit)))
     dealt = prefix_cells(left, limit).repartitionByRange(tries, "head", "cell").drop("head", "cell")
     kind = "doc_id long, part string, mask int, n long"
     settled = dealt.mapInArrow(_settled, kind)

@@ -97,7 +97,7 @@ def test_empty_tables(spark):
 def test_long_shared_beginnings_are_cut_further(spark):
     head = "the same long licence text " * 200
     rows = [(i, head + f"{i % 30} end" * (i % 4), "x") for i in range(200)] + [(500, head[:12], "x"), (501, "é" * 9, "x")]
-    marks = filter_audit.failures(frame(spark, rows).repartition(9), trie_bytes=20_000).collect()
+    marks = filter_audit.failures(frame(spark, rows).repartition(9), cell_bytes=20_000).collect()
     found = Counter({r.doc_id: r["mask"] & 16 for r in marks})
     assert {d for d, m in found.items() if m} == {r[0] for i, r in enumerate(rows) if "E" in fails(rows, i)}
     left = frame(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text"))
