@@ -9,9 +9,9 @@ sequence from its rank among the pieces of its length. Ranks come from counts by
 and salt, so a length that a third of the pieces have is not ranked by one task.
 
 Token ids are those of the tokenizer for the whole text. Its words repeat, so a worker
-encodes each distinct stretch (white space and the word after it) once and joins the ids;
-token borders never lie elsewhere, because white space starts a new pre-token. Texts with
-rarer white space are encoded whole.
+encodes a distinct stretch (white space and the word after it) once, while it is in the
+worker's cache of some megabytes, and joins the ids; token borders never lie elsewhere,
+because white space starts a new pre-token. Texts with rarer white space are encoded whole.
 
 With ``added`` a text's literal added tokens (such as ``<|endoftext|>``) get their own ids,
 as the tokenizer gives them when called with ``add_special_tokens=False`` and nothing else
@@ -26,12 +26,12 @@ other than id and text are left behind.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +42,16 @@ from daytide.session import stage
 SIZE = 2048
 END = 0
 #: White space that the tokenizer's pattern knows beside ASCII's.
-RARE_SPACE = re.compile("[\x85\xa0  -     　]")
+RARE_SPACE = "[\x85\xa0  -     　]"
 LONGEST_GAP = 16
-CACHED = 2_000_000
+#: Stretches in a worker's cache, some 30 bytes each, and bytes of the texts that it encodes at a time.
+CACHED = 400_000
+SLICE = 1 << 20
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    """Token ids of whole texts, with a cache of the stretches met so far."""
+    """Token ids of whole texts, with a bounded cache of the stretches met so far."""
 
     def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,8 +63,11 @@ class Encoder:
         self.added = [t.content for t in tokens]
         names = (self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size()))
         self.width = np.array([len(n or "") for n in names], np.int64)  # bytes of each token
+        self._forget()
+
+    def _forget(self):
         self.keys = np.zeros(0, np.uint64)
-        self.start = self.count = np.zeros(0, np.int64)
+        self.start = self.count = np.zeros(0, np.uint32)
         self.ids = np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
@@ -86,11 +91,11 @@ class Encoder:
         upto = np.cumsum(self.width[ids])
         last = np.searchsorted(upto, np.cumsum(lengths)) + 1
         first = np.append(0, last[:-1]) + bare  # without the line feed put before
-        keys = np.concatenate([self.keys, keys])
-        start = np.concatenate([self.start, first + len(self.ids)])
-        count = np.concatenate([self.count, last - first])
-        order = np.argsort(keys)
-        self.keys, self.start, self.count = keys[order], start[order], count[order]
+        # keys are sorted, as the cached ones are: each array is merged by itself
+        place = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, place, (first + len(self.ids)).astype(np.uint32))
+        self.count = np.insert(self.count, place, (last - first).astype(np.uint32))
+        self.keys = np.insert(self.keys, place, keys)
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
@@ -110,12 +115,10 @@ class Encoder:
         keys = mixed(words.hash + mixed(space + np.uint64(1)))
         odd = np.zeros(len(words.counts), bool)
         odd[number[gap > LONGEST_GAP]] = True
-        values = column.to_pylist()
-        for row, text in enumerate(values):
-            if text and not text.isascii() and RARE_SPACE.search(text):
-                odd[row] = True
-            elif text and any(content in text for content in self.added):
-                odd[row] = True
+        rare = pc.match_substring_regex(column, RARE_SPACE)
+        for content in self.added:
+            rare = pc.or_kleene(rare, pc.match_substring(column, content))
+        odd |= pc.fill_null(rare, False).to_numpy(zero_copy_only=False)
         usable = ~odd[number]
         wanted, at = np.unique(keys[usable], return_index=True)
         at = np.flatnonzero(usable)[at]
@@ -123,18 +126,16 @@ class Encoder:
         if len(new):
             if len(self.keys) + len(new) > CACHED:  # start the cache anew
                 new = np.arange(len(wanted))
-                self.keys, self.ids = self.keys[:0], self.ids[:0]
-                self.start, self.count = self.start[:0], self.count[:0]
+                self._forget()
             self._learn(wanted[new], begin[at[new]], words.end[at[new]], data)
         place = np.searchsorted(self.keys, keys)
         out = []
         for row, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
-            text = values[row] or ""
             if odd[row]:
-                out.append(self.whole(text))
+                out.append(self.whole(column[row].as_py()))
                 continue
             where = place[a:b]
-            count = self.count[where]
+            count = self.count[where].astype(np.int64)
             total = int(count.sum())
             move = np.repeat(self.start[where] - np.cumsum(count) + count, count)
             ids = self.ids[move + np.arange(total)]
@@ -181,7 +182,7 @@ def _cut(path: str, size: int, with_ids: bool, added: bool):
     def kernel(batches):
         own = encoder(path, added)
         end = np.array([END], np.uint32)
-        for batch in parts(batches):
+        for batch in parts(batches, limit=SLICE):
             rows = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), own.encode(batch["text"])):
                 ids = np.concatenate([ids, end]).astype("<u4")
