@@ -1,8 +1,10 @@
 """Toxicity by a learnt lexicon, Levenshtein automata and context windows.
 
 1. The lexicon is learnt from the labelled rows outside the held-out fold: words, and stems
-   (beginnings of words), that documents marked toxic have and others lack. A word stays a
-   term of its own, with its edits, beside a stem that it begins with.
+   (beginnings of words), that documents marked toxic have more often than chance explains:
+   an exact one-sided test, corrected for the number of terms that are tried. A word stays
+   a term of its own, with its edits, beside a stem that it begins with. A term whose near
+   misses are as common in other documents loses its edits.
 2. The lexicon is a trie. A Levenshtein automaton for each term, all run at once along the
    trie, accepts a word within the edits its length allows. A stem of five letters or more
    allows edits before its last letter, which has to be there. The intersection is made
@@ -10,7 +12,8 @@
    end after a few letters.
 3. Each accepted word is judged in its context: a window of words around it counts the
    other terms there, and quotation marks on its line tell a quoted term from abuse.
-4. A logistic regression over the counts by kind and context gives the score.
+4. A logistic regression over the counts by kind and context gives the score. A near miss
+   counts less with each edit.
 
 Words are runs of letters, digits and ``@ $ *``, lower-cased. Each distinct word of a
 slice of texts runs through the automaton once.
@@ -23,9 +26,11 @@ is their mean (0 without any); other columns are left behind.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +39,21 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daytide.functions.sampling import seeded_sample
 from daytide.llm.common import held_out, texts
 from daytide.llm.words import Words, parts
 from daytide.session import ship_package, stage
 
-#: Bound of the labelled rows that the lexicon is learnt from, and of the lexicon.
+#: Bound of the labelled rows that the lexicon is learnt from.
 LEXICON_ROWS = 12_000
-LEXICON_TERMS = 400
 STEMS = range(4, 8)
-LEAST_DOCS = 4
-LEAST_SHARE = 1 / 100  # of the toxic documents
+#: Chance that any word of a table whose labels mean nothing becomes a term.
+CHANCE = 0.05
+#: How much more often a term, and its near misses, are in toxic documents than in others.
 LEAST_RATIO = 8.0
+LEAST_NEAR_RATIO = 3.0
+#: What a near miss counts for with each edit.
+EDIT_WEIGHT = 0.7
 AROUND = 8  # words on each side of a term
 
 SEPARATORS = np.ones(256, bool)
@@ -72,11 +81,12 @@ FEATURES = [
 class Term:
     letters: str
     stem: bool  # accepts every word that begins so
+    near: bool = True  # near misses count
 
     @property
     def edits(self) -> int:
         """Edits that still count as this term."""
-        n = len(self.letters)
+        n = len(self.letters) if self.near else 0
         return 0 if n < 5 else 1 if n < 8 else 2
 
 
@@ -192,7 +202,7 @@ def _term_counts(batches):
         for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
             words = set(WORD.findall((text or "").lower()))
             found = {w[:n] + "*" for n in STEMS for w in words if len(w) >= n}
-            counts[int(label)].update(found | {w for w in words if len(w) <= 24})
+            counts[int(label)].update(found | words)
         terms = sorted(counts[0].keys() | counts[1].keys())
         yield pa.record_batch(
             [
@@ -204,33 +214,83 @@ def _term_counts(batches):
         )
 
 
-def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> list[Term]:
-    """Terms of a bounded labelled frame (text, label) that mark toxic documents best."""
+def chance_of(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
+    """Chance of ``toxic`` or more toxic documents among those with a term that means nothing."""
+
+    def log_choose(n, k):
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    have, whole = toxic + other, log_choose(n_toxic + n_other, toxic + other)
+    most = min(have, n_toxic)
+    logs = [log_choose(n_toxic, k) + log_choose(n_other, have - k) - whole for k in range(toxic, most + 1)]
+    return min(1.0, sum(map(math.exp, logs)))
+
+
+def learn_lexicon(sample: DataFrame) -> list[Term]:
+    """Terms of a bounded labelled frame (text, label) that mark toxic documents."""
     sizes = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return []
     counts = sample.select("text", "label").mapInArrow(_term_counts, "term string, toxic long, other long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    ratio = ((F.col("toxic") + 0.5) / (sizes[1] + 1)) / ((F.col("other") + 0.5) / (sizes[0] + 1))
-    least = max(LEAST_DOCS, sizes[1] * LEAST_SHARE)
-    best = counts.where((F.col("toxic") >= least) & (ratio >= LEAST_RATIO))
+    counts = stage(counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "terms")
+    least = CHANCE / max(1, counts.count())
+    t, o, n1, n0 = F.col("toxic"), F.col("other"), F.lit(float(sizes[1])), F.lit(float(sizes[0]))
+    ratio = ((t + 0.5) / (n1 + 1)) / ((o + 0.5) / (n0 + 1))
+    # a likelihood ratio that any term passes whose exact chance may pass
+    rate = (t + o) / (n1 + n0)
+    cells = [(t, n1 * rate), (n1 - t, n1 * (1 - rate)), (o, n0 * rate), (n0 - o, n0 * (1 - rate))]
+    spread = sum((F.when(x > 0, 2 * x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
+    bound = NormalDist().inv_cdf(1 - least) ** 2 / 2
+    best = counts.where((ratio >= LEAST_RATIO) & (spread >= bound)).withColumn("gain", t * F.log(ratio)).collect()
+    best = [r for r in best if chance_of(r["toxic"], r["other"], sizes[1], sizes[0]) <= least]
     # of equally good terms the longest is the most specific
-    best = best.withColumn("gain", F.col("toxic") * F.log(ratio))
-    best = best.orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(20 * terms).collect()
+    best.sort(key=lambda r: (-r["gain"], -len(r["term"]), r["term"]))
     chosen: dict[str, int] = {}
     beside: list[str] = []
     for row in best:
         term, docs = row["term"], row["toxic"]
         bare = term.rstrip("*")
-        known = any(bare.startswith(c[:-1]) for c in chosen if c.endswith("*"))
+        known = any(bare[:n] + "*" in chosen for n in STEMS if n <= len(bare))
         implied = term.endswith("*") and any(
             c.rstrip("*").startswith(bare) and docs <= 1.2 * n for c, n in chosen.items()
         )
         if known and bare == term:
-            beside.append(term)  # the stem has no edits at its end; takes no room of the others
-        elif not known and not implied and len(chosen) < terms:
+            beside.append(term)  # the stem has no edits at its end
+        elif not known and not implied:
             chosen[term] = docs
-    return [Term(t.rstrip("*"), t.endswith("*")) for t in [*chosen, *beside]]
+    terms = [Term(t.rstrip("*"), t.endswith("*")) for t in [*chosen, *beside]]
+    return without_common_misses(terms, sample, sizes)
+
+
+def _near_counts(terms: list[Term]):
+    """(term number, toxic documents, other documents) with near misses of the term."""
+
+    def kernel(batches):
+        lexicon = Lexicon(terms)
+        for batch in batches:
+            counts = (Counter(), Counter())
+            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
+                found = (lexicon.match(w) for w in set(WORD.findall((text or "").lower())))
+                counts[int(label)].update({number for number, edits in found if edits})
+            numbers = sorted(counts[0].keys() | counts[1].keys())
+            yield pa.record_batch(
+                [pa.array(numbers, pa.int64()), *(pa.array([c[i] for i in numbers], pa.int64()) for c in counts[::-1])],
+                names=["term", "toxic", "other"],
+            )
+
+    return kernel
+
+
+def without_common_misses(terms: list[Term], sample: DataFrame, sizes: dict[int, int]) -> list[Term]:
+    """The terms; those whose near misses say little of a document keep no edits."""
+    found = sample.select("text", "label").mapInArrow(_near_counts(terms), "term long, toxic long, other long")
+    found = found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    plain = set()
+    for row in found.collect():
+        toxic, other = (row["toxic"] + 0.5) / (sizes[1] + 1), (row["other"] + 0.5) / (sizes[0] + 1)
+        if row["other"] and toxic < LEAST_NEAR_RATIO * other:
+            plain.add(row["term"])
+    return [Term(t.letters, t.stem, i not in plain) for i, t in enumerate(terms)]
 
 
 # --- terms in context -----------------------------------------------------------------
@@ -261,10 +321,11 @@ def term_features(lexicon: Lexicon, column: pa.Array) -> dict[str, np.ndarray]:
     edits = np.zeros(len(first), np.int64)
     for i, at in enumerate(first):
         word = data[words.begin[at] : words.end[at]].tobytes().decode("utf-8", "replace").lower().strip(EDGES)
-        if 3 <= len(word) <= 40:
+        if len(word) >= 3:
             term[i], edits[i] = lexicon.match(word)
     hit = np.flatnonzero(term[same] >= 0)
     kind, fuzzy = term[same][hit], edits[same][hit] > 0
+    weight = EDIT_WEIGHT ** edits[same][hit]
     owner = words.text_number()[hit]
     # marks beyond ASCII are at the ends of a word, so its middle is looked at
     middle = (words.begin[hit] + words.end[hit]) // 2
@@ -274,7 +335,7 @@ def term_features(lexicon: Lexicon, column: pa.Array) -> dict[str, np.ndarray]:
     high = np.minimum(np.searchsorted(hit, hit + AROUND, "right"), np.searchsorted(owner, owner, "right"))
     crowd = np.zeros(n, np.int64)
     np.maximum.at(crowd, owner[~quoted], (high - low)[~quoted])
-    count = lambda which: np.bincount(owner[which], minlength=n)
+    count = lambda which: np.bincount(owner[which], weight[which], n)
     pairs = np.unique(np.stack([owner, kind]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
     exact, near = count(~quoted & ~fuzzy), count(~quoted & fuzzy)
     quoted_exact, quoted_near = count(quoted & ~fuzzy), count(quoted & fuzzy)
@@ -323,7 +384,7 @@ def score(
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     # lexicon_rows bounds what is broadcast and what the lexicon is learnt from
-    few = known.orderBy(F.xxhash64("doc_id", F.lit("lexicon")), "doc_id").limit(lexicon_rows)
+    few = seeded_sample(known, ["doc_id"], lexicon_rows, 5)
     sample = stage(texts(docs, doc_id, text).join(F.broadcast(few), "doc_id"), "sample")
     found = stage(matches(docs, learn_lexicon(sample), doc_id, text), "terms")
     labelled = stage(found.join(known, "doc_id"), "labelled")

@@ -61,6 +61,7 @@ def test_terms_in_context():
     count = {k: np.round(np.expm1(v)).astype(int).tolist() for k, v in got.items() if k in ("exact", "fuzzy", "quoted_exact", "kinds")}
     assert count["exact"] == [1, 0, 0, 1, 2, 0, 0, 0, 1]
     assert count["fuzzy"] == [0, 1, 0, 0, 0, 0, 0, 0, 0]  # a swap is two edits
+    assert got["fuzzy"][1] == np.log1p(t.EDIT_WEIGHT)  # a near miss counts less
     assert count["quoted_exact"] == [0, 0, 1, 1, 0, 0, 0, 0, 1]
 
 
@@ -146,6 +147,36 @@ def test_misspelled_documents_score_through_the_learnt_lexicon(spark, monkeypatc
     assert min(got[d] for d in wrong) > 0.5
 
 
+def test_chance_against_counting():
+    from itertools import combinations
+
+    marked = {0, 1, 2}  # of eight documents
+    for have in range(1, 6):
+        for toxic in range(0, min(have, 3) + 1):
+            if have - toxic > 5:
+                continue
+            draws = [len(marked & set(c)) for c in combinations(range(8), have)]
+            want = sum(d >= toxic for d in draws) / len(draws)
+            assert abs(t.chance_of(toxic, have - toxic, 3, 5) - want) < 1e-12
+
+
+def test_chance_words_long_words_and_common_misses(spark):
+    """Random labels give no lexicon; long and run-together words count; ordinary near misses do not."""
+    rows, labels = corpus(600, 5)
+    rng = random.Random(1)
+    mixed = spark.createDataFrame([(x, rng.random() < 0.2) for _, x in rows], "text string, label boolean")
+    assert t.learn_lexicon(mixed.withColumn("label", F.col("label").cast("int"))) == []
+    long = "qu" * 20 + "x"
+    texts = [x.replace("snorkfest", long) + (" vlumpist calm" if i % 2 else "") for i, (_, x) in enumerate(rows)]
+    learnt = t.learn_lexicon(spark.createDataFrame([(x, y) for x, (_, y) in zip(texts, labels)], "text string, label int"))
+    near = {x.letters: x.edits for x in learnt if not x.stem}
+    assert near[long] == 2 and near["vlumpish"] == 0
+    lexicon = t.Lexicon(learnt)
+    assert lexicon.match(long)[0] >= 0 and lexicon.match("gribble" + "y" * 53)[0] >= 0
+    found = t.term_features(lexicon, pa.array(["gribble" + "y" * 53, "calm " + "b" * 5000]))
+    assert found["any_exact"].tolist() == [1, 0]
+
+
 def test_held_out_labels_are_not_learnt(spark):
     rows, labels = corpus(300)
     wrong = [(d, 1 - y if held(d) else y) for d, y in labels]
