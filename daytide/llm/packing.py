@@ -194,6 +194,8 @@ def _cut(path: str, size: int, with_ids: bool, added: bool):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), PIECE.types)], schema=PIECE
             )
+            # other workers stand beside this one: what was freed goes back to the system
+            pa.default_memory_pool().release_unused()
 
     return kernel
 

@@ -147,5 +147,3 @@ def parts(batches, column: str = "text", limit: int = 4 << 20):
             end = max(at + 1, int(np.searchsorted(upto, before + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
-        # what was freed goes back to the system, as other workers stand beside this one
-        pa.default_memory_pool().release_unused()
