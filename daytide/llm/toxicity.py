@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from statistics import NormalDist
 
 import numpy as np
@@ -50,7 +50,7 @@ STEMS = range(4, 8)
 #: Chance that any word of a table whose labels mean nothing becomes a term.
 CHANCE = 0.05
 #: How much more often a term, and its near misses, are in toxic documents than in others.
-LEAST_RATIO = 8.0
+LEAST_RATIO = 4.0
 LEAST_NEAR_RATIO = 3.0
 #: What a near miss counts for with each edit.
 EDIT_WEIGHT = 0.7
@@ -74,6 +74,8 @@ FEATURES = [
     "any_exact",
     "any_fuzzy",
     "any_quoted",
+    "evidence",
+    "strongest",
 ]
 
 
@@ -82,6 +84,7 @@ class Term:
     letters: str
     stem: bool  # accepts every word that begins so
     near: bool = True  # near misses count
+    weight: float = 1.0  # log of how much more often it is in toxic documents
 
     @property
     def edits(self) -> int:
@@ -258,7 +261,8 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
             beside.append(term)  # the stem has no edits at its end
         elif not known and not implied:
             chosen[term] = docs
-    terms = [Term(t.rstrip("*"), t.endswith("*")) for t in [*chosen, *beside]]
+    weight = {r["term"]: r["gain"] / r["toxic"] for r in best}
+    terms = [Term(t.rstrip("*"), t.endswith("*"), True, weight[t]) for t in [*chosen, *beside]]
     return without_common_misses(terms, sample, sizes)
 
 
@@ -290,7 +294,7 @@ def without_common_misses(terms: list[Term], sample: DataFrame, sizes: dict[int,
         toxic, other = (row["toxic"] + 0.5) / (sizes[1] + 1), (row["other"] + 0.5) / (sizes[0] + 1)
         if row["other"] and toxic < LEAST_NEAR_RATIO * other:
             plain.add(row["term"])
-    return [Term(t.letters, t.stem, i not in plain) for i, t in enumerate(terms)]
+    return [replace(t, near=i not in plain) for i, t in enumerate(terms)]
 
 
 # --- terms in context -----------------------------------------------------------------
@@ -339,6 +343,9 @@ def term_features(lexicon: Lexicon, column: pa.Array) -> dict[str, np.ndarray]:
     pairs = np.unique(np.stack([owner, kind]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
     exact, near = count(~quoted & ~fuzzy), count(~quoted & fuzzy)
     quoted_exact, quoted_near = count(quoted & ~fuzzy), count(quoted & fuzzy)
+    worth = np.array([t.weight for t in lexicon.terms] or [0.0])[kind] * weight
+    strongest = np.zeros(n)
+    np.maximum.at(strongest, owner[~quoted], worth[~quoted])
     found = {
         "exact": np.log1p(exact),
         "fuzzy": np.log1p(near),
@@ -350,6 +357,8 @@ def term_features(lexicon: Lexicon, column: pa.Array) -> dict[str, np.ndarray]:
         "any_exact": exact > 0,
         "any_fuzzy": near > 0,
         "any_quoted": quoted_exact + quoted_near > 0,
+        "evidence": np.log1p(np.bincount(owner[~quoted], worth[~quoted], n)),
+        "strongest": strongest,
     }
     return {name: found[name].astype(np.float64) for name in FEATURES}
 
