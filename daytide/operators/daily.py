@@ -1,11 +1,13 @@
 """Events -> one row per user and local day, including the longest losing run.
 
 The longest run needs the events of a user-day in time order, but a user-day may hold
-a large part of all events. A count of events by user-day, combined map-side, finds those
-that are too large for a task. They are cut into time chunks, and chunks that are still
-too large by range. Every chunk (an ordinary user-day is a single one) is ordered by its
-own task and reduced to one row, and only these rows are put together per user. A run
-crossing chunks is the trailing run of one chunk plus the leading runs after it.
+a large part of all events. A sketch of the frequent user-days, of fixed size for each
+task, names the candidates for being too large for a task; only their events are counted.
+Large user-days are cut into time chunks, and chunks that are still too large by range,
+after events that are equal in order are added up. Every chunk (an ordinary user-day is a
+single one) is ordered by its own task and reduced to one row, and only these rows are put
+together per user. A run crossing chunks is the trailing run of one chunk plus the leading
+runs after it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ from daytide.session import stage
 
 #: Events of one user-day, or of one chunk of it, that a task orders without trouble.
 DAY_LIMIT = 1_000_000
+#: Keys that the sketch of frequent keys holds. A key with more than one in 18,000 of all
+#: rows is always among its candidates; a key below that is no hot spot of its table.
+SKETCH_KEYS = 65_536
+#: Tasks whose sketches are merged first.
+TOGETHER = 64
 #: Rows up to which a table of large user-days is broadcast; there are at most rows / limit.
 BROADCAST_ROWS = 100_000
 EVENT_ORDER = ["ts_local", "event_sort_id", "is_loss"]
@@ -114,9 +121,32 @@ class Cuts:
     chunk_seconds: int = 60
 
 
+def frequent_keys(df: DataFrame, keys: list[str], least: int) -> list[int]:
+    """Hashes of the keys that may have more than ``least`` rows, by a mergeable sketch.
+
+    Each task sends a sketch of at most SKETCH_KEYS counters, never its keys. The sketch
+    overestimates, so nothing frequent is missed; the caller counts what is named.
+    """
+    task = F.floor(F.spark_partition_id() / TOGETHER)
+    tagged = df.select(F.xxhash64(*keys).alias("key"), task.alias("together"))
+    own = F.expr(f"approx_top_k_accumulate(key, {SKETCH_KEYS})")
+    merged = F.expr(f"approx_top_k_combine(sketch, {SKETCH_KEYS})")
+    sketches = tagged.groupBy("together").agg(own.alias("sketch"))
+    # grouped, as an empty table has no sketch to merge
+    whole = sketches.groupBy(F.lit(0).alias("all")).agg(merged.alias("sketch"))
+    found = whole.select(F.inline(F.expr(f"approx_top_k_estimate(sketch, {SKETCH_KEYS})")))
+    return [r["item"] for r in found.where(F.col("count") > least).collect()]
+
+
 def _over(events: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` events as a written table; None if there are none."""
-    counts = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    hashes = frequent_keys(events, keys, limit)
+    if not hashes:
+        return None
+    # at most as many as the sketch holds
+    named = F.broadcast(events.sparkSession.createDataFrame([(h,) for h in hashes], "named long"))
+    some = events.join(named, F.xxhash64(*keys) == F.col("named"), "left_semi")
+    counts = some.groupBy(*keys).agg(F.count("*").alias("n"))
     large = stage(counts.where(F.col("n") > limit).select(*keys), "large")
     n = large.limit(BROADCAST_ROWS + 1).count()
     if not n:
@@ -125,7 +155,7 @@ def _over(events: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
 
 
 def find_cuts(events: DataFrame, limit: int = DAY_LIMIT, chunk_seconds: int = 60) -> Cuts:
-    """Count events by user-day, and by chunk within the large ones."""
+    """The large user-days, and the large chunks within them."""
     days = _over(events, DAY_KEYS, limit)
     if days is None:
         return Cuts(chunk_seconds=chunk_seconds)
@@ -150,44 +180,67 @@ def _chunked(events: DataFrame, cuts: Cuts) -> DataFrame:
     return found.select("e.*", F.when(F.col("l.large"), chunk).otherwise(-1).alias("chunk"))
 
 
-def _with_pieces(events: DataFrame, cuts: Cuts) -> DataFrame:
+def _weighed(events: DataFrame) -> DataFrame:
+    """Events as rows that stand for ``n`` of them, ``bets`` with a known bet."""
+    return events.withColumn("n", F.lit(1).cast("long")).withColumn(
+        "bets", F.col("bet").isNotNull().cast("long")
+    )
+
+
+def _added_up(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events that are equal in time, id and flag as one row: no order among them matters.
+
+    They are added up before the exchange, so that one instant without ids is a row a task.
+    """
+    return _aggregate(
+        events.groupBy(*keys, *EVENT_ORDER),
+        n="count(*)",
+        bets="count(bet)",
+        bet="sum(bet)",
+        payout="sum(payout)",
+        profit="sum(profit)",
+        curr_balance="max(curr_balance)",
+    )
+
+
+def _with_pieces(events: DataFrame, cuts: Cuts, added_up: bool = False) -> DataFrame:
     """Add ``chunk`` and ``piece``: 0, or for a large chunk its place in a range partitioning.
 
-    Range partitioning by the full event order cuts a chunk between any two events,
-    so not even equal timestamps keep a large chunk in one task.
+    Range partitioning by the full event order cuts a chunk between any two events that
+    differ in it. With ``added_up`` those that do not are one weighed row.
     """
     chunked = _chunked(events, cuts)
     if cuts.chunks is None:
         return chunked.withColumn("piece", F.lit(0))
     keys = [*DAY_KEYS, "chunk"]
     e, large = chunked.alias("e"), cuts.chunks.alias("l")
-    calm = e.join(large, _same(keys), "left_anti").withColumn("piece", F.lit(0))
-    split = (
-        e.join(large, _same(keys), "left_semi")
-        .repartitionByRange(*keys, *EVENT_ORDER)
-        .withColumn("piece", F.spark_partition_id())
-    )
-    return calm.unionByName(split)
+    calm = e.join(large, _same(keys), "left_anti")
+    hot = e.join(large, _same(keys), "left_semi")
+    if added_up:
+        calm, hot = _weighed(calm), _added_up(hot, keys)
+    split = hot.repartitionByRange(*keys, *EVENT_ORDER).withColumn("piece", F.spark_partition_id())
+    return calm.withColumn("piece", F.lit(0)).unionByName(split)
 
 
 CHUNK_KEYS = [*DAY_KEYS, "chunk", "piece"]
 
 
-def _chunk_runs(pieces: DataFrame) -> DataFrame:
+def _chunk_runs(pieces: DataFrame, breaks: str = "1 - is_loss") -> DataFrame:
     """Running count of non-losing events within each chunk: constant along a run."""
     run = (
         Window.partitionBy(*CHUNK_KEYS)
         .orderBy(*EVENT_ORDER)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return pieces.withColumn("loss_group", F.sum(1 - F.col("is_loss")).over(run))
+    return pieces.withColumn("loss_group", F.sum(F.expr(breaks)).over(run))
 
 
 def loss_groups(events: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """Events with the running count of non-losing events of their user-day.
 
     A prefix sum over chunks: counts per chunk are added up per user-day and joined back
-    to the events, which only ever are ordered within their chunk.
+    to the events, which only ever are ordered within their chunk. Events that are equal in
+    time, id and flag stay in one chunk here, as each gets its own count.
     """
     cuts = cuts or find_cuts(events)
     pieces = _with_pieces(events, cuts)
@@ -227,13 +280,15 @@ def chunk_summaries(events: DataFrame, cuts: Cuts) -> DataFrame:
     ``lead`` and ``trail`` are the losing runs touching the start and end of the chunk,
     ``breaks`` its number of non-losing events. One exchange, on the grouping keys.
     """
-    pieces = _with_pieces(events, cuts)
+    pieces = _with_pieces(events, cuts, added_up=True)
+    weighed = cuts.chunks is not None
+    breaks = "(1 - is_loss) * n" if weighed else "1 - is_loss"
     runs = _aggregate(
-        _chunk_runs(pieces).groupBy(*CHUNK_KEYS, "loss_group"),
-        n="count(*)",
-        losses="sum(is_loss)",
+        _chunk_runs(pieces, breaks).groupBy(*CHUNK_KEYS, "loss_group"),
+        n="sum(n)" if weighed else "count(*)",
+        losses="sum(is_loss * n)" if weighed else "sum(is_loss)",
         bet="sum(bet)",
-        bets="count(bet)",
+        bets="sum(bets)" if weighed else "count(bet)",
         payout="sum(payout)",
         profit="sum(profit)",
         balance="max(curr_balance)",
@@ -255,7 +310,7 @@ def user_day_base(events: DataFrame, cuts: Cuts | None = None) -> DataFrame:
 
     Two exchanges: events by user-day (or chunk of a large one), then their summaries by
     user, one row for each user-day but the large ones. The second one also serves all
-    per-user windows that follow. ``cuts`` is found by a counting pass if it is not given.
+    per-user windows that follow. ``cuts`` is found by a pass with a sketch if not given.
     """
     cuts = cuts or find_cuts(events)
     chunks = chunk_summaries(events, cuts).repartition("user_id")

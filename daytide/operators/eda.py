@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daytide import schema
 from daytide.functions.columns import fixed4, numeric, over_nonzero, percent2, plain4
+from daytide.functions.pair_moments import pair_moments
 from daytide.functions.quantiles import exact_quantiles
 from daytide.functions.shape import to_long
 
@@ -115,39 +116,18 @@ def daily_summary(features: DataFrame) -> DataFrame:
 def correlation_long(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     """(pos_a, pos_b, feature_a, feature_b, corr) for all ordered pairs, pairwise complete.
 
-    Plain column aggregates: every task sends one row of running sums. A pair
-    without variance has no correlation (the built-in ``corr`` would divide by zero).
+    A pair without variance in one of its columns has no correlation.
     """
-    clean = clean_features(features, columns)
-    span = range(len(columns))
-    pairs = [(i, j) for i in span for j in span[i:]]
-    sums = []
-    for i, j in pairs:
-        a, b = F.col(columns[i]), F.col(columns[j])
-        sums.append(F.covar_pop(a, b).alias(f"c{i}_{j}"))
-        if i != j:
-            sums.append(F.stddev_pop(F.when(b.isNotNull(), a)).alias(f"a{i}_{j}"))
-            sums.append(F.stddev_pop(F.when(a.isNotNull(), b)).alias(f"b{i}_{j}"))
-        else:
-            sums.append(F.stddev_pop(a).alias(f"a{i}_{j}"))
-    rows = []
-    for i, j in pairs:
-        spread = F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}" if i != j else f"a{i}_{j}")
-        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"c{i}_{j}") / spread))
-        rows.append(F.struct(F.lit(i).alias("p"), F.lit(j).alias("q"), F.when(spread > 0, r).alias("corr")))
-    upper = clean.agg(*sums).select(F.inline(F.array(*rows)))
-    # From here on one row per pair of columns, mirrored to both orders.
     name = F.array(*(F.lit(c) for c in columns))
-    both = F.array(
-        F.struct(F.col("p").alias("pos_a"), F.col("q").alias("pos_b")),
-        F.struct(F.col("q").alias("pos_a"), F.col("p").alias("pos_b")),
-    )
-    return upper.select(F.inline(F.array_distinct(both)), "corr").select(
+    spread = F.sqrt("m2_a") * F.sqrt("m2_b")
+    varies = ~F.col("constant_a") & ~F.col("constant_b") & (spread > 0)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / spread))
+    return pair_moments(clean_features(features, columns), columns).select(
         "pos_a",
         "pos_b",
         name[F.col("pos_a")].alias("feature_a"),
         name[F.col("pos_b")].alias("feature_b"),
-        "corr",
+        F.when(varies, r).alias("corr"),
     )
 
 

@@ -207,6 +207,49 @@ def test_one_large_day_is_the_only_one_cut(make_events):
     assert not per_day.where("user_id = 'hot' AND count >= 3").isEmpty()
 
 
+def test_frequent_keys_are_named_and_no_keys_are_sent(spark, make_events):
+    rows = random_events(5)
+    local = daily.local_events(daily.filter_events(make_events(rows))).repartition(4)
+    counts = {tuple(r[:2]): r[2] for r in local.groupBy(*daily.DAY_KEYS).count().collect()}
+    found = set(daily.frequent_keys(local, daily.DAY_KEYS, 20))
+    named = local.select(*daily.DAY_KEYS, F.xxhash64(*daily.DAY_KEYS).alias("h")).distinct().collect()
+    assert {tuple(r[:2]) for r in named if r.h in found} >= {k for k, n in counts.items() if n > 20}
+    assert daily.frequent_keys(local.where("false"), daily.DAY_KEYS, 20) == []
+    ids = spark.range(200_000).select(F.col("id").alias("user_id"), F.lit(1).alias("bet_date"))
+    many = ids.unionAll(ids.where("id < 5000").withColumn("user_id", F.lit(-1).cast("long")))
+    assert len(daily.frequent_keys(many, daily.DAY_KEYS, 4000)) == 1
+
+
+def test_one_instant_without_ids_is_a_row_a_task(make_events):
+    """Equal events cannot be cut by order: they are added up before they are moved."""
+    rows = [
+        {"user_id": "hot", "event_id": None, "bullet_id": None, "created_at": NOON, "bet": 2.0, "profit": -1.0 if i % 3 else 1.0}
+        for i in range(600)
+    ]
+    rows += [{"user_id": "u", "event_id": str(i), "created_at": NOON, "profit": -1.0} for i in range(9)]
+    local = daily.local_events(daily.filter_events(make_events(rows))).repartition(4)
+    cuts = daily.find_cuts(local, limit=100)
+    pieces = daily._with_pieces(local, cuts, added_up=True).where("user_id = 'hot'")
+    assert pieces.count() == 2 and pieces.agg(F.sum("n")).first()[0] == 600
+    got = {r.user_id: r for r in daily.user_day_base(local, cuts).collect()}
+    assert got["hot"].bet_count_today == 600 and got["hot"].bet_amount_today == 1200.0
+    assert got["hot"].max_consecutive_loss_count_today == 400  # losses come after the others
+    assert got["u"].max_consecutive_loss_count_today == 9
+
+
+def test_no_user_day_counts_are_shuffled_without_large_days(spark, make_events):
+    """One job with sketches as its only aggregates, and nothing written."""
+    local = daily.local_events(daily.filter_events(make_events(random_events(8))))
+    counted = []
+    real = daily.stage
+    daily.stage = lambda *a: counted.append(a) or real(*a)
+    try:
+        assert daily.find_cuts(local) == daily.Cuts()
+    finally:
+        daily.stage = real
+    assert counted == []
+
+
 def test_unknown_users_keep_their_days(make_events):
     rows = [{"user_id": None, "event_id": str(i), "created_at": NOON, "profit": -1.0} for i in range(5)]
     for limit in (daily.DAY_LIMIT, 2):
