@@ -521,47 +521,51 @@ def _(spark, sf_dir):
     return chartdata.daily_trends(eda.daily_summary(features(spark, sf_dir)))
 
 
-@register(
-    "seeded_sample",
-    O.select(
-        f"{O.feature_ctes('orders')}, {O.sample_cte(SAMPLE, 42)}",
-        f"SELECT user_id, bet_date, {O.r('rtp_day')} FROM sampled",
-    ),
-)
-def _(spark, sf_dir):
-    table = staged(spark, sf_dir, "orders")
-    return seeded_sample(table, KEYS, SAMPLE, 42).select(*KEYS, "rtp_day")
-
+# The samples of ``lineitem`` are smaller than its table; those of the other sources may take all rows.
+def _sample_queries(source: str, suffix: str, scatter_source: str):
+    @register(
+        f"seeded_sample{suffix}",
+        O.select(
+            f"{O.feature_ctes(source)}, {O.sample_cte(SAMPLE, 42)}",
+            f"SELECT user_id, bet_date, {O.r('rtp_day')} FROM sampled",
+        ),
+    )
+    def _(spark, sf_dir):
+        table = staged(spark, sf_dir, source)
+        return seeded_sample(table, KEYS, SAMPLE, 42).select(*KEYS, "rtp_day")
 
-@register(
-    "ratio_scatter",
-    O.select(
-        f"{O.feature_ctes()}, {O.sample_cte(SAMPLE, 42)}",
-        f"""SELECT user_id, bet_date, {O.r('bet_amount_ratio_today_vs_history', 'amount_ratio')},
+    @register(
+        f"ratio_scatter{suffix}",
+        O.select(
+            f"{O.feature_ctes(scatter_source)}, {O.sample_cte(SAMPLE, 42)}",
+            f"""SELECT user_id, bet_date, {O.r('bet_amount_ratio_today_vs_history', 'amount_ratio')},
             {O.r('bet_count_ratio_today_vs_history', 'count_ratio')},
             {O.r('ln(1 + greatest(bet_amount_ratio_today_vs_history, 0))', 'amount_ratio_log')},
             {O.r('ln(1 + greatest(bet_count_ratio_today_vs_history, 0))', 'count_ratio_log')}
             FROM sampled WHERE bet_amount_ratio_today_vs_history IS NOT NULL
               AND bet_count_ratio_today_vs_history IS NOT NULL""",
-    ),
-)
-def _(spark, sf_dir):
-    return chartdata.ratio_scatter(staged(spark, sf_dir), SAMPLE)
-
+        ),
+    )
+    def _(spark, sf_dir):
+        return chartdata.ratio_scatter(staged(spark, sf_dir, scatter_source), SAMPLE)
 
-@register(
-    "rtp_scatter",
-    O.select(
-        f"""{O.feature_ctes()}, {O.sample_cte(SAMPLE, 43)},
+    @register(
+        f"rtp_scatter{suffix}",
+        O.select(
+            f"""{O.feature_ctes(scatter_source)}, {O.sample_cte(SAMPLE, 43)},
     pts AS (SELECT user_id, bet_date, rtp_day, rtp_7_bet_days FROM sampled
             WHERE rtp_day IS NOT NULL AND rtp_7_bet_days IS NOT NULL)""",
-        f"""SELECT user_id, bet_date, {O.r('rtp_day')}, {O.r('rtp_7_bet_days')} FROM pts
+            f"""SELECT user_id, bet_date, {O.r('rtp_day')}, {O.r('rtp_7_bet_days')} FROM pts
             WHERE rtp_day <= (SELECT quantile_cont(rtp_day, 0.99) FROM pts)
               AND rtp_7_bet_days <= (SELECT quantile_cont(rtp_7_bet_days, 0.99) FROM pts)""",
-    ),
-)
-def _(spark, sf_dir):
-    return chartdata.rtp_scatter(staged(spark, sf_dir), SAMPLE)
+        ),
+    )
+    def _(spark, sf_dir):
+        return chartdata.rtp_scatter(staged(spark, sf_dir, scatter_source), SAMPLE)
+
+
+_sample_queries("orders", "", "events")
+_sample_queries("lineitem", "_lineitem", "lineitem")
 
 
 # --- states given by a rule --------------------------------------------------------
@@ -943,6 +947,21 @@ def _(spark, sf_dir):
     return spark.read.schema(schema.FEATURE_SCHEMA).parquet(path).select(*schema.FEATURE_COLUMNS)
 
 
+@register("sorted_table", O.select(O.feature_ctes("orders"), f"SELECT {O.FEATURE_COLS} FROM feat"))
+def _(spark, sf_dir):
+    path = out_path(spark, "sorted")
+    sinks.write_sorted(features(spark, sf_dir, "orders"), path)
+    return spark.read.schema(schema.FEATURE_SCHEMA).parquet(path).select(*schema.FEATURE_COLUMNS)
+
+
+@register("labelled_table", _oracles["labelled_user_days"])
+def _(spark, sf_dir):
+    path = out_path(spark, "labelled")
+    table = labelled(spark, sf_dir, "events").select(*LABEL_COLS)
+    sinks.write_sorted(table, path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 @register(
     "stats_json",
     O.select(

@@ -1,20 +1,19 @@
 """Exact interpolated quantiles of few, very large groups.
 
 The built-in exact ``percentile`` merges every distinct value of a group in one task, so
-one global group of a large table does not fit. Here each wanted rank is held between two
-values that close in on it:
-
-1. a mergeable sketch (``percentile_approx``) proposes the two values. Its rank error is at
-   most n/accuracy and the bracket is three times as wide;
-2. the values below and inside each bracket are counted. A bracket with more than
-   ``rank_rows`` values loses an end whose equal values do not hold the rank, gets a sketch
-   of its own inside values, and so on, until it is small or of two values;
-3. the values inside the brackets are counted by value and ordered.
-
-Every pass combines map-side, a sketch has a fixed size, and no task orders more than
-``rank_rows`` different values, however large a group is; each further pass of step 2
-divides a bracket by about a hundred. A rank outside its bracket raises, it is never
-approximated. The driver holds two numbers for each group and rank.
+one global group of a large table does not fit. Here each wanted rank is found by the
+digits of its value:
+
+1. a double is read as 64 bits in an order that agrees with that of the numbers. A pass
+   counts the values of each group by their leading digit, and the running counts tell
+   which digit holds the rank;
+2. the next pass counts the values that begin so by their next digit, until what is left
+   has at most ``rank_rows`` values, or one value;
+3. these are counted by value and ordered.
+
+Every pass is one aggregate of counts, combined map-side; nothing is estimated, no sketch
+is merged, and no task orders more than ``rank_rows`` different values or one digit's
+choices, however large a group is. The driver holds some numbers for each group and rank.
 """
 
 from __future__ import annotations
@@ -23,75 +22,101 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INF = float("inf")
-#: Ranks at which the sketch of a bracket is read.
-GRID = [i / 200 for i in range(201)]
+from daytide.session import ship_package
+
+BITS = 64
 
 
 @dataclass
-class _Bracket:
+class _Rank:
     keys: tuple
+    group: int
     name: str
     position: float  # fractional rank, from 0
-    low: float = -INF
-    high: float = INF
-    below: int = 0
+    upper: bool  # of the two ranks around the position
+    rest: int  # rank among the values that begin with the prefix
+    prefix: int = 0
     inside: int = 0
-    settled: bool = False  # one or two different values are left
-
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.position), math.ceil(self.position)
-
-    def without_heavy_ends(self, at_low: int, at_high: int, up: float, down: float) -> None:
-        """Drop an end, with its equal values, that the rank lies beyond; exact."""
-        first, last = (r - self.below for r in self.ranks)
-        top = self.inside - at_high
-        if last < at_low:
-            self.high = self.low
-        elif first >= top:
-            self.low = self.high
-        elif first < at_low:
-            self.high, self.settled = up, True
-        elif last >= top:
-            self.low, self.settled = down, True
-        else:
-            self.low, self.high = up, down
-            self.below, self.inside = self.below + at_low, top - at_low
-        self.settled = self.settled or self.low >= self.high
-
-    def narrowed(self, marks: list[float], margin: float) -> None:
-        """Move the ends to the sketched values around the rank."""
-        first, last = ((r - self.below) / max(self.inside - 1, 1) for r in self.ranks)
-        lower = [m for m, g in zip(marks, GRID) if 0 < g <= first - margin]
-        upper = [m for m, g in zip(marks, GRID) if last + margin <= g < 1]
-        self.low = max(self.low, lower[-1]) if lower else self.low
-        self.high = min(self.high, upper[0]) if upper else self.high
-
-
-def _frame(spark, key_fields, brackets: list[_Bracket]) -> DataFrame:
-    fields = [
-        *key_fields,
-        T.StructField("_i", T.IntegerType()),
-        T.StructField("_lo", T.DoubleType()),
-        T.StructField("_hi", T.DoubleType()),
-    ]
-    rows = [(*b.keys, i, b.low, b.high) for i, b in enumerate(brackets)]
-    return spark.createDataFrame(rows, T.StructType(fields))
-
-
-def _with_brackets(x: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
-    """x joined to the array of brackets of its group; groups are few, see ``max_groups``."""
-    arrays = table.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_lo", "_hi")).alias("_b"))
-    return x.join(F.broadcast(arrays), keys)
-
-
-def _inside(value: str = "_x"):
-    return F.filter("_b", lambda b: (F.col(value) >= b["_lo"]) & (F.col(value) <= b["_hi"]))
+    one_value: bool = False
+
+
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers in the same order; -0 is 0."""
+    bits = (x + 0.0).view(np.uint64)
+    top = np.uint64(1 << (BITS - 1))
+    return np.where(bits >= top, ~bits, bits | top)
+
+
+@dataclass
+class _Slots:
+    """The (group, prefix) pairs that hold a rank, numbered; prefixes have ``done`` bits."""
+
+    done: int
+    prefixes: np.ndarray  # distinct, ascending
+    codes: np.ndarray  # group * prefixes + place of the prefix, ascending
+
+    @staticmethod
+    def of(ranks: list[_Rank], done: int) -> tuple[_Slots, list[int]]:
+        """The slots, and the slot of each rank."""
+        prefixes = np.unique(np.array([r.prefix for r in ranks], np.uint64))
+        place = np.searchsorted(prefixes, np.array([r.prefix for r in ranks], np.uint64))
+        code = np.array([r.group for r in ranks], np.int64) * len(prefixes) + place
+        codes, slot = np.unique(code, return_inverse=True)
+        return _Slots(done, prefixes, codes), slot.tolist()
+
+    def of_values(self, group: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Slot of each value, -1 where no rank is."""
+        top = bits >> np.uint64(BITS - self.done) if self.done else np.zeros_like(bits)
+        place = np.minimum(np.searchsorted(self.prefixes, top), len(self.prefixes) - 1)
+        code = group.astype(np.int64) * len(self.prefixes) + place
+        slot = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.prefixes[place] == top) & (self.codes[slot] == code), slot, -1)
+
+
+def _counted(slots: _Slots, bits: int):
+    """(slot, digit, count, lowest, highest value) of each batch; by value where bits is 0."""
+
+    def kernel(batches):
+        for batch in batches:
+            x = batch["_x"].to_numpy() + 0.0
+            key = ordered_bits(x)
+            slot = slots.of_values(batch["_g"].to_numpy(), key)
+            inside = np.flatnonzero(slot >= 0)
+            inside = inside[np.lexsort((key[inside], slot[inside]))]
+            if not len(inside):
+                continue
+            slot, key, x = slot[inside], key[inside], x[inside]
+            if bits:
+                digit = (key >> np.uint64(BITS - slots.done - bits)) & np.uint64((1 << bits) - 1)
+            else:
+                digit = key
+            new = np.ones(len(slot), bool)
+            new[1:] = (slot[1:] != slot[:-1]) | (digit[1:] != digit[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(slot)) - 1
+            shown = digit[first].astype(np.int64) if bits else np.zeros(len(first), np.int64)
+            yield pa.record_batch(
+                [pa.array(c) for c in (slot[first].astype(np.int32), shown, last - first + 1, x[first], x[last])],
+                names=["_s", "_d", "_c", "_low", "_high"],
+            )
+
+    return kernel
+
+
+def _upto(counted: DataFrame, by: str) -> DataFrame:
+    """Running counts of a slot along ``by``."""
+    along = Window.partitionBy("_s").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_upto", F.sum("_c").over(along))
+
+
+#: Whether a row of running counts holds a rank.
+HOLDS = "_upto > _rest AND _upto - _c <= _rest"
 
 
 def exact_quantiles(
@@ -99,7 +124,7 @@ def exact_quantiles(
     keys: list[str],
     value: str,
     probs: dict[str, float],
-    accuracy: int = 2_000,
+    accuracy: int = 65_536,
     rank_rows: int = 20_000,
     max_groups: int = 10_000,
     positions: Callable[[int, int], dict[str, float]] | None = None,
@@ -107,101 +132,82 @@ def exact_quantiles(
     """One row per group: keys, ``n`` and one linearly interpolated quantile per name.
 
     ``positions`` may give other fractional ranks (from 0) for the names in ``probs``, from the
-    number of known values of the group and the number of its rows. ``keys`` must form few groups without missing keys (features, states): more than
-    ``max_groups`` raise. Missing values are skipped. The input is scanned three times, and
-    once or twice more for each further narrowing, so stage it when it is expensive.
+    number of known values of the group and the number of its rows. A pass tells at least
+    ``accuracy`` digits apart. ``keys`` must form few groups without missing keys (features,
+    states): more than ``max_groups`` raise. Missing values are skipped. The input is scanned
+    three times or more, so stage it when it is expensive.
     """
-    spark, margin = df.sparkSession, 3.0 / accuracy
+    spark = df.sparkSession
+    ship_package(spark)
     every = df.select(*keys, F.col(value).cast("double").alias("_x"))
-    x = every.where("_x IS NOT NULL")
-    key_fields = [x.schema[k] for k in keys]
-
-    grid = ", ".join(f"{g!r}D" for g in GRID)
-    sketch = F.expr(f"percentile_approx(_x, array({grid}), {accuracy})").alias("_cut")
-    first = every.groupBy(*keys).agg(F.count("_x").alias("n"), F.count("*").alias("rows"), sketch)
-    rows = first.limit(max_groups + 1).collect()
+    key_fields = [every.schema[k] for k in keys]
+    rows = every.groupBy(*keys).agg(F.count("_x").alias("n"), F.count("*").alias("rows"))
+    rows = rows.limit(max_groups + 1).collect()
     if len(rows) > max_groups:
         raise ValueError(f"expected at most {max_groups} groups")
-    brackets, sizes = [], {}
+    ranks, sizes = [], {}
     for row in rows:
         if not row["n"]:
             continue
         group = tuple(row[k] for k in keys)
-        sizes[group] = row["n"]
         wanted = positions(row["n"], row["rows"]) if positions else {}
         for name, p in probs.items():
-            one = _Bracket(group, name, float(wanted.get(name, (row["n"] - 1) * p)), inside=row["n"])
-            one.narrowed(row["_cut"], margin)
-            brackets.append(one)
-
-    while brackets:
-        counted = _with_brackets(x, keys, _frame(spark, key_fields, brackets))
-        # of each bracket of the group: rows below it and rows in it, summed map-side
-        most = len(probs)
-        sums = []
-        for j in range(most):
-            edge, at = F.col("_b")[j], F.col("_x")
-            within = (at >= edge["_lo"]) & (at <= edge["_hi"])
-            tests = {"below": at < edge["_lo"], "in": within, "low": at == edge["_lo"], "high": at == edge["_hi"]}
-            sums += [F.count_if(test).alias(f"_{name}{j}") for name, test in tests.items()]
-            sums += [
-                F.min(F.when(within & (at > edge["_lo"]), at)).alias(f"_up{j}"),
-                F.max(F.when(within & (at < edge["_hi"]), at)).alias(f"_down{j}"),
-                F.max(edge["_i"]).alias(f"_i{j}"),
-            ]
-        wide = []
-        for row in counted.groupBy(*keys).agg(*sums).collect():
-            for j in range(most):
-                one = brackets[row[f"_i{j}"]]
-                one.below, one.inside = row[f"_below{j}"], row[f"_in{j}"]
-                if not one.below <= one.ranks[0] <= one.ranks[1] < one.below + one.inside:
-                    raise ValueError(f"rank of {one.name} outside its bracket")
-                if one.inside > rank_rows and one.low < one.high and not one.settled:
-                    one.without_heavy_ends(row[f"_low{j}"], row[f"_high{j}"], row[f"_up{j}"], row[f"_down{j}"])
-                    wide.append(one)
-        if not wide:
-            break
-        closing = [b for b in wide if not b.settled]
-        inner = _with_brackets(x, keys, _frame(spark, key_fields, closing)) if closing else None
-        if inner is not None:
-            inner = inner.select("_x", F.explode(F.transform(_inside(), lambda b: b["_i"])).alias("_i"))
-            marks = inner.groupBy("_i").agg(sketch)
-            for row in marks.collect():
-                closing[row["_i"]].narrowed(row["_cut"], margin)
-
+            at = float(wanted.get(name, (row["n"] - 1) * p))
+            for upper, rank in ((False, math.floor(at)), (True, math.ceil(at))):
+                ranks.append(_Rank(group, len(sizes), name, at, upper, rank))
+        sizes[group] = row["n"]
     kinds = [*key_fields, T.StructField("n", T.LongType())]
-    if not brackets:
+    if not ranks:
         kinds += [T.StructField(name, T.DoubleType()) for name in probs]
         return spark.createDataFrame([], T.StructType(kinds))
-    counted = (
-        _with_brackets(x, keys, _frame(spark, key_fields, brackets))
-        .select("_x", F.explode(F.transform(_inside(), lambda b: b["_i"])).alias("_i"))
-        .groupBy("_i", "_x")
-        .agg(F.count("*").alias("_c"))
-    )
-    by_value = Window.partitionBy("_i").orderBy("_x")
-    ranked = counted.withColumn("_upto", F.sum("_c").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = spark.createDataFrame(
-        [(i, *b.keys, sizes[b.keys], b.name, b.position, *(r - b.below for r in b.ranks)) for i, b in enumerate(brackets)],
+
+    # groups are few, see max_groups
+    numbers = T.StructType([*key_fields, T.StructField("_g", T.IntegerType())])
+    groups = spark.createDataFrame([(*k, i) for i, k in enumerate(sizes)], numbers)
+    x = every.where("_x IS NOT NULL").join(F.broadcast(groups), keys).select("_g", "_x")
+    digit, done = max(1, math.ceil(math.log2(accuracy))), 0
+    while done < BITS:
+        bits = min(digit, BITS - done)
+        slots, slot = _Slots.of(ranks, done)
+        counts = x.mapInArrow(_counted(slots, bits), "_s int, _d long, _c long, _low double, _high double")
+        counts = counts.groupBy("_s", "_d").agg(
+            F.sum("_c").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+        )
+        held = spark.createDataFrame(
+            [(i, s, r.rest) for i, (s, r) in enumerate(zip(slot, ranks))], "_i int, _s int, _rest long"
+        )
+        # one row for each rank
+        found = _upto(counts, "_d").join(F.broadcast(held), "_s").where(HOLDS).collect()
+        for row in found:
+            rank = ranks[row["_i"]]
+            rank.prefix = rank.prefix << bits | row["_d"]
+            rank.rest -= row["_upto"] - row["_c"]
+            rank.inside, rank.one_value = row["_c"], row["_low"] == row["_high"]
+        done += bits
+        if all(r.one_value or r.inside <= rank_rows for r in ranks):
+            break
+
+    slots, slot = _Slots.of(ranks, done)
+    counts = x.mapInArrow(_counted(slots, 0), "_s int, _d long, _c long, _low double, _high double")
+    counts = counts.groupBy("_s", F.col("_low").alias("_x")).agg(F.sum("_c").alias("_c"))
+    held = spark.createDataFrame(
+        [(s, *r.keys, sizes[r.keys], r.name, r.position, r.upper, r.rest) for s, r in zip(slot, ranks)],
         T.StructType(
             [
-                T.StructField("_i", T.IntegerType()),
+                T.StructField("_s", T.IntegerType()),
                 *kinds,
                 T.StructField("_name", T.StringType()),
                 T.StructField("_position", T.DoubleType()),
-                T.StructField("_first", T.LongType()),
-                T.StructField("_last", T.LongType()),
+                T.StructField("_upper", T.BooleanType()),
+                T.StructField("_rest", T.LongType()),
             ]
         ),
     )
-    # one row for each group and rank
-    found = ranked.join(F.broadcast(wanted), "_i")
-
-    def at(rank: str):
-        return F.max(F.when((F.col("_upto") > F.col(rank)) & (F.col("_upto") - F.col("_c") <= F.col(rank)), F.col("_x")))
-
+    found = _upto(counts, "_x").join(F.broadcast(held), "_s").where(HOLDS)
+    values = found.groupBy(*keys, "n", "_name", "_position").agg(
+        F.max(F.when(~F.col("_upper"), F.col("_x"))).alias("_a"), F.max(F.when(F.col("_upper"), F.col("_x"))).alias("_z")
+    )
     part = F.col("_position") - F.floor("_position")
-    values = found.groupBy(*keys, "n", "_name", "_position").agg(at("_first").alias("_a"), at("_last").alias("_z"))
     values = values.withColumn("_value", F.col("_a") + (F.col("_z") - F.col("_a")) * part)
     return values.groupBy(*keys, "n").agg(
         *(F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in probs)
