@@ -64,11 +64,28 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 SQL["op7_warc"] = r"""
-SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
-  sha256(coalesce(html, '')) AS payload_digest,
-  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> first THEN first END AS refers_to
-FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+WITH p AS (
+  SELECT page_id, regexp_replace(url, '[\x00-\x1F\x7F]', '%20', 'g') AS uri, coalesce(html, '') AS body,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages
+),
+r AS (
+  SELECT *, strlen(body) AS size, sha256(body) AS digest, strlen(body) >= 100 AND page_id <> first AS again FROM p
+),
+w AS (
+  SELECT *, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END,
+    'WARC-Record-ID: <urn:page:' || page_id || ':' || digest || '>', 'WARC-Target-URI: ' || uri,
+    'WARC-Date: 2024-01-01T00:00:00Z', 'WARC-Payload-Digest: sha256:' || digest,
+    CASE WHEN again THEN 'WARC-Refers-To: <urn:page:' || first || ':' || digest || '>' END,
+    CASE WHEN again THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+    'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || CASE WHEN again THEN 0 ELSE size END)
+    || repeat(chr(13) || chr(10), 2) || CASE WHEN again THEN '' ELSE body END || repeat(chr(13) || chr(10), 2) AS record
+  FROM r
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to,
+  CAST(strlen(record) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256
+FROM w
 """
 
 SQL["op8_near_dedup"] = r"""

@@ -78,11 +78,19 @@ def op6_best_fit_packing(spark, sf_dir):
 
 
 def op7_warc(spark, sf_dir):
-    """Every page written to an archive and read back."""
+    """Every page written to an archive and read back, with the digest of its rebuilt record."""
     path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     out = warc.read_archive(spark, path)
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return out.select(
+        "page_id",
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        F.octet_length("record").cast("long").alias("record_bytes"),
+        F.sha2("record", 256).alias("record_sha256"),
+    )
 
 
 def op8_near_dedup(spark, sf_dir):

@@ -8,8 +8,9 @@ is hashed again when it is read, and a payload that does not have its digest fai
 
 Of the records with equal payloads of at least ``least`` bytes, that of the smallest page_id
 is the response and the others revisit it; smaller payloads are always responses (and still
-stored once). A payload is dealt by page and digest, so a payload that a third of the pages
-share is still only one row.
+stored once). Payloads are gathered by digest, combined map-side, so one that a third of the
+pages share is a row a task. Its headers are spread: a payload of many records is joined
+from several copies, made when the archive is read, and each of its headers names one.
 
 Defined cases: a null html is an empty payload; a null page_id comes before all others and
 stays null; of repeated rows with the smallest page_id all are responses; control characters
@@ -26,6 +27,9 @@ from daytide.llm.common import NO_ID
 from daytide.session import stage
 
 LEAST = 100
+#: Records that one copy of a payload is joined to; digests of more are at most MOST_HOT.
+RECORDS_A_COPY = 10_000
+MOST_HOT = 100_000
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,6 +67,7 @@ def write_archive(
     html: str = "html",
     least: int = LEAST,
     date: str = DATE,
+    records_a_copy: int = RECORDS_A_COPY,
 ) -> None:
     """Write the two tables of an archive below ``path``."""
     given = pages.select(
@@ -72,14 +77,21 @@ def write_archive(
     ).withColumn("digest", F.sha2("payload", 256))
     narrow = given.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"))
     narrow = stage(narrow, "pages")
-    first = stage(narrow.groupBy("digest").agg(F.min("page_id").alias("first")), "firsts")
-    records = narrow.join(first, "digest")
+    limit = max(records_a_copy, narrow.count() // MOST_HOT)
+    copies = F.ceil(F.count("*") / limit).cast("int")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), copies.alias("copies"))
+    first = stage(first, "firsts")
+    # at most MOST_HOT digests have more than ``limit`` records
+    hot = F.broadcast(first.where("copies > 1"))
+    calm = narrow.join(hot.select("digest"), "digest", "left_anti").join(first, "digest")
+    records = calm.unionByName(narrow.join(hot, "digest"))
     refers = F.when((F.col("size") >= least) & (F.col("page_id") != F.col("first")), F.col("first"))
     block = header(F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), refers, date)
-    records.select("digest", block.alias("header")).write.parquet(f"{path}/headers")
-    once = given.join(first.withColumnRenamed("first", "page_id"), ["page_id", "digest"], "left_semi")
-    once = once.select("page_id", "digest", "payload").dropDuplicates(["page_id", "digest"])
-    once.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    salt = F.floor(F.rand(7) * F.col("copies")).cast("int")
+    records.select("digest", salt.alias("salt"), block.alias("header")).write.parquet(f"{path}/headers")
+    once = given.groupBy("digest").agg(F.first("payload").alias("payload"))
+    once = once.join(first, "digest").select("digest", "copies", "payload")
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _field(name: str, pattern: str = "[^\r\n]*") -> Column:
@@ -100,13 +112,15 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     block, payload and payload_bytes from the store; ``record`` is the original record, byte
     for byte. Columns that are not asked for are not read, and the payloads then not moved.
     """
-    store = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
+    kind = "digest string, copies int, payload binary"
+    store = spark.read.schema(kind).parquet(f"{path}/payloads")
     broken = F.raise_error(F.concat(F.lit("payload does not have its digest: "), F.col("digest")))
     sound = F.sha2("payload", 256) == F.col("digest")
     size = F.when(sound, F.octet_length("payload").cast("long")).otherwise(broken.cast("long"))
-    store = store.select("digest", size.alias("payload_bytes"), "payload")
-    headers = spark.read.schema("digest string, header string").parquet(f"{path}/headers")
-    both = headers.join(store, "digest", "left")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))
+    store = store.select("digest", size.alias("payload_bytes"), "payload", every.alias("salt"))
+    headers = spark.read.schema("digest string, salt int, header string").parquet(f"{path}/headers")
+    both = headers.join(store, ["digest", "salt"], "left")
     own = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
     record = F.concat(F.encode("header", "UTF-8"), own, F.encode(F.lit(END + END), "UTF-8"))
     return both.select(

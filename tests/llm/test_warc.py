@@ -52,6 +52,22 @@ def test_round_trip(spark):
     assert spark.read.parquet(f"{path}/payloads").count() == len({p[2] or "" for p in PAGES})
 
 
+def test_a_payload_of_many_records_is_joined_from_copies(spark):
+    pages = [(i, f"http://a/{i}", BIG if i % 3 else f"own {i}") for i in range(90)] + [(200 + i, "e", None) for i in range(40)]
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    warc.write_archive(documents(spark, pages, kind=KIND).repartition(4), path, records_a_copy=7)
+    stored = spark.read.parquet(f"{path}/payloads")
+    assert stored.count() == len({p[2] or "" for p in pages})
+    assert {r.copies for r in stored.collect()} == {1, 6, 9}
+    spread = spark.read.parquet(f"{path}/headers").groupBy("digest", "salt").count()
+    assert spread.agg(F.max("count")).first()[0] < 25
+    got = {r.page_id: r for r in warc.read_archive(spark, path).collect()}
+    assert len(got) == len(pages)
+    for page, _, html in pages:
+        assert bytes(got[page].payload) == (html or "").encode()
+        assert got[page].record_type == ("revisit" if html == BIG and page != 1 else "response")
+
+
 def test_null_page_comes_first(spark):
     got = {r.page_id: r for r in warc.read_archive(spark, archive(spark, [(None, "n", BIG), (1, "a", BIG)])).collect()}
     assert got[None].record_type == "response" and got[1].record_type == "revisit"
