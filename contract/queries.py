@@ -19,7 +19,7 @@ from daytide.functions.columns import fixed4, numeric, percent2, plain4, rounded
 from daytide.functions.sampling import seeded_sample
 from daytide.functions.sequence_kernels import HmmParams
 from daytide.functions.shape import small_table
-from daytide.operators import chartdata, daily, eda, hmm, normalize, states
+from daytide.operators import chartdata, daily, eda, hmm, normalize, start, states
 from daytide.operators.features import user_day_features, user_day_history
 from daytide.plans import workflow
 from daytide.session import shared_dir, stage
@@ -804,6 +804,19 @@ def _(spark, sf_dir):
     return states.state_profile(decoded_days(spark, sf_dir))
 
 
+@register("hmm_start_seeds", O.seeds_sql("events", 3, 4, 10, 42))
+def _(spark, sf_dir):
+    """The rows that the ten tries of the fit's k-means start from."""
+    train = sequences(spark, sf_dir)[1].where(F.col("days") >= 3)
+    drawn = start.seed_rows(train, 4, len(MODEL), 42, 10)
+    rows = [
+        (t, r, user, day, float(v.sum()))
+        for t, own in enumerate(drawn)
+        for r, (_, user, day, v) in enumerate(own)
+    ]
+    return spark.createDataFrame(rows, "try int, round int, user_id string, bet_date date, total double")
+
+
 def fitted(spark, sf_dir):
     table, seqs = sequences(spark, sf_dir)
     return table, seqs, hmm.fit(seqs)

@@ -13,13 +13,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytide import schema
 from daytide.functions.sequence_kernels import HmmParams, expected_counts, most_likely_states
+from daytide.operators.start import kmeans_centers
 from daytide.session import ship_package, stage
 
 
@@ -62,37 +61,24 @@ def train_user_days(z: DataFrame, min_days: int = 3) -> DataFrame:
     return z.join(users, "user_id", "left_semi")
 
 
-def _sequence_rows(sequences: DataFrame, width: int) -> DataFrame:
-    at = F.explode(F.sequence(F.lit(0), F.col("days") - 1))
-    return sequences.select(at.alias("i"), "x").select(
-        F.slice("x", F.col("i") * width + 1, width).alias("v")
-    )
-
-
 def initial_params(
     sequences: DataFrame, states: int, width: int, seed: int = 42, min_covar: float = 1e-3
 ) -> HmmParams:
-    """k-means centres as means, overall variance, near-uniform seeded probabilities."""
-    rows = _sequence_rows(sequences, width).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = KMeans(k=states, seed=seed, featuresCol="f").fit(
-            rows.select(array_to_vector("v").alias("f"))
-        )
-        variance = rows.agg(*(F.var_samp(F.col("v")[d]) for d in range(width))).first()
-    finally:
-        rows.unpersist()
-    centers = np.asarray(model.clusterCenters(), dtype=float)
+    """k-means centres as means, overall variance, near-uniform seeded probabilities.
+
+    The same rows give the same parameters, however they are partitioned.
+    """
+    centers, variance = kmeans_centers(sequences, states, width, seed)
     rng = np.random.default_rng(seed)
     while len(centers) < states:  # fewer distinct rows than states
         centers = np.vstack([centers, centers[-1] + rng.normal(scale=0.1, size=width)])
     start = 1.0 + 0.1 * rng.random(states)
     trans = 1.0 + 0.1 * rng.random((states, states))
-    covar = np.array([v or 0.0 for v in variance], dtype=float) + min_covar
     return HmmParams(
         start / start.sum(),
         trans / trans.sum(axis=1, keepdims=True),
         centers,
-        np.tile(covar, (states, 1)),
+        np.tile(variance + min_covar, (states, 1)),
     )
 
 
@@ -194,7 +180,7 @@ def fit(
     Pass staged sequences: every iteration reads them, from memory where they fit, and
     a lost executor only re-reads its part of the staged table.
     """
-    train = sequences.where(F.col("days") >= min_train_days).select("days", "x")
+    train = sequences.where(F.col("days") >= min_train_days).select("user_id", "days", "bet_dates", "x")
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         params = init or initial_params(train, states, width, seed, min_covar)
