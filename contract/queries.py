@@ -960,6 +960,29 @@ def _(spark, sf_dir):
     return spark.read.schema(schema.FEATURE_SCHEMA).parquet(path).select(*schema.FEATURE_COLUMNS)
 
 
+@register(
+    "stored_lookup",
+    O.select(O.base_ctes(), f"SELECT {LOOKUP_COLS} FROM src WHERE user_id = '7'"),
+)
+def _(spark, sf_dir):
+    """One user's events out of the stored event table."""
+    path = out_path(spark, "stored-events")
+    sinks.write_events(adapters.from_events(spark, sf_dir), path)
+    return events.lookup_user(events.read_events(spark, path), 7)
+
+
+@register(
+    "stored_features",
+    O.select(O.feature_ctes(), f"SELECT {O.FEATURE_COLS} FROM feat"),
+)
+def _(spark, sf_dir):
+    """Features of a stored event table, its folders pruned by UTC date."""
+    path = out_path(spark, "stored-events")
+    sinks.write_events(adapters.from_events(spark, sf_dir), path)
+    stored = events.read_events(spark, path, utc_date="utc_date")
+    return workflow.features_from_events(stored, utc_date_column="utc_date").select(*schema.FEATURE_COLUMNS)
+
+
 @register("sorted_table", O.select(O.feature_ctes("orders"), f"SELECT {O.FEATURE_COLS} FROM feat"))
 def _(spark, sf_dir):
     path = out_path(spark, "sorted")

@@ -63,13 +63,23 @@ def attach_states(features: DataFrame, states: DataFrame) -> DataFrame:
     return f.join(s, same).select("f.*", *added)
 
 
+def _key_sums(table: DataFrame) -> list:
+    """Rows and two sums of hashes over the keys: equal for equal keys in any order."""
+    keys = ("user_id", "bet_date")
+    sums = [F.sum(F.xxhash64(F.lit(i), *keys).cast("decimal(38,0)")) for i in range(2)]
+    return [F.count("*"), *sums]
+
+
 def check_attached(features: DataFrame, labelled: DataFrame) -> None:
-    """Raise unless every user-day got exactly one state. Give written tables."""
-    keys = F.count_distinct(F.struct("user_id", "bet_date"))
-    want = features.count()
-    got = labelled.agg(F.count("*").alias("rows"), keys.alias("keys"), F.count("hmm_state").alias("states")).first()
-    if tuple(got) != (want, want, want):
-        raise ValueError(f"{want} user-days, but {tuple(got)} labelled rows, keys and states")
+    """Raise unless every user-day got exactly one state. Give written tables.
+
+    The keys are compared by sums of their hashes, so no key is moved: lost, foreign and
+    repeated keys change the sums.
+    """
+    want = features.agg(*_key_sums(features)).first()
+    *got, states = labelled.agg(*_key_sums(labelled), F.count("hmm_state")).first()
+    if got != list(want) or states != want[0]:
+        raise ValueError(f"{want[0]} user-days, but {got[0]} labelled rows, {states} states, or other keys")
 
 
 def label_decoded(features: DataFrame, decoded: DataFrame, churn_days: int = 7) -> DataFrame:

@@ -9,12 +9,21 @@ from pyspark.sql import types as T
 from daytide import schema
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Event table on files with the declared schema; only used columns are read."""
-    reader = spark.read.format(fmt).schema(schema.EVENT_SCHEMA)
+def read_events(
+    spark: SparkSession, path: str, fmt: str = "parquet", utc_date: str | None = None
+) -> DataFrame:
+    """Event table on files with the declared schema; only used columns are read.
+
+    Name ``utc_date`` to keep that column of a table with one folder per UTC date.
+    """
+    table = schema.EVENT_SCHEMA
+    if utc_date is not None:
+        table = T.StructType([*table.fields, T.StructField(utc_date, T.DateType())])
+    reader = spark.read.format(fmt).schema(table)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return reader.load(path)
+    # folder columns of the table come along unless left out
+    return reader.load(path).select(*table.names)
 
 
 def jdbc_options(

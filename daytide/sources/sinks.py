@@ -16,11 +16,32 @@ def write_table(df: DataFrame, path: str, by_date: bool = False) -> None:
     df.hint("rebalance", "bet_date").write.mode("overwrite").partitionBy("bet_date").parquet(path)
 
 
-def write_sorted(df: DataFrame, path: str) -> None:
+def _indexed(df: DataFrame, row_group: int | None):
+    """Parquet writer with a Bloom filter on the user, for lookups of one of them."""
+    writer = df.write.mode("overwrite").option("parquet.bloom.filter.enabled#user_id", "true")
+    if row_group is not None:
+        writer = writer.option("parquet.block.size", row_group)
+    return writer
+
+
+def write_sorted(df: DataFrame, path: str, row_group: int | None = None) -> None:
     """Parquet in order of (user_id, bet_date): the files hold ranges that follow each other,
-    so a lookup of one user reads few of them."""
+    so a lookup of one user reads few of them. ``row_group`` is in bytes."""
     keys = ["user_id", "bet_date"]
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    _indexed(df.repartitionByRange(*keys).sortWithinPartitions(*keys), row_group).parquet(path)
+
+
+def write_events(events: DataFrame, path: str, utc_date: str = "utc_date", row_group: int | None = None) -> None:
+    """Events as parquet, one folder per UTC date, in order of users within it.
+
+    A date range reads its folders, a lookup of one user the row groups that may have it (by
+    their range of users and by Bloom filter). Ranges are cut by time too, so a user with
+    many events is spread over tasks. Events without a time go to the null folder.
+    """
+    keys = [utc_date, "user_id", "created_at"]
+    dated = events.withColumn(utc_date, F.to_date("created_at"))
+    ordered = dated.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    _indexed(ordered, row_group).partitionBy(utc_date).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -122,3 +122,59 @@ def test_tables_are_written_in_order(spark, tmp_path):
         assert got == sorted(got)
         ranges += [(got[0], got[-1])] if got else []
     assert all(a[1] <= b[0] for a, b in zip(sorted(ranges), sorted(ranges)[1:]))
+
+
+def scanned_rows(df):
+    """Rows that the scan handed on, after folders, row groups and pages were skipped."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def many_events(make_events, users=2_000, each=20):
+    begin = datetime(2026, 1, 5, 4)
+    return make_events(
+        [
+            {"user_id": f"u{u:05d}", "event_id": f"{u}-{i}", "created_at": begin + timedelta(hours=12 * (i % 4), seconds=i)}
+            for u in range(0, 2 * users, 2)
+            for i in range(each)
+        ]
+    )
+
+
+def test_lookup_skips_what_cannot_have_the_user(spark, make_events, tmp_path):
+    path = str(tmp_path / "events")
+    sinks.write_events(many_events(make_events), path, row_group=16_384)
+    table = events.read_events(spark, path)
+    found = events.lookup_user(table, "u00500")
+    assert len(found.collect()) == 20
+    assert scanned_rows(events.lookup_user(table, "u00500")) < 0.1 * table.count()
+    # within the range of every file, yet in no Bloom filter
+    absent = scanned_rows(events.lookup_user(table, "u00501"))
+    assert absent < 0.05 * table.count()
+
+
+def test_sorted_table_is_skipped_over(spark, tmp_path):
+    rows = [{"user_id": f"u{i:04d}", "bet_date": date(2026, 1, 1 + d)} for i in range(1_500) for d in range(4)]
+    sinks.write_sorted(user_day_features(base_frame(spark, rows)), str(tmp_path / "s"), row_group=16_384)
+    table = spark.read.parquet(str(tmp_path / "s"))
+    one = table.where("user_id = 'u0700'")
+    assert one.count() == 4
+    assert scanned_rows(one) < 0.2 * table.count()
+
+
+def test_stored_events_come_back_by_date(spark, make_events, tmp_path):
+    table = many_events(make_events, users=40).union(
+        make_events([{"user_id": None}, {"user_id": "x", "created_at": None}])
+    )
+    sinks.write_events(table, str(tmp_path / "e"))
+    back = events.read_events(spark, str(tmp_path / "e"), utc_date="utc_date")
+    assert back.drop("utc_date").exceptAll(table).isEmpty() and back.count() == table.count()
+    assert back.where("utc_date <> to_date(created_at)").isEmpty()
+    plan = back.where("utc_date = DATE'2026-01-05'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(utc_date" in plan
+
+
+def test_empty_event_table_is_stored(spark, make_events, tmp_path):
+    sinks.write_events(make_events([{}]).where("false"), str(tmp_path / "none"))
+    assert events.read_events(spark, str(tmp_path / "none")).isEmpty()

@@ -135,3 +135,25 @@ def test_state_bars_from_readable_profile(spark):
     named = states.readable_profile(profile, {0: "calm"}).collect()
     assert [r["manual_label"] for r in named][:2] == ["calm", "衰退/流失前状态"]
     assert chartdata.state_bars(readable).first()["state_label"] == "S0 Stable Active"
+
+
+def test_attached_keys_are_compared(spark):
+    days = [("a", date(2026, 1, 1)), ("a", date(2026, 1, 2)), (None, date(2026, 1, 1))]
+    features = spark.createDataFrame(days, "user_id string, bet_date date")
+    kind = "user_id string, bet_date date, hmm_state int"
+
+    def check(rows):
+        states.check_attached(features, spark.createDataFrame(rows, kind))
+
+    whole = [(*d, 1) for d in days]
+    check(whole[::-1])
+    others = [
+        whole[:2],
+        whole + whole[:1],
+        whole[:2] + whole[:1],
+        whole[:2] + [("b", date(2026, 1, 1), 1)],
+        whole[:2] + [(*days[2], None)],
+    ]
+    for rows in others:
+        with pytest.raises(ValueError):
+            check(rows)
