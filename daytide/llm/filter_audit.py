@@ -195,11 +195,15 @@ def prefix_cells(given: DataFrame, limit: int, most: int = MOST_HEAVY) -> DataFr
     size = PREFIX
     open_ = given.select("text", F.xxhash64(F.substring("text", 1, size)).alias("key"))
     while True:
+        whole = F.xxhash64("text")
         weights = open_.groupBy("key").agg(
-            F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest")
+            F.sum(F.octet_length("text")).alias("bytes"),
+            F.max(F.octet_length("text")).alias("longest"),
+            (F.min(whole) < F.max(whole)).alias("several"),
         )
-        # a prefix that is the whole text cannot be cut
-        heavy = stage(weights.where((F.col("bytes") > limit) & (F.col("longest") > size)).select("key"), "heavy")
+        # a prefix that is the whole text, or one text's only, cannot be cut
+        cut = (F.col("bytes") > limit) & (F.col("longest") > size) & F.col("several")
+        heavy = stage(weights.where(cut).select("key"), "heavy")
         count = heavy.limit(most + 1).count()
         if not count:
             return out
