@@ -25,6 +25,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,39 +186,97 @@ def _settled(batches):
         yield pa.record_batch(columns, names=batch.schema.names)
 
 
+def _hashed(values: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(v) for v in values], np.uint64).view(np.int64)
+
+
+def cut_depths(texts: list[bytes], heavy: list[np.ndarray]) -> np.ndarray:
+    """How many times the prefix of each text is cut; ``heavy`` has sorted hashes by level."""
+    depth = np.zeros(len(texts), np.int64)
+    going, size = np.arange(len(texts)), PREFIX
+    for keys in heavy:
+        going = going[[len(texts[i]) > size for i in going]] if len(going) else going
+        own = _hashed([texts[i][:size] for i in going])
+        going = going[keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own]
+        depth[going] += 1
+        size *= LONGER
+    return depth
+
+
+WEIGHTS = "key long, bytes long, longest long, least long, most long"
+
+
+def _weights(heavy: list[np.ndarray]):
+    """Bytes, longest text, and range of hashes of whole texts, of each prefix that may be cut next."""
+    size = PREFIX * LONGER ** len(heavy)
+
+    def kernel(batches):
+        for batch in parts(batches):
+            texts = batch["text"].to_pylist()
+            depth = cut_depths(texts, heavy)
+            texts = [t for t, d in zip(texts, depth) if d == len(heavy)]
+            if not texts:
+                continue
+            lengths, whole = np.array([len(t) for t in texts], np.int64), _hashed(texts)
+            key, slot = np.unique(_hashed([t[:size] for t in texts]), return_inverse=True)
+            order = np.argsort(slot, kind="stable")
+            head = np.searchsorted(slot[order], np.arange(len(key)))
+            columns = [
+                key,
+                np.add.reduceat(lengths[order], head),
+                np.maximum.reduceat(lengths[order], head),
+                np.minimum.reduceat(whole[order], head),
+                np.maximum.reduceat(whole[order], head),
+            ]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["key", "bytes", "longest", "least", "most"])
+
+    return kernel
+
+
+def _cells(heavy: list[np.ndarray]):
+    """Every row with its head and cell; one lookup of its prefix of each level."""
+
+    def kernel(batches):
+        for batch in parts(batches):
+            texts = batch["text"].to_pylist()
+            depth = cut_depths(texts, heavy)
+            cell = np.zeros(len(texts), np.int64)
+            cut = np.flatnonzero(depth)
+            cell[cut] = _hashed([texts[i][: PREFIX * LONGER ** int(depth[i])] for i in cut])
+            head = pa.array([t[:PREFIX] for t in texts], pa.binary())
+            columns = [*batch.columns, head, pa.array(cell)]
+            yield pa.record_batch(columns, names=[*batch.schema.names, "head", "cell"])
+
+    return kernel
+
+
 def prefix_cells(given: DataFrame, limit: int, most: int = MOST_HEAVY) -> DataFrame:
     """``given`` with ``head``, its text's first bytes, and ``cell``, which cuts heads of over limit bytes.
 
-    A cell is the hash of a longer prefix; equal texts always agree in both. Only hashes of
-    heavy prefixes are broadcast: at most total bytes / limit of them.
+    A cell is the hash of a longer prefix; equal texts always agree in both. A pass a level
+    finds the heavy prefixes, the last one looks a row up in all levels at once. Only hashes
+    of heavy prefixes reach the driver and the tasks: at most total bytes / limit a level.
     """
-    out = given.withColumn("head", F.substring("text", 1, PREFIX)).withColumn("cell", F.lit(0).cast("long"))
+    heavy: list[np.ndarray] = []
     size = PREFIX
-    open_ = given.select("text", F.xxhash64(F.substring("text", 1, size)).alias("key"))
     while True:
-        whole = F.xxhash64("text")
-        weights = open_.groupBy("key").agg(
-            F.sum(F.octet_length("text")).alias("bytes"),
-            F.max(F.octet_length("text")).alias("longest"),
-            (F.min(whole) < F.max(whole)).alias("several"),
+        weights = given.select("text").mapInArrow(_weights(heavy), WEIGHTS)
+        weights = weights.groupBy("key").agg(
+            F.sum("bytes").alias("bytes"),
+            F.max("longest").alias("longest"),
+            (F.min("least") < F.max("most")).alias("several"),
         )
         # a prefix that is the whole text, or one text's only, cannot be cut
         cut = (F.col("bytes") > limit) & (F.col("longest") > size) & F.col("several")
-        heavy = stage(weights.where(cut).select("key"), "heavy")
-        count = heavy.limit(most + 1).count()
-        if not count:
-            return out
-        if count > most:
+        keys = weights.where(cut).select("key").limit(most + 1).toArrow()["key"].to_numpy()
+        if len(keys) > most:
             raise ValueError(f"more than {most} prefixes of over {limit} bytes: raise the limit")
-        known = F.broadcast(heavy.withColumnRenamed("key", "heavy"))
-        prefix = F.xxhash64(F.substring("text", 1, size))
-        longer = F.xxhash64(F.substring("text", 1, size * LONGER))
-        found = out.join(known, (prefix == F.col("heavy")) & (F.octet_length("text") > size), "left")
-        out = found.withColumn("cell", F.when(F.col("heavy").isNotNull(), longer).otherwise(F.col("cell"))).drop("heavy")
+        if not len(keys):
+            break
+        heavy.append(np.sort(keys))
         size *= LONGER
-        open_ = open_.join(known, F.col("key") == F.col("heavy")).select(
-            "text", F.xxhash64(F.substring("text", 1, size)).alias("key")
-        )
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema)
+    return given.mapInArrow(_cells(heavy), f"{kind}, head binary, cell long")
 
 
 def failures(

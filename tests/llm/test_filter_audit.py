@@ -129,3 +129,20 @@ def test_edges_of_the_filters():
     masks = filter_audit.own_masks(pa.array(texts)).tolist()
     assert masks == [1, 0, 1, 3, 1, 5, 1]
     assert filter_audit.own_masks(pa.array(["é" * 49 + "A", "é" * 48 + "A", "a|b", "a\x0bb"])).tolist() == [1, 5, 9, 1]
+
+
+def test_cells_need_no_join(spark):
+    rows = [(i, "head " * 300 + str(i), "x") for i in range(50)]
+    left = frame(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text"))
+    cells = filter_audit.prefix_cells(left, 5_000)
+    assert "Join" not in cells._jdf.queryExecution().executedPlan().toString()
+    assert cells.select("cell").distinct().count() > 10
+
+
+def test_depths_stop_at_the_first_light_prefix():
+    import numpy as np
+
+    first, second = filter_audit._hashed([b"a" * 12, b"a" * 48])
+    heavy = [np.array([first]), np.array([second])]
+    texts = [b"", b"a" * 12, b"a" * 13, b"b" * 90, b"a" * 40 + b"b" * 50, b"a" * 49]
+    assert filter_audit.cut_depths(texts, heavy).tolist() == [0, 0, 1, 0, 1, 2]
