@@ -108,13 +108,17 @@ def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     ``constant_a`` and ``constant_b`` tell whether a column has one value, or none, over the
     rows that have both. Columns x columns rows, with zeros where no row has both.
     """
-    spark = df.sparkSession
-    ship_package(spark)
+    ship_package(df.sparkSession)
     states = df.select(*columns).mapInArrow(_of_task, f"pos_a int, pos_b int, {KIND}")
-    size = len(columns)
+    return merged_pairs(states, len(columns))
+
+
+def merged_pairs(states: DataFrame, size: int) -> DataFrame:
+    """The pair moments from the states of all tasks, ``size`` x ``size`` pairs."""
+    spark = states.sparkSession
     # an empty state for every pair, so that each has a row
     nothing = [(i, j, *[0.0] * len(STATE)) for i in range(size) for j in range(size)]
-    states = states.unionByName(spark.createDataFrame(nothing, states.schema))
+    states = states.unionByName(spark.createDataFrame(nothing, f"pos_a int, pos_b int, {KIND}"))
     # one state a task
     found = states.groupBy("pos_a", "pos_b").agg(F.collect_list(F.struct(*STATE)).alias("all"))
     empty = F.struct(*(F.lit(0.0).alias(s) for s in STATE))

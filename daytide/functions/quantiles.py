@@ -32,6 +32,17 @@ from daytide.session import ship_package
 
 BITS = 64
 
+#: Leading bits that a pass shared with other summaries has counted already.
+BEGUN_BITS = 16
+
+
+@dataclass
+class Begun:
+    """A first pass made elsewhere: keys, ``n`` and ``rows`` of each group; (keys, _d, _c, _low, _high)."""
+
+    sizes: list
+    counts: DataFrame
+
 
 @dataclass
 class _Rank:
@@ -128,6 +139,7 @@ def exact_quantiles(
     rank_rows: int = 20_000,
     max_groups: int = 10_000,
     positions: Callable[[int, int], dict[str, float]] | None = None,
+    begun: Begun | None = None,
 ) -> DataFrame:
     """One row per group: keys, ``n`` and one linearly interpolated quantile per name.
 
@@ -141,8 +153,11 @@ def exact_quantiles(
     ship_package(spark)
     every = df.select(*keys, F.col(value).cast("double").alias("_x"))
     key_fields = [every.schema[k] for k in keys]
-    rows = every.groupBy(*keys).agg(F.count("_x").alias("n"), F.count("*").alias("rows"))
-    rows = rows.limit(max_groups + 1).collect()
+    if begun:
+        rows = begun.sizes
+    else:
+        rows = every.groupBy(*keys).agg(F.count("_x").alias("n"), F.count("*").alias("rows"))
+        rows = rows.limit(max_groups + 1).collect()
     if len(rows) > max_groups:
         raise ValueError(f"expected at most {max_groups} groups")
     ranks, sizes = [], {}
@@ -167,9 +182,14 @@ def exact_quantiles(
     x = every.where("_x IS NOT NULL").join(F.broadcast(groups), keys).select("_g", "_x")
     digit, done = max(1, math.ceil(math.log2(accuracy))), 0
     while done < BITS:
-        bits = min(digit, BITS - done)
         slots, slot = _Slots.of(ranks, done)
-        counts = x.mapInArrow(_counted(slots, bits), "_s int, _d long, _c long, _low double, _high double")
+        if begun and not done:
+            # one slot a group, in the order of their numbers
+            bits = BEGUN_BITS
+            counts = begun.counts.join(F.broadcast(groups), keys).withColumnRenamed("_g", "_s")
+        else:
+            bits = min(digit, BITS - done)
+            counts = x.mapInArrow(_counted(slots, bits), "_s int, _d long, _c long, _low double, _high double")
         counts = counts.groupBy("_s", "_d").agg(
             F.sum("_c").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
         )

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytide import schema
+from daytide.functions import feature_profile
 from daytide.functions.columns import fixed4, numeric, over_nonzero, percent2, plain4
+from daytide.functions.feature_profile import Profile
 from daytide.functions.pair_moments import pair_moments
 from daytide.functions.quantiles import exact_quantiles
 from daytide.functions.shape import to_long
@@ -30,54 +32,81 @@ def clean_features(features: DataFrame, columns: list[str] = FEATURES) -> DataFr
     return features.select(*(numeric(c).alias(c) for c in columns))
 
 
-def feature_counts(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+def profile(features: DataFrame, columns: list[str] = FEATURES) -> Profile:
+    """What summary, correlation and quantiles share, by one scan; they take it as ``profile``."""
+    return feature_profile.profile(clean_features(features, columns), columns)
+
+
+def feature_counts(
+    features: DataFrame, columns: list[str] = FEATURES, profile: Profile | None = None
+) -> DataFrame:
     """Rows, missing, zeros, moments and range per feature.
 
     The zero rate counts missing rows in its denominator. The skew is bias-corrected,
     the deviation is the sample one.
     """
-    long = to_long(clean_features(features, columns), [], columns)
-    sums = {
-        "rows": "count(*)",
-        "n": "count(x)",
-        "zero_count": "count_if(x = 0)",
-        "mean": "avg(x)",
-        "std": "stddev_samp(x)",
-        "min": "min(x)",
-        "max": "max(x)",
-        "g1": "skewness(x)",
-    }
-    return (
-        long.groupBy("feature")
-        .agg(*(F.expr(sql).alias(name) for name, sql in sums.items()))
-        .selectExpr(
+    if profile:
+        counted = profile.column_moments().selectExpr(
             "feature",
             "rows",
-            "rows - n AS missing_count",
-            "(rows - n) / rows AS missing_rate",
-            "zero_count",
-            "zero_count / rows AS zero_rate",
+            "n",
+            "zeros AS zero_count",
             "mean",
-            "std",
-            "min",
-            "max",
-            "CASE WHEN n <= 2 THEN NULL WHEN min = max THEN 0D"
-            " ELSE g1 * sqrt(n * (n - 1D)) / nullif(n - 2, 0) END AS skew",
+            "CASE WHEN n < 2 THEN NULL WHEN low = high THEN 0D ELSE sqrt(m2 / (n - 1)) END AS std",
+            "low AS min",
+            "high AS max",
+            "sqrt(n) * m3 / nullif(m2 * sqrt(m2), 0) AS g1",
         )
+    else:
+        long = to_long(clean_features(features, columns), [], columns)
+        sums = {
+            "rows": "count(*)",
+            "n": "count(x)",
+            "zero_count": "count_if(x = 0)",
+            "mean": "avg(x)",
+            "std": "stddev_samp(x)",
+            "min": "min(x)",
+            "max": "max(x)",
+            "g1": "skewness(x)",
+        }
+        counted = long.groupBy("feature").agg(*(F.expr(sql).alias(name) for name, sql in sums.items()))
+    return counted.selectExpr(
+        "feature",
+        "rows",
+        "rows - n AS missing_count",
+        "(rows - n) / rows AS missing_rate",
+        "zero_count",
+        "zero_count / rows AS zero_rate",
+        "mean",
+        "std",
+        "min",
+        "max",
+        "CASE WHEN n <= 2 THEN NULL WHEN min = max THEN 0D"
+        " ELSE g1 * sqrt(n * (n - 1D)) / nullif(n - 2, 0) END AS skew",
     )
 
 
-def feature_quantiles(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+def feature_quantiles(
+    features: DataFrame, columns: list[str] = FEATURES, profile: Profile | None = None
+) -> DataFrame:
     long = to_long(clean_features(features, columns), [], columns)
-    return exact_quantiles(long, ["feature"], "x", SUMMARY_QUANTILES).drop("n")
+    begun = profile.begun() if profile else None
+    return exact_quantiles(long, ["feature"], "x", SUMMARY_QUANTILES, begun=begun).drop("n")
 
 
-def feature_summary(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """One row per feature, 18 columns. Scans the input three times: stage it."""
+def feature_summary(
+    features: DataFrame, columns: list[str] = FEATURES, profile: Profile | None = None
+) -> DataFrame:
+    """One row per feature, 18 columns.
+
+    One scan makes the profile, unless it is given; quantiles take one more where no value's
+    leading digit is crowded, else one for each further digit. Stage the input.
+    """
+    profile = profile or feature_profile.profile(clean_features(features, columns), columns)
     # The quantile side has one row per feature.
-    quantiles = F.broadcast(feature_quantiles(features, columns))
+    quantiles = F.broadcast(feature_quantiles(features, columns, profile))
     return (
-        feature_counts(features, columns)
+        feature_counts(features, columns, profile)
         .join(quantiles, "feature", "left")
         .select(
             "feature",
@@ -113,7 +142,9 @@ def daily_summary(features: DataFrame) -> DataFrame:
     )
 
 
-def correlation_long(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+def correlation_long(
+    features: DataFrame, columns: list[str] = FEATURES, profile: Profile | None = None
+) -> DataFrame:
     """(pos_a, pos_b, feature_a, feature_b, corr) for all ordered pairs, pairwise complete.
 
     A pair without variance in one of its columns has no correlation.
@@ -122,7 +153,8 @@ def correlation_long(features: DataFrame, columns: list[str] = FEATURES) -> Data
     spread = F.sqrt("m2_a") * F.sqrt("m2_b")
     varies = ~F.col("constant_a") & ~F.col("constant_b") & (spread > 0)
     r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / spread))
-    return pair_moments(clean_features(features, columns), columns).select(
+    moments = profile.pair_moments() if profile else pair_moments(clean_features(features, columns), columns)
+    return moments.select(
         "pos_a",
         "pos_b",
         name[F.col("pos_a")].alias("feature_a"),

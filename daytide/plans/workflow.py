@@ -128,8 +128,9 @@ def write_run(run: Run, path: str, names: dict[int, str] | None = None) -> None:
 
 def write_eda(features: DataFrame, path: str, sample: int = 50_000) -> None:
     """Write the summaries, report tables and chart data of a (written) feature table."""
-    corr = stage(eda.correlation_long(features), "correlation")
-    summary = stage(eda.feature_summary(features), "summary")
+    shared = eda.profile(features)
+    corr = stage(eda.correlation_long(features, profile=shared), "correlation")
+    summary = stage(eda.feature_summary(features, profile=shared), "summary")
     daily_rows = stage(eda.daily_summary(features), "daily")
     top = eda.top_correlations(corr)
     tables = {
