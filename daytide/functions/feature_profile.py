@@ -15,6 +15,7 @@ Spark, so the summary, the correlations and the first digits of quantiles share
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from daytide.session import ship_package, stage
 #: State of a column: known values, all rows, zeros, mean (anchor, rest), central sums, range.
 STATE = ["n", "rows", "zeros", "anchor", "rest", "m2", "m3", "low", "high"]
 KIND = "kind string, a int, b int, n long, low double, high double, state array<double>"
+MOMENTS = "feature string, n long, rows long, zeros long, mean double, m2 double, m3 double, low double, high double"
 SCHEMA = pa.schema(
     [
         ("kind", pa.string()),
@@ -171,12 +173,17 @@ class Profile:
 
     def column_moments(self) -> DataFrame:
         """(feature, n, rows, zeros, mean, m2, m3, low, high); no row where the input had none."""
+        return self.table.sparkSession.createDataFrame(self._columns, MOMENTS)
+
+    @cached_property
+    def _columns(self) -> list:
+        """Merged states, a row a column, read once."""
         state = F.struct(*(F.col("state")[i].alias(s) for i, s in enumerate(STATE)))
         # one state a task
         every = self.table.where("kind = 'column'").groupBy("a").agg(F.collect_list(state).alias("all"))
         step = F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], _merge)
         found = every.select(self._named(F.col("a")).alias("feature"), step.alias("s"))
-        return found.select(
+        found = found.select(
             "feature",
             *(F.col(f"s.{s}").cast("long").alias(s) for s in ("n", "rows", "zeros")),
             F.expr("CASE WHEN s.n > 0 THEN s.anchor + s.rest END").alias("mean"),
@@ -184,10 +191,10 @@ class Profile:
             "s.m3",
             *(F.expr(f"CASE WHEN s.n > 0 THEN s.{s} END").alias(s) for s in ("low", "high")),
         )
+        return found.collect()
 
     def begun(self) -> Begun:
         """The first pass of ``exact_quantiles`` over (feature, value) rows."""
-        sizes = self.column_moments().select("feature", "n", "rows").collect()  # a row a column
         counts = self.table.where("kind = 'digit'").select(
             self._named(F.col("a")).alias("feature"),
             F.col("b").cast("long").alias("_d"),
@@ -195,7 +202,7 @@ class Profile:
             F.col("low").alias("_low"),
             F.col("high").alias("_high"),
         )
-        return Begun(sizes, counts)
+        return Begun(self._columns, counts)
 
 
 def profile(df: DataFrame, columns: list[str]) -> Profile:
