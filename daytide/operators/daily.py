@@ -12,7 +12,8 @@ runs after it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ from daytide.session import stage
 
 #: Events of one user-day, or of one chunk of it, that a task orders without trouble.
 DAY_LIMIT = 1_000_000
+#: Events, and user-days made of them, that a task takes on average. Tasks grow in number with
+#: the table, so that what one of them sorts and holds does not grow.
+TASK_EVENTS = 50_000
 #: Keys that the sketch of frequent keys holds. A key with more than one in 18,000 of all
 #: rows is always among its candidates; a key below that is no hot spot of its table.
 SKETCH_KEYS = 65_536
@@ -119,30 +123,42 @@ class Cuts:
     days: DataFrame | None = None
     chunks: DataFrame | None = None
     chunk_seconds: int = 60
+    #: Tasks that share the events, from their number.
+    tasks: int | None = field(default=None, compare=False)
 
 
-def frequent_keys(df: DataFrame, keys: list[str], least: int) -> list[int]:
-    """Hashes of the keys that may have more than ``least`` rows, by a mergeable sketch.
+def task_count(events: int) -> int:
+    return max(2, math.ceil(events / TASK_EVENTS))
 
-    Each task sends a sketch of at most SKETCH_KEYS counters, never its keys. The sketch
-    overestimates, so nothing frequent is missed; the caller counts what is named.
-    """
+
+def _frequent(df: DataFrame, keys: list[str], least: int) -> tuple[list[int], int]:
+    """``frequent_keys`` and the number of rows, which the same pass counts."""
     task = F.floor(F.spark_partition_id() / TOGETHER)
     tagged = df.select(F.xxhash64(*keys).alias("key"), task.alias("together"))
     own = F.expr(f"approx_top_k_accumulate(key, {SKETCH_KEYS})")
     merged = F.expr(f"approx_top_k_combine(sketch, {SKETCH_KEYS})")
-    sketches = tagged.groupBy("together").agg(own.alias("sketch"))
+    sketches = tagged.groupBy("together").agg(own.alias("sketch"), F.count("*").alias("rows"))
     # grouped, as an empty table has no sketch to merge
-    whole = sketches.groupBy(F.lit(0).alias("all")).agg(merged.alias("sketch"))
-    found = whole.select(F.inline(F.expr(f"approx_top_k_estimate(sketch, {SKETCH_KEYS})")))
-    return [r["item"] for r in found.where(F.col("count") > least).collect()]
+    whole = sketches.groupBy(F.lit(0).alias("all")).agg(merged.alias("sketch"), F.sum("rows").alias("rows"))
+    items = F.expr(f"approx_top_k_estimate(sketch, {SKETCH_KEYS})")
+    found = whole.select("rows", F.filter(items, lambda i: i["count"] > least)["item"].alias("items")).collect()
+    return (found[0]["items"], found[0]["rows"]) if found else ([], 0)
+
+
+def frequent_keys(df: DataFrame, keys: list[str], least: int) -> list[int]:
+    """Hashes of the keys that may have more than ``least`` rows, by a mergeable sketch.
+
+    Each task sends a sketch of at most SKETCH_KEYS counters, never its keys. The sketch
+    overestimates, so nothing frequent is missed; the caller counts what is named.
+    """
+    return _frequent(df, keys, least)[0]
 
 
-def _over(events: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` events as a written table; None if there are none."""
-    hashes = frequent_keys(events, keys, limit)
+def _over(events: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame | None, int]:
+    """Keys with more than ``limit`` events as a written table, None if there are none; all events."""
+    hashes, rows = _frequent(events, keys, limit)
     if not hashes:
-        return None
+        return None, rows
     # at most as many as the sketch holds
     named = F.broadcast(events.sparkSession.createDataFrame([(h,) for h in hashes], "named long"))
     some = events.join(named, F.xxhash64(*keys) == F.col("named"), "left_semi")
@@ -150,17 +166,23 @@ def _over(events: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     large = stage(counts.where(F.col("n") > limit).select(*keys), "large")
     n = large.limit(BROADCAST_ROWS + 1).count()
     if not n:
-        return None
-    return F.broadcast(large) if n <= BROADCAST_ROWS else large
+        return None, rows
+    return F.broadcast(large) if n <= BROADCAST_ROWS else large, rows
 
 
 def find_cuts(events: DataFrame, limit: int = DAY_LIMIT, chunk_seconds: int = 60) -> Cuts:
     """The large user-days, and the large chunks within them."""
-    days = _over(events, DAY_KEYS, limit)
+    days, rows = _over(events, DAY_KEYS, limit)
+    tasks = task_count(rows)
     if days is None:
-        return Cuts(chunk_seconds=chunk_seconds)
+        return Cuts(chunk_seconds=chunk_seconds, tasks=tasks)
     inside = _chunked(events, Cuts(days, None, chunk_seconds)).where("chunk >= 0")
-    return Cuts(days, _over(inside, [*DAY_KEYS, "chunk"], limit), chunk_seconds)
+    return Cuts(days, _over(inside, [*DAY_KEYS, "chunk"], limit)[0], chunk_seconds, tasks)
+
+
+def _shared(cuts: Cuts, events: DataFrame) -> Cuts:
+    """Cuts that tell the number of tasks; cuts made by hand may not."""
+    return cuts if cuts.tasks else replace(cuts, tasks=task_count(events.count()))
 
 
 def _same(keys: list[str]):
@@ -218,15 +240,20 @@ def _with_pieces(events: DataFrame, cuts: Cuts, added_up: bool = False) -> DataF
     hot = e.join(large, _same(keys), "left_semi")
     if added_up:
         calm, hot = _weighed(calm), _added_up(hot, keys)
-    split = hot.repartitionByRange(*keys, *EVENT_ORDER).withColumn("piece", F.spark_partition_id())
+    own = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = [cuts.tasks] if (cuts.tasks or 0) > own else []
+    split = hot.repartitionByRange(*ranges, *keys, *EVENT_ORDER).withColumn("piece", F.spark_partition_id())
     return calm.withColumn("piece", F.lit(0)).unionByName(split)
 
 
 CHUNK_KEYS = [*DAY_KEYS, "chunk", "piece"]
 
 
-def _chunk_runs(pieces: DataFrame, breaks: str = "1 - is_loss") -> DataFrame:
+def _chunk_runs(pieces: DataFrame, cuts: Cuts, breaks: str = "1 - is_loss") -> DataFrame:
     """Running count of non-losing events within each chunk: constant along a run."""
+    # constant columns are no keys to Spark's planner, which would add an exchange for them
+    keys = [*DAY_KEYS, *(["chunk"] if cuts.days is not None else []), *(["piece"] if cuts.chunks is not None else [])]
+    pieces = pieces.repartition(cuts.tasks, *keys)
     run = (
         Window.partitionBy(*CHUNK_KEYS)
         .orderBy(*EVENT_ORDER)
@@ -242,7 +269,7 @@ def loss_groups(events: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     to the events, which only ever are ordered within their chunk. Events that are equal in
     time, id and flag stay in one chunk here, as each gets its own count.
     """
-    cuts = cuts or find_cuts(events)
+    cuts = _shared(cuts or find_cuts(events), events)
     pieces = _with_pieces(events, cuts)
     if cuts.chunks is not None:
         # Both uses below must see the same range partitions.
@@ -258,7 +285,7 @@ def loss_groups(events: DataFrame, cuts: Cuts | None = None) -> DataFrame:
         .withColumn("before", F.coalesce(F.sum("breaks").over(earlier), F.lit(0)))
         .drop("breaks")
     )
-    runs, before = _chunk_runs(pieces).alias("e"), before.alias("l")
+    runs, before = _chunk_runs(pieces, cuts).alias("e"), before.alias("l")
     return runs.join(before, _same(CHUNK_KEYS)).select(
         *(F.col(f"e.{c}") for c in events.columns),
         (F.col("e.loss_group") + F.col("l.before")).alias("loss_group"),
@@ -280,11 +307,12 @@ def chunk_summaries(events: DataFrame, cuts: Cuts) -> DataFrame:
     ``lead`` and ``trail`` are the losing runs touching the start and end of the chunk,
     ``breaks`` its number of non-losing events. One exchange, on the grouping keys.
     """
+    cuts = _shared(cuts, events)
     pieces = _with_pieces(events, cuts, added_up=True)
     weighed = cuts.chunks is not None
     breaks = "(1 - is_loss) * n" if weighed else "1 - is_loss"
     runs = _aggregate(
-        _chunk_runs(pieces, breaks).groupBy(*CHUNK_KEYS, "loss_group"),
+        _chunk_runs(pieces, cuts, breaks).groupBy(*CHUNK_KEYS, "loss_group"),
         n="sum(n)" if weighed else "count(*)",
         losses="sum(is_loss * n)" if weighed else "sum(is_loss)",
         bet="sum(bet)",
@@ -312,8 +340,8 @@ def user_day_base(events: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     user, one row for each user-day but the large ones. The second one also serves all
     per-user windows that follow. ``cuts`` is found by a pass with a sketch if not given.
     """
-    cuts = cuts or find_cuts(events)
-    chunks = chunk_summaries(events, cuts).repartition("user_id")
+    cuts = _shared(cuts or find_cuts(events), events)
+    chunks = chunk_summaries(events, cuts).repartition(cuts.tasks, "user_id")
     earlier = (
         Window.partitionBy("user_id", "bet_date")
         .orderBy("chunk", "piece")

@@ -266,3 +266,17 @@ def test_workflow_with_and_without_large_days_agrees(make_events):
     assert plain.count() == split.count()
     picked = ["user_id", "bet_date", "bet_count_today", "max_consecutive_loss_count_today"]
     assert plain.select(picked).exceptAll(split.select(picked)).isEmpty()
+
+
+def test_tasks_grow_with_the_events(make_events, monkeypatch):
+    """However many partitions the session has, a task orders a bounded number of events."""
+    rows = [r for r in random_events(8) if r["user_id"] != "hot"]
+    local = daily.local_events(daily.filter_events(make_events(rows)))
+    whole = daily.user_day_base(local, daily.find_cuts(local)).collect()
+    monkeypatch.setattr(daily, "TASK_EVENTS", 50)
+    cuts = daily.find_cuts(local)
+    assert cuts.tasks == -(-local.count() // 50) > 8
+    base = daily.user_day_base(local, cuts)
+    assert base.rdd.getNumPartitions() == cuts.tasks
+    assert sorted(map(str, base.collect())) == sorted(map(str, whole))
+    assert daily.chunk_summaries(local, daily.Cuts()).rdd.getNumPartitions() == cuts.tasks
