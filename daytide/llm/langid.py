@@ -2,9 +2,12 @@
 
 A text is cut into windows of ``WINDOW`` bytes, A-Z as a-z. Bytes are embedded, filters of several
 widths run over the window, each filter keeps its maximum, and a softmax over the learnt
-languages follows. The network is trained in NumPy on the driver, on a bounded number of
-windows for each language, and applied to every window of every text; a document's
-probabilities are the means over its windows, weighted by their bytes.
+languages follows. The network is trained in NumPy on every window of every labelled text,
+data-parallel: in each round every task runs Adam over its windows, and Spark averages the
+weights by windows. A large table is gone through once, a share of its texts a round, a small
+one again and again. Texts are dealt by hash, so that no task sees one language alone. The
+network is applied to every window of every text; a document's probabilities are the means
+over its windows, weighted by their bytes.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0; every
 input row gives a row, rows with equal or null doc_id too; rows without a language are not
@@ -13,11 +16,13 @@ learnt from; without any labelled row every text is ``und``; other columns are l
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytide.llm.common import held_out, texts
@@ -31,9 +36,16 @@ FILTERS = 8
 EMBEDDING = 6
 #: Windows convolved at a time, so that the activations stay in the processor's cache.
 CHUNK = 64
-#: Bounds of the training sample: documents of each language, windows of each document.
-DOCS_A_LANGUAGE = 800
-WINDOWS_A_DOC = 2
+#: Windows that the training goes through at least, by whole passes over the labelled texts, of
+#: which it makes no more than PASSES.
+TRAINED = 1 << 16
+PASSES = 8
+#: Rounds at least; where one pass is enough, each takes one of so many shares of the texts.
+ROUNDS = 4
+#: Adam's step size in the first round and in the last.
+RATES = (0.01, 0.003)
+#: Windows of a round that are worth a task.
+TASK_WINDOWS = 1 << 13
 #: Share of the labelled windows that are less certain than the cut of keep_known().
 UNCERTAIN = 1 / 1000
 
@@ -80,12 +92,15 @@ def filter_mask() -> np.ndarray:
     return mask
 
 
-def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs: int = 8, seed: int = 7) -> ByteNet:
-    """Adam on the cross entropy, with the gradients written out."""
+NAMES = ["embed", "filters", "bias", "dense", "dense_bias"]
+
+
+def start(languages: list[str], seed: int = 7) -> ByteNet:
+    """Small random weights."""
     rng = np.random.default_rng(seed)
     mask, kinds = filter_mask(), len(languages)
-    units, span = mask.shape[1], max(WIDTHS)
-    net = ByteNet(
+    units = mask.shape[1]
+    return ByteNet(
         languages,
         rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32),
         (rng.normal(0, 0.3, mask.shape) * mask).astype(np.float32),
@@ -93,45 +108,55 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs:
         rng.normal(0, 0.3, (units, kinds)).astype(np.float32),
         np.zeros(kinds, np.float32),
     )
-    names = ["embed", "filters", "bias", "dense", "dense_bias"]
-    first = {n: np.zeros_like(getattr(net, n)) for n in names}
-    second = {n: np.zeros_like(getattr(net, n)) for n in names}
-    step = 0
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // CHUNK)):
-            x, y = windows[rows], target[rows]
-            z, seen = net.convolved(x)
-            at = z.argmax(axis=2).T  # windows x units
-            best = z.max(axis=2).T + net.bias
-            active = np.maximum(best, 0)
-            error = softmax(active @ net.dense + net.dense_bias)
-            error[np.arange(len(rows)), y] -= 1
-            error /= len(rows)
-            grad = {"dense": active.T @ error, "dense_bias": error.sum(axis=0)}
-            back = (error @ net.dense.T) * (best > 0)
-            grad["bias"] = back.sum(axis=0)
-            patch = seen[np.arange(len(rows))[:, None], at]  # windows x units x span * EMBEDDING
-            grad["filters"] = np.einsum("bu,bud->du", back, patch) * mask
-            into = (back[:, :, None] * net.filters.T[None]).reshape(len(rows), units, span, EMBEDDING)
-            bytes_ = x[np.arange(len(rows))[:, None, None], at[:, :, None] + np.arange(span)]
-            grad["embed"] = np.zeros_like(net.embed)
-            np.add.at(grad["embed"], bytes_.reshape(-1), into.reshape(-1, EMBEDDING))
-            step += 1
-            for n in names:
-                first[n] = 0.9 * first[n] + 0.1 * grad[n]
-                second[n] = 0.999 * second[n] + 0.001 * grad[n] ** 2
-                move = first[n] / (1 - 0.9**step) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
-                setattr(net, n, (getattr(net, n) - 0.01 * move).astype(np.float32))
-    return net
 
 
-def calibrated(net: ByteNet, windows: np.ndarray) -> float:
-    """The best probability that all but UNCERTAIN of these labelled windows reach.
+class Adam:
+    """Adam on the cross entropy, with the gradients written out."""
+
+    def __init__(self, net: ByteNet, rate: float):
+        self.net, self.rate, self.step = net, rate, 0
+        self.first = {n: np.zeros_like(getattr(net, n)) for n in NAMES}
+        self.second = {n: np.zeros_like(getattr(net, n)) for n in NAMES}
+
+    def update(self, x: np.ndarray, y: np.ndarray) -> None:
+        net, span = self.net, max(WIDTHS)
+        units = len(net.bias)
+        z, seen = net.convolved(x)
+        at = z.argmax(axis=2).T  # windows x units
+        best = z.max(axis=2).T + net.bias
+        active = np.maximum(best, 0)
+        error = softmax(active @ net.dense + net.dense_bias)
+        error[np.arange(len(x)), y] -= 1
+        error /= len(x)
+        grad = {"dense": active.T @ error, "dense_bias": error.sum(axis=0)}
+        back = (error @ net.dense.T) * (best > 0)
+        grad["bias"] = back.sum(axis=0)
+        patch = seen[np.arange(len(x))[:, None], at]  # windows x units x span * EMBEDDING
+        grad["filters"] = np.einsum("bu,bud->du", back, patch) * filter_mask()
+        into = (back[:, :, None] * net.filters.T[None]).reshape(len(x), units, span, EMBEDDING)
+        bytes_ = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(span)]
+        grad["embed"] = np.zeros_like(net.embed)
+        np.add.at(grad["embed"], bytes_.reshape(-1), into.reshape(-1, EMBEDDING))
+        self.step += 1
+        for n in NAMES:
+            self.first[n] = 0.9 * self.first[n] + 0.1 * grad[n]
+            self.second[n] = 0.999 * self.second[n] + 0.001 * grad[n] ** 2
+            move = self.first[n] / (1 - 0.9**self.step) / (np.sqrt(self.second[n] / (1 - 0.999**self.step)) + 1e-8)
+            setattr(net, n, (getattr(net, n) - self.rate * move).astype(np.float32))
+
+    def over(self, windows: np.ndarray, target: np.ndarray, rng) -> None:
+        """Updates by all the windows once, in random order."""
+        for rows in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // CHUNK)):
+            self.update(windows[rows], target[rows])
+
 
-    It is above that of undecided texts, 1 / languages, however many languages there are.
-    """
-    best = np.sort(net.probabilities(windows).max(axis=1))
-    return float(best[int(UNCERTAIN * len(best))]) - 1e-6
+def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs: int = 8, seed: int = 7) -> ByteNet:
+    """The network after some passes over windows that are at hand."""
+    rng = np.random.default_rng(seed)
+    adam = Adam(start(languages, seed), RATES[0])
+    for _ in range(epochs):
+        adam.over(windows, target, rng)
+    return adam.net
 
 
 def windows_of(data: np.ndarray, offsets: np.ndarray):
@@ -147,47 +172,128 @@ def windows_of(data: np.ndarray, offsets: np.ndarray):
     return LOWER[np.where(inside, data[np.minimum(at, max(0, len(data) - 1))], np.uint8(0x20))], owner, used
 
 
-def sample(docs: DataFrame, lang: str, docs_a_language: int = DOCS_A_LANGUAGE):
-    """Windows and language numbers of at most docs_a_language documents of each language.
+def _targets(net: ByteNet, batch: pa.RecordBatch, owner: np.ndarray) -> np.ndarray:
+    number = {name: i for i, name in enumerate(net.languages)}
+    return np.array([number[name] for name in batch["lang"].to_pylist()], np.int64)[owner]
+
 
-    Documents are taken by hash of their id; a share of each language that is about twice
-    the bound is ranked, so that no task ranks a whole language.
+def _trained(net: ByteNet, rate: float, seed: int):
+    """Each task's weights after Adam over all its windows, times their number."""
+
+    def kernel(batches):
+        task = TaskContext.get().partitionId()
+        rng, n = np.random.default_rng([seed, task]), 0
+        adam = Adam(ByteNet(net.languages, *(getattr(net, name) for name in NAMES)), rate)
+        for batch in parts(batches, limit=1 << 20):
+            data, offsets = buffer_of(batch["text"])
+            step = WINDOW << 12
+            for a in range(0, len(data), step):
+                windows, owner, _ = windows_of(data[a : a + step], np.clip(offsets, a, a + step) - a)
+                adam.over(windows, _targets(net, batch, owner), rng)
+                n += len(windows)
+        if n:
+            flat = np.concatenate([getattr(adam.net, name).reshape(-1) for name in NAMES]).astype(np.float64)
+            size = len(flat)
+            yield pa.record_batch(
+                [
+                    pa.array(np.full(size, task, np.int32)),
+                    pa.array(np.arange(size, dtype=np.int32)),
+                    pa.array(np.full(size, n)),
+                    pa.array(flat * n),
+                ],
+                names=["part", "idx", "n", "v"],
+            )
+
+    return kernel
+
+
+def _averaged(net: ByteNet, found: DataFrame) -> ByteNet:
+    """The mean of the tasks' weights, added up in the order of tasks, so that a rerun gives the same bits."""
+    rows = F.sort_array(F.collect_list(F.struct("part", "n", "v")))
+    add = lambda name, zero: F.aggregate(rows, zero, lambda acc, r: acc + r[name])
+    sums = found.groupBy("idx").agg(
+        add("n", F.lit(0).cast("long")).alias("n"), add("v", F.lit(0.0)).alias("v")
+    )
+    # as many numbers as the network has weights, whatever the data
+    flat, at, out = np.array([r["v"] / r["n"] for r in sums.orderBy("idx").collect()]), 0, []
+    if not len(flat):
+        return net
+    for name in NAMES:
+        old = getattr(net, name)
+        out.append(flat[at : at + old.size].reshape(old.shape).astype(np.float32))
+        at += old.size
+    return ByteNet(net.languages, *out)
+
+
+def calibrated(net: ByteNet, known: DataFrame) -> float:
+    """The best probability that all but UNCERTAIN of the labelled windows reach.
+
+    It is above that of undecided texts, 1 / languages, however many languages there are. The
+    quantile is exact: probabilities are counted by their bits, coarse first.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.where(F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*")).collect()}
-    languages = sorted(counts)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    share = F.lit(False)
-    for name in languages:
-        part = min(1_000_000, 2_000_000 * docs_a_language // counts[name] + 1_000)
-        share = share | ((F.col(lang) == name) & (draw < part))
-    order = Window.partitionBy(lang).orderBy(draw, "doc_id")
-    few = known.where(share).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_a_language)
-    # whole windows at places drawn by hash, not always the head
-    body = F.encode("text", "UTF-8")
-    blocks = F.greatest(F.ceil(F.octet_length("text") / WINDOW), F.lit(1)).cast("int")
-    cuts = [
-        F.substring(body, (F.pmod(F.xxhash64("doc_id", F.lit(i)), blocks) * WINDOW + 1).cast("int"), F.lit(WINDOW))
-        for i in range(WINDOWS_A_DOC)
-    ]
-    rows = few.select(F.col(lang).alias("lang"), F.explode(F.array(*cuts)).alias("window")).collect()
-    raw = [bytes(r["window"]).ljust(WINDOW, b" ") for r in rows]
-    windows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WINDOW) if raw else np.zeros((0, WINDOW), np.uint8)
-    number = {name: i for i, name in enumerate(languages)}
-    return LOWER[windows], np.array([number[r["lang"]] for r in rows], np.int64), languages
+
+    def counted(done: int, prefix: int):
+        def kernel(batches):
+            for batch in parts(batches, limit=1 << 20):
+                data, offsets = buffer_of(batch["text"])
+                step = WINDOW << 12
+                for a in range(0, len(data), step):
+                    windows, _, _ = windows_of(data[a : a + step], np.clip(offsets, a, a + step) - a)
+                    bits = net.probabilities(windows).max(axis=1).astype(np.float32).view(np.uint32).astype(np.int64)
+                    own = bits[bits >> (32 - done) == prefix]
+                    digit, n = np.unique((own >> (16 - done)) & 0xFFFF, return_counts=True)
+                    yield pa.record_batch([pa.array(digit), pa.array(n)], names=["digit", "n"])
+
+        return kernel
+
+    def places(done: int, prefix: int) -> list:
+        found = known.select("text").mapInArrow(counted(done, prefix), "digit long, n long")
+        # at most 65,536 rows
+        return found.groupBy("digit").agg(F.sum("n").alias("n")).orderBy("digit").collect()
+
+    first = places(0, 0)
+    rest, prefix = int(UNCERTAIN * sum(r["n"] for r in first)), 0
+    for done, rows in ((0, first), (16, None)):
+        for row in rows or places(done, prefix):
+            if rest < row["n"]:
+                prefix = prefix << 16 | row["digit"]
+                break
+            rest -= row["n"]
+    return float(np.array([prefix], np.uint32).view(np.float32)[0]) - 1e-6
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet | None:
-    """The network for a labelled table; None if nothing is labelled."""
+    """The network for a labelled table, learnt from all its labelled texts; None if nothing is labelled.
+
+    The result does not depend on how the rows lie in partitions, only on the session's number
+    of shuffle partitions where the table is large.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
     given = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")
     )
-    windows, target, languages = sample(given, "lang")
-    if not len(windows):
+    known = given.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    count = F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("windows")
+    counts = {r["lang"]: r["windows"] for r in known.groupBy("lang").agg(count).collect()}
+    if not counts:
         return None
-    net = train(windows, target, languages)
-    net.least = calibrated(net, windows)
+    total = sum(counts.values())
+    passes = min(PASSES, math.ceil(TRAINED / total))
+    share = ROUNDS if passes == 1 else 1
+    rounds = max(ROUNDS, passes)
+    tasks = max(1, min(total // share // TASK_WINDOWS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    net = start(sorted(counts))
+    order = F.xxhash64("doc_id", "text", "lang")
+    known = known.withColumn("order", order)
+    for number, rate in enumerate(np.geomspace(*RATES, rounds)):
+        mine = known.where(F.pmod("order", F.lit(share)) == number % share)
+        dealt = mine.repartition(tasks, "order").sortWithinPartitions("order")
+        found = dealt.select("text", "lang").mapInArrow(
+            _trained(net, float(rate), number), "part int, idx int, n long, v double"
+        )
+        net = _averaged(net, found)
+    net.least = calibrated(net, known)
     return net
 
 

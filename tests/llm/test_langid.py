@@ -80,6 +80,36 @@ def test_held_out_labels_are_not_learnt(spark):
     assert "zz" not in langid.learn(documents(spark, wrong, kind=KIND)).languages
 
 
+def test_every_labelled_text_is_learnt_from(spark, monkeypatch):
+    """The rounds and the cut take all labelled texts whole, however many a language has."""
+    given = rows(1200) + [(5000, None, "aa"), (5001, "123", "bb"), (5002, "abc", None)]
+    docs = documents(spark, given, kind=KIND)
+    frames, whole = [], type(docs).mapInArrow
+
+    def kept(df, *more):
+        frames.append(df)
+        return whole(df, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", kept)
+    monkeypatch.setattr(langid, "TRAINED", 1)
+    net = langid.learn(docs)
+    want = sorted(t for d, t, _ in given if d < 5000 and not held(d))
+    found = [[r.text for r in f.collect()] for f in frames]
+    assert sorted(t for one in found[: langid.ROUNDS] for t in one) == want
+    assert all(sorted(one) == want for one in found[langid.ROUNDS :]) and len(found) == langid.ROUNDS + 2
+    best = sorted(
+        p.max()
+        for t in want
+        for p in net.probabilities(langid.windows_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0])
+    )
+    assert abs(net.least - best[len(best) // 1000]) < 1e-4
+
+
+def test_the_network_does_not_depend_on_partitions(spark):
+    one, other = (langid.learn(documents(spark, rows(), kind=KIND).repartition(n)) for n in (1, 5))
+    assert one.least == other.least and all((getattr(one, n) == getattr(other, n)).all() for n in langid.NAMES)
+
+
 def test_keep_known(spark, net):
     df = documents(spark, [*rows(40), (90, "123", "aa"), (91, None, "aa"), (92, "", None)], kind=KIND)
     kept = langid.keep_known(df, net)
