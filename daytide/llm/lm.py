@@ -7,10 +7,10 @@
    frequency, all other words in ``TAILS`` classes by their last bytes. Within a head class
    a second softmax chooses the word; within a tail class the smoothed count does, so every
    word, a never seen one too, has a probability.
-3. The network is trained by truncated backpropagation in numpy, data-parallel: in each
-   round every task runs Adam over its share of the training texts (the share is a
-   fraction, so that it grows with the table), and Spark averages the weights by tokens.
-   Output biases start at the unigram model, which training improves on.
+3. The network is trained by truncated backpropagation in numpy, data-parallel, on every
+   training text: a round takes one of as many shares as there are rounds, every task runs
+   Adam over its part of the share, and Spark averages the weights by tokens. Output biases
+   start at the unigram model, which training improves on.
 4. A text is scored in windows of steps, the state carried from window to window, so its
    whole length counts. Words outside ``SHORT`` get their counts by a join on the word;
    none of them is frequent.
@@ -44,10 +44,11 @@ CLASS = 32
 TAILS = 64
 EMBEDDING = 16
 HIDDEN = 24
-#: Training: one of ``SHARE`` texts in each round, and the step size of each round.
-SHARE = 32
+#: Training: the step size of each round, and into how many shares the texts are dealt: the
+#: rounds take them in turn, so that every text is learnt from.
 RATES = (0.02, 0.01, 0.005)
-LANES = 128
+SHARE = len(RATES)
+LANES = 512
 STEPS = 12
 #: Lanes are fewer where a stream of tokens would give fewer updates than this.
 UPDATES = 40
@@ -465,11 +466,16 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, share: int = SHARE, rates=RATES, seed: int = 13) -> Network:
-    """The network after a round for each rate; a round takes one of ``share`` texts of (doc_id, text)."""
+    """The network after a round for each rate; a round takes one of ``share`` shares of (doc_id, text).
+
+    There must be a round for every share, so that no text is left out.
+    """
+    if share > len(rates):
+        raise ValueError(f"{share} shares need as many rounds, not {len(rates)}")
     net = start(vocab, seed)
     kind = "place int, together int, n long, weights binary"
     for number, rate in enumerate(rates):
-        chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit(number // share)), F.lit(share)) == number % share
+        chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == number % share
         found = docs.where(chosen).select("text").mapInArrow(_trained(vocab, net, rate), kind)
         found = found.groupBy("place", "together").applyInArrow(_added, kind)
         found = found.groupBy("place").applyInArrow(_added, kind)

@@ -186,6 +186,26 @@ def test_training_learns_an_order():
     assert lm.text_scores(after, stream[:16], lengths).sum() > before / 4
 
 
+def test_every_training_text_is_learnt_from(spark, monkeypatch):
+    """The rounds together see each training text once: their tokens add up to all of them."""
+    rows = [(i, t) for i, t in enumerate(random_texts(5, 200)) if learnt(i)]
+    docs = documents(spark, rows)
+    counts = lm.word_counts(docs).cache()
+    vocab = lm.vocabulary(counts, len(rows), 100, 64, lm.TAILS)
+    frames, whole = [], type(docs).mapInArrow
+
+    def kept(df, *given, **more):
+        frames.append(df)
+        return whole(df, *given, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", kept)
+    lm.fit(docs, vocab)
+    texts = [r.text for f in frames for r in f.collect()]
+    assert sorted(texts) == sorted(t for _, t in rows)
+    with pytest.raises(ValueError):
+        lm.fit(docs, vocab, share=len(lm.RATES) + 1)
+
+
 def test_words_and_tails_as_strings():
     column = pa.array(["Ab ab é", None, "x"])
     words = Words(column, lower=True)
