@@ -54,9 +54,17 @@ STEPS = 12
 UPDATES = 40
 #: Steps of a scoring window.
 WINDOW = 32
-#: Bytes of text whose texts run through the network side by side.
+#: Bytes of text that are cut into words at a time.
 SLICE = 6 << 20
+#: Tokens whose texts a scoring task runs through the network side by side, kept in few bytes each.
+SIDE_BY_SIDE = 1 << 22
 END = 0
+#: States whose choices are worked out together, so that these stay in the processor's cache.
+BLOCK = 512
+#: States that a scoring task gathers from its windows before their choices are worked out.
+TOGETHER_SCORED = 1 << 15
+#: The sum of a state's exponentials stays above exp(-RANGE), a normal number of 32 bits.
+RANGE = 80
 
 
 def held_out(doc_id: Column) -> Column:
@@ -240,21 +248,52 @@ def start(vocab: Vocabulary, seed: int = 13) -> Network:
     )
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Choices x states, so that the reductions run along rows of memory."""
-    x = weights @ h.T
-    x += bias[:, None]
-    x -= x.max(axis=0)
-    x -= np.log(np.exp(x).sum(axis=0))
-    return x
+def with_one(h: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which a bias is multiplied with."""
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
 
 
-def step(net: Network, moved: np.ndarray, h: np.ndarray):
-    """One step of the gated unit: the new state, and what its gradient needs."""
-    turned = h @ net.turn
+def levelled(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(weights with the bias as a last column, choices x (states + 1); whether they are level).
+
+    States lie between -1 and 1. Where that alone bounds the highest choice closely enough, the
+    bound is taken off the bias, so that the sum of the choices' exponentials neither overflows
+    nor vanishes. The last axis but one is that of the choices; there may be several groups.
+    """
+    reach = np.abs(weights).sum(axis=-1)
+    high, low = (bias + reach).max(axis=-1, keepdims=True), (bias - reach).max(axis=-1, keepdims=True)
+    return np.concatenate([weights, (bias - high)[..., None]], axis=-1), bool((high - low < RANGE).all())
+
+
+def chosen(x: np.ndarray, choice: np.ndarray, level: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability of each state's choice, probabilities before the division by their sum, sum).
+
+    ``x`` is states x choices, the products with ``levelled`` weights; it is overwritten.
+    """
+    if not level:
+        x -= x.max(axis=1, keepdims=True)
+    found = x[np.arange(len(choice)), choice]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    found -= np.log(total)
+    return found, total
+
+
+def halved(weights: np.ndarray) -> np.ndarray:
+    """Weights whose gates (update, reset) are halved, since a gate is (1 + tanh(x / 2)) / 2."""
+    weights = weights.copy()
+    weights[:, : 2 * HIDDEN] *= 0.5
+    return weights
+
+
+def step(turn: np.ndarray, moved: np.ndarray, h: np.ndarray):
+    """One step of the gated unit: the new state, and what its gradient needs.
+
+    ``moved`` and ``turn`` are as ``halved`` gives them.
+    """
+    turned = h @ turn
     gates = turned[:, : 2 * HIDDEN]
     gates += moved[:, : 2 * HIDDEN]
-    gates *= 0.5
     np.tanh(gates, out=gates)
     gates *= 0.5
     gates += 0.5
@@ -274,23 +313,25 @@ def class_of(net: Network, token: np.ndarray) -> np.ndarray:
 
 
 def by_class(net: Network, cls: np.ndarray):
-    """(class, places of its tokens) for the head classes among the tokens."""
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(net.head_classes + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        yield int(k), order[cuts[k] : cuts[k + 1]]
+    """(order of tokens by class, [(head class, first and end place in that order)])."""
+    order = np.argsort(cls.astype(np.int16) if len(net.class_bias) < 1 << 15 else cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(net.head_classes + 1)).tolist()
+    spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return order[: cuts[-1]], spans
 
 
-def log_probabilities(net: Network, states: np.ndarray, token: np.ndarray, block: int = 1024) -> np.ndarray:
+def log_probabilities(net: Network, states: np.ndarray, token: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Natural log of each token's probability after its state; of its class for tail tokens."""
-    out, cls = np.empty(len(token)), class_of(net, token)
-    weights = np.ascontiguousarray(net.classes.T)
+    out, cls, states = np.empty(len(token)), class_of(net, token), with_one(states)
+    weights, level = levelled(np.ascontiguousarray(net.classes.T), net.class_bias)
     for a in range(0, len(token), block):
-        own = log_softmax(weights, net.class_bias, states[a : a + block])
-        out[a : a + block] = own[cls[a : a + block], np.arange(own.shape[1])]
-    for k, at in by_class(net, cls):
-        inner = log_softmax(net.words[k], net.word_bias[k], states[at])
-        out[at] += inner[token[at] % CLASS, np.arange(len(at))]
+        out[a : a + block] = chosen(states[a : a + block] @ weights.T, cls[a : a + block], level)[0]
+    order, spans = by_class(net, cls)
+    mine, inner = states[order], np.empty((len(order), CLASS), states.dtype)
+    weights, level = levelled(net.words, net.word_bias)
+    for k, a, b in spans:
+        np.matmul(mine[a:b], weights[k].T, out=inner[a:b])
+    out[order] += chosen(inner, token[order] % CLASS, level)[0]
     return out
 
 
@@ -299,24 +340,28 @@ def text_scores(net: Network, tokens: np.ndarray, lengths: np.ndarray, window: i
 
     Texts run side by side, the longest first; the states go on from window to window.
     """
-    moved = net.embed @ net.into + net.bias
+    moved, turn = halved(net.embed @ net.into + net.bias), halved(net.turn)
     order = np.argsort(-lengths, kind="stable")
     size, first = lengths[order], (np.cumsum(lengths) - lengths)[order]
     total = np.zeros(len(lengths))
     h = np.zeros((len(lengths), HIDDEN), np.float32)
+    target = np.full(len(lengths), END)
     longest, t = int(size.max(initial=0)), 0
+    running = np.searchsorted(-size, -np.arange(longest), "left")  # texts longer than each step
     while t < longest:
-        states, targets, owners = [], [], []
-        for at in range(t, min(t + window, longest)):
-            n = int(np.searchsorted(-size, -at, "left"))  # texts longer than at
-            seen = tokens[first[:n] + at - 1] if at else np.full(n, END)
-            h = step(net, moved[seen], h[:n])[0]
+        states, targets, begun, waiting = [], [], t, 0
+        while t < longest and (t == begun or waiting < TOGETHER_SCORED or t % window):
+            n = int(running[t])
+            h = step(turn, moved[target[:n]], h[:n])[0]
+            target = tokens[first[:n] + t].astype(np.int64)
             states.append(h)
-            targets.append(tokens[first[:n] + at])
-            owners.append(np.arange(n))
+            targets.append(target)
+            waiting += n
+            t += 1
         found = log_probabilities(net, np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate(owners), found, len(lengths))
-        t += window
+        many = running[begun:t]
+        owners = np.arange(waiting) - np.repeat(np.cumsum(many) - many, many)
+        total += np.bincount(owners, found, len(lengths))
     out = np.empty(len(lengths))
     out[order] = total
     return out
@@ -328,56 +373,84 @@ def gradients(net: Network, seen: np.ndarray, target: np.ndarray, h: np.ndarray)
     A lane whose last token was an end starts a new text from the zero state.
     """
     steps_, lanes = seen.shape
-    token_in, same = np.unique(seen.reshape(-1), return_inverse=True)
-    moved = (net.embed[token_in] @ net.into + net.bias)[same].reshape(steps_, lanes, -1)
+    token_in, begun = seen.reshape(-1), (seen != END)[:, :, None]
+    moved = halved(net.embed @ net.into + net.bias)[token_in].reshape(steps_, lanes, -1)
+    turn = halved(net.turn)
     kept, states = [], np.empty((steps_, lanes, HIDDEN), h.dtype)
     for s in range(steps_):
-        h = h * (seen[s] != END)[:, None]
-        after, *rest = step(net, moved[s], h)
+        h = h * begun[s]
+        after, *rest = step(turn, moved[s], h)
         kept.append((h, *rest))
         states[s] = h = after
     flat, token = states.reshape(-1, HIDDEN), target.reshape(-1)
-    n, cls = len(token), class_of(net, target.reshape(-1))
-    error = log_softmax(np.ascontiguousarray(net.classes.T), net.class_bias, flat)
-    loss = -error[cls, np.arange(n)].sum(dtype=np.float64)
-    np.exp(error, out=error)
-    error[cls, np.arange(n)] -= 1
+    cls, loss = class_of(net, token), 0.0
     grad = Network(*(np.zeros_like(a) for a in net.arrays()))
-    grad.classes, grad.class_bias = (error @ flat).T, error.sum(axis=1)
-    back = (net.classes @ error).T.copy()
-    for k, at in by_class(net, cls):
-        h_k = flat[at]
-        miss = log_softmax(net.words[k], net.word_bias[k], h_k)
-        place = (token[at] % CLASS, np.arange(len(at)))
-        loss -= miss[place].sum(dtype=np.float64)
-        np.exp(miss, out=miss)
-        miss[place] -= 1
-        grad.words[k], grad.word_bias[k] = miss @ h_k, miss.sum(axis=1)
-        back[at] += miss.T @ net.words[k]
+    back, outer = np.empty_like(flat), np.ascontiguousarray(net.classes.T)
+    weights, level = levelled(outer, net.class_bias)
+    slope, ones = np.zeros_like(weights.T), with_one(flat)
+    for a in range(0, len(token), BLOCK):
+        own, which = ones[a : a + BLOCK], cls[a : a + BLOCK]
+        error = own @ weights.T
+        found, sums = chosen(error, which, level)
+        loss -= found.sum(dtype=np.float64)
+        error /= sums[:, None]
+        error[np.arange(len(which)), which] -= 1
+        slope += own.T @ error
+        np.matmul(error, outer, out=back[a : a + BLOCK])
+    grad.classes, grad.class_bias = slope[:-1], slope[-1]
+    order, spans = by_class(net, cls)
+    mine, place, miss = ones[order], token[order] % CLASS, np.empty((len(order), CLASS), h.dtype)
+    weights, level = levelled(net.words, net.word_bias)
+    for k, a, b in spans:
+        np.matmul(mine[a:b], weights[k].T, out=miss[a:b])
+    found, sums = chosen(miss, place, level)
+    loss -= found.sum(dtype=np.float64)
+    miss /= sums[:, None]
+    miss[np.arange(len(place)), place] -= 1
+    slope, inner = np.zeros_like(weights), np.empty((len(order), HIDDEN), h.dtype)
+    for k, a, b in spans:
+        np.matmul(miss[a:b].T, mine[a:b], out=slope[k])
+        np.matmul(miss[a:b], net.words[k], out=inner[a:b])
+    grad.words, grad.word_bias = slope[..., :-1], slope[..., -1]
+    back[order] += inner
     back = back.reshape(steps_, lanes, HIDDEN)
     into = np.empty((steps_, lanes, 3 * HIDDEN), h.dtype)
     turned, turn_back = np.empty_like(into), np.ascontiguousarray(net.turn.T)
     carry = np.zeros_like(h)
     for s in range(steps_ - 1, -1, -1):
         before, z, r, again, c = kept[s]
-        d = back[s] + carry
-        dc = d * (1 - z) * (1 - c * c)
-        into[s, :, :HIDDEN] = d * (before - c) * z * (1 - z)
-        into[s, :, HIDDEN : 2 * HIDDEN] = dc * again * r * (1 - r)
+        d = back[s]
+        d += carry
+        dc = 1 - z
+        dz = before - c
+        dz *= z
+        dz *= dc
+        dz *= d
+        into[s, :, :HIDDEN] = dz
+        dc *= d
+        dc *= 1 - c * c
         into[s, :, 2 * HIDDEN :] = dc
-        turned[s] = into[s]
-        turned[s, :, 2 * HIDDEN :] *= r
-        carry = d * z + turned[s] @ turn_back
-        carry *= (seen[s] != END)[:, None]
+        dr = 1 - r
+        dr *= r
+        dr *= again
+        dr *= dc
+        into[s, :, HIDDEN : 2 * HIDDEN] = dr
+        turned[s, :, : 2 * HIDDEN] = into[s, :, : 2 * HIDDEN]
+        np.multiply(dc, r, out=turned[s, :, 2 * HIDDEN :])
+        carry = turned[s] @ turn_back
+        d *= z
+        carry += d
+        carry *= begun[s]
     rows = into.reshape(-1, 3 * HIDDEN)
-    grad.bias = rows.sum(axis=0)
-    came = np.stack([k[0] for k in kept]).reshape(-1, HIDDEN)
+    grad.bias = np.ones(len(rows), rows.dtype) @ rows
+    came = np.concatenate([k[0] for k in kept])
     grad.turn = came.T @ turned.reshape(-1, 3 * HIDDEN)
-    # inputs repeat: their rows are added up before the matrix products
-    order = np.argsort(same, kind="stable")
-    summed = np.add.reduceat(rows[order], np.searchsorted(same[order], np.arange(len(token_in))))
-    grad.into = net.embed[token_in].T @ summed
-    grad.embed[token_in] = summed @ net.into.T
+    grad.into = net.embed[token_in].T @ rows
+    # inputs repeat: their gradients are added up by token
+    order = np.argsort(token_in.astype(np.int16) if len(net.embed) < 1 << 15 else token_in, kind="stable")
+    sorted_in = token_in[order]
+    starts = np.flatnonzero(np.diff(sorted_in, prepend=-1))
+    grad.embed[sorted_in[starts]] = np.add.reduceat((rows @ net.into.T)[order], starts)
     return loss, grad, h
 
 
@@ -510,6 +583,21 @@ def _scored(vocab: Vocabulary, net: Network):
         whole = np.log10(vocab.total + 0.5 * (vocab.kinds + 1))
         in_tail = np.log10(vocab.tail_total + 0.5 * (vocab.tail_kinds + 1))
         row = TaskContext.get().partitionId() << 40
+        small = np.int16 if len(net.embed) < 1 << 15 else np.int32
+        held: list[tuple] = []
+
+        def scored():
+            """A row for each text held: the network runs over all of them together."""
+            ids, rows, tokens, lengths, known, base, model = zip(*held)
+            held.clear()
+            ids, lengths = pa.concat_arrays(ids), np.concatenate(lengths)
+            model = np.concatenate(model) + text_scores(net, np.concatenate(tokens), lengths) / np.log(10)
+            n, given = len(ids), [np.concatenate(a) for a in (rows, known, base)]
+            columns = [pa.array(a) for a in (lengths, *given[1:], model)]
+            nothing = [pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
+            return pa.record_batch([pa.array(given[0]), ids, *columns, *nothing], schema=SCORED)
+
+        waiting = 0
         for batch in parts(batches, limit=SLICE):
             words = Words(batch["text"], lower=True)
             data, n = LOWER[words.data], batch.num_rows
@@ -519,10 +607,9 @@ def _scored(vocab: Vocabulary, net: Network):
             short = place >= 0
             log_count = np.where(short, smooth[place] if len(smooth) else 0, 0)
             base = add(slice(None), log_count) + end - lengths * whole
-            model = text_scores(net, tokens, lengths) / np.log(10)
             tail = np.flatnonzero(~short | (place >= vocab.head - 1))
             number = tokens[tail + owner[tail]] - vocab.head
-            model += add(tail, log_count[tail] - in_tail[number])
+            model = add(tail, log_count[tail] - in_tail[number])
             rare = np.flatnonzero(~short)
             # each text's rare words, once with their number
             order = rare[np.lexsort((words.hash[rare], owner[rare]))]
@@ -533,22 +620,18 @@ def _scored(vocab: Vocabulary, net: Network):
             rows = np.arange(n) + row
             row += n
             known = add(short, np.ones(int(short.sum()))).astype(np.int64) + (vocab.docs > 0)
-            yield pa.record_batch(
-                [
-                    pa.array(rows),
-                    batch["doc_id"],
-                    pa.array(lengths),
-                    pa.array(known),
-                    pa.array(base),
-                    pa.array(model),
-                    pa.nulls(n, pa.string()),
-                    pa.nulls(n, pa.int64()),
-                ],
-                schema=SCORED,
-            )
             none = [pa.nulls(len(first), t) for t in SCORED.types[1:6]]
             found = strings_at(data, words.begin[first], words.end[first])
             yield pa.record_batch([pa.array(rows[owner[first]]), *none, found, pa.array(times)], schema=SCORED)
+            # the ids are copied, so that the batch with its texts can go
+            ids = batch["doc_id"].take(pa.array(np.arange(n)))
+            held.append((ids, rows, tokens.astype(small), lengths, known, base, model))
+            waiting += len(tokens)
+            if waiting >= SIDE_BY_SIDE:
+                yield scored()
+                waiting = 0
+        if held:
+            yield scored()
 
     return kernel
 

@@ -79,7 +79,7 @@ class Words:
     def __init__(self, column, separator=SPACES, lower: bool = False, block: int = 1 << 20):
         self.data, self.offsets = buffer_of(column)
         data, offsets = self.data, self.offsets
-        fold = _BYTES[LOWER] if lower else _BYTES
+        fold = np.where(separator, np.uint64(0), _BYTES[LOWER] if lower else _BYTES)
         hashes, begins, ends = [], [], []
         for a, b in _cuts(data, offsets, separator, block):
             part = data[a:b]
@@ -98,13 +98,14 @@ class Words:
             after[:-1] = inside[1:]
             last = np.flatnonzero(inside & (~after | edge[1:])) + 1
             length = last - first
-            number = np.cumsum(np.bincount(first, minlength=b - a)) - 1
-            place = np.arange(b - a) - first[np.maximum(number, 0)]
+            # place in the word; behind a word, where values are 0, any place
+            place = np.arange(b - a)
+            place[first[0] :] -= np.repeat(first, np.diff(first, append=b - a))
             powers = np.full(int(length.max()) + 1, _STEP, np.uint64)
             powers[0] = 1
             np.multiply.accumulate(powers, out=powers)
-            value = np.where(inside, fold[part], np.uint64(0))
-            value *= powers[np.clip(place, 0, len(powers) - 1)]
+            value = fold[part]
+            value *= powers[np.minimum(place, len(powers) - 1, out=place)]
             summed = np.add.reduceat(value, first)
             hashes.append(mixed(summed + length.astype(np.uint64) * _ODD))
             begins.append(first + a)

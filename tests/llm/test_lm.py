@@ -213,3 +213,44 @@ def test_words_and_tails_as_strings():
     assert lm.strings_at(data, words.begin, words.end).to_pylist() == ["ab", "ab", "é", "x"]
     tail = lm.tail_of(data, words.begin, words.end, 64)
     assert tail[0] == tail[1] and (tail < 64).all()
+
+
+def test_texts_of_several_slices_run_through_the_network_together(monkeypatch):
+    vocab, net, texts, _ = small(6)
+    words = ["w", "v", "x y", "z z z", "w v"] * 4
+    batch = pa.record_batch([pa.array(range(20), pa.int64()), pa.array(words)], names=["doc_id", "text"])
+    calls, whole = [], lm.text_scores
+
+    def counted(net, tokens, lengths, **kw):
+        calls.append(len(lengths))
+        return whole(net, tokens, lengths, **kw)
+
+    monkeypatch.setattr(lm, "text_scores", counted)
+    monkeypatch.setattr(lm, "SLICE", 4)
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda _: 0})())}))
+    out = pa.Table.from_batches(lm._scored(vocab, net)([batch.slice(0, 9), batch.slice(9)]))
+    assert calls == [20]
+    rows = [r for r in out.to_pylist() if r["word"] is None]
+    assert sorted(r["doc_id"] for r in rows) == list(range(20)) and len({r["row"] for r in rows}) == 20
+    # equal texts score alike, wherever they lie, and each text is scored as if alone
+    monkeypatch.setattr(lm, "SIDE_BY_SIDE", 1)
+    alone = pa.Table.from_batches(lm._scored(vocab, net)([batch])).to_pylist()
+    alone = {r["doc_id"]: r["model"] for r in alone if r["word"] is None}
+    assert all(abs(r["model"] - alone[r["doc_id"]]) < 1e-4 for r in rows) and len(calls) > 5
+
+
+def test_choices_of_any_size_neither_overflow_nor_vanish():
+    vocab, net, _, _ = small(7)
+    for by in (1, 300):
+        grown = lm.Network(*net.arrays())
+        grown.classes, grown.words = net.classes * np.float32(by), net.words * np.float32(by)
+        texts = [np.append(np.arange(1, 9), lm.END)] * 2
+        got = lm.text_scores(grown, np.concatenate(texts), np.array([9, 9]))
+        with np.errstate(over="ignore", under="ignore"):
+            assert np.isfinite(got).all()
+        level = lm.levelled(np.ascontiguousarray(grown.classes.T), grown.class_bias)[1]
+        assert level == (by == 1)
+        h = np.full((1, lm.HIDDEN), 0.9, np.float32)
+        every = np.arange(len(net.embed))
+        logs = lm.log_probabilities(grown, np.tile(h, (len(every), 1)), every)
+        assert abs(np.exp(logs).sum() - 1) < 1e-3
