@@ -46,41 +46,69 @@ def _schedule(lengths: np.ndarray):
     return first[order], running
 
 
+def by_step(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features x rows in the order of steps, sequences running at each step).
+
+    The rows of a step lie together, those of the longest sequences first, so what runs on
+    follows the same sequences' rows of the step before, and every step is a slice.
+    """
+    first, running = _schedule(lengths)
+    at = np.arange(len(x)) - np.repeat(np.cumsum(running) - running, running)
+    rows = first[at] + np.repeat(np.arange(len(running)), running)
+    return np.ascontiguousarray(x[rows].T), running
+
+
 def expected_counts(x: np.ndarray, lengths: np.ndarray, p: HmmParams) -> np.ndarray:
     """Forward-backward sums as one vector.
 
     Layout: log-likelihood, start K, transitions K*K, weight K, sums K*D, squares K*D.
     """
-    first, running = _schedule(lengths)
-    log_b = log_density(x, p)
-    top = log_b.max(axis=1, keepdims=True)
-    b = np.exp(log_b - top)
+    return step_counts(*by_step(x, lengths), p)
 
-    alpha = np.empty_like(b)
-    scale = np.empty(len(x))
-    for t, m in enumerate(running):
-        row = first[:m] + t
-        a = (p.start if t == 0 else alpha[row - 1] @ p.trans) * b[row]
-        scale[row] = np.maximum(a.sum(axis=1), TINY)
-        alpha[row] = a / scale[row, None]
-
-    beta = np.ones_like(b)
-    ahead = np.zeros_like(b)
-    for t in range(len(running) - 2, -1, -1):
-        row = first[: running[t + 1]] + t
-        ahead[row] = b[row + 1] * beta[row + 1] / scale[row + 1, None]
-        beta[row] = ahead[row] @ p.trans.T
 
-    gamma = alpha * beta
-    gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), TINY)
+def step_counts(x: np.ndarray, running: np.ndarray, p: HmmParams) -> np.ndarray:
+    """``expected_counts`` of rows as ``by_step`` gives them."""
+    ends = np.cumsum(running).tolist()
+    spans = list(zip([0, *ends], ends))
+    b = np.empty((p.states, x.shape[1]))
+    for s in range(p.states):
+        away = x - p.means[s][:, None]
+        away *= away
+        b[s] = -0.5 * (np.log(2 * np.pi * p.covars[s]).sum() + (1 / p.covars[s]) @ away)
+    top = b.max(axis=0)
+    b -= top
+    np.exp(b, out=b)
+
+    alpha, scale = np.empty_like(b), np.empty(x.shape[1])
+    before = 0
+    for t, (at, end) in enumerate(spans):
+        a = alpha[:, at:end]
+        if t == 0:
+            np.multiply(p.start[:, None], b[:, at:end], out=a)
+        else:
+            np.multiply(p.trans.T @ alpha[:, before : before + end - at], b[:, at:end], out=a)
+        scale[at:end] = np.maximum(a.sum(axis=0), TINY)
+        a /= scale[at:end]
+        before = at
+
+    beta, ahead = np.ones_like(b), np.zeros_like(b)
+    for (at, _), (after, end) in zip(spans[-2::-1], spans[:0:-1]):
+        own = slice(at, at + end - after)
+        move = ahead[:, own]
+        np.multiply(b[:, after:end], beta[:, after:end], out=move)
+        move /= scale[after:end]
+        beta[:, own] = p.trans @ move
+
+    gamma = np.multiply(alpha, beta, out=beta)
+    gamma /= np.maximum(gamma.sum(axis=0), TINY)
     return np.concatenate(
         [
             [np.log(scale).sum() + top.sum()],
-            gamma[first].sum(axis=0),
-            (p.trans * (alpha.T @ ahead)).ravel(),
-            gamma.sum(axis=0),
-            (gamma.T @ x).ravel(),
-            (gamma.T @ (x * x)).ravel(),
+            gamma[:, : ends[0]].sum(axis=1),
+            (p.trans * (alpha @ ahead.T)).ravel(),
+            gamma.sum(axis=1),
+            (gamma @ x.T).ravel(),
+            (gamma @ (x * x).T).ravel(),
         ]
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytide import schema
-from daytide.functions.sequence_kernels import HmmParams, expected_counts, most_likely_states
+from daytide.functions.sequence_kernels import HmmParams, by_step, most_likely_states, step_counts
 from daytide.operators.start import kmeans_centers
 from daytide.session import ship_package, stage
 
@@ -86,21 +86,53 @@ def _flat(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
+#: Rows whose sequences a pass of EM works on together, so that their arrays stay in the cache.
+TOGETHER = 1 << 14
+
+
+def packed(sequences: DataFrame, width: int) -> DataFrame:
+    """(running, x): sequences of about ``TOGETHER`` rows as two arrays of bytes, see ``by_step``.
+
+    A pass of EM reads them as they are, without a list for each sequence.
+    """
+    ship_package(sequences.sparkSession)
+
+    def pack(batches):
+        for batch in batches:
+            days = batch.column("days").to_numpy()
+            ends = np.cumsum(days)
+            x = _flat(batch.column("x")).reshape(-1, width)
+            at = 0
+            while at < len(days):
+                begin = int(ends[at] - days[at])
+                end = max(at + 1, int(np.searchsorted(ends, begin + TOGETHER, "right")))
+                steps, running = by_step(x[begin : ends[end - 1]], days[at:end])
+                columns = [pa.array([a.tobytes()], pa.binary()) for a in (running.astype(np.int64), steps)]
+                yield pa.RecordBatch.from_arrays(columns, names=["running", "x"])
+                at = end
+
+    return sequences.where("days > 0").select("days", "x").mapInArrow(pack, "running binary, x binary")
+
+
 def expectation(sequences: DataFrame, params: HmmParams) -> np.ndarray:
-    """Sums of ``expected_counts`` over all sequences.
+    """Sums of ``expected_counts`` over all sequences."""
+    return _expectation(packed(sequences, params.means.shape[1]), params)
+
+
+def _expectation(table: DataFrame, params: HmmParams) -> np.ndarray:
+    """``expectation`` over a ``packed`` table.
 
     Partition vectors are added in partition order, so a rerun gives the same bits.
     """
-    ship_package(sequences.sparkSession)
     width = params.means.shape[1]
     size = 1 + 2 * params.states + params.states**2 + 2 * params.states * width
 
     def partial(batches):
         total = np.zeros(size)
         for batch in batches:
-            if batch.num_rows:
-                x = _flat(batch.column("x")).reshape(-1, width)
-                total += expected_counts(x, batch.column("days").to_numpy(), params)
+            for running, x in zip(batch.column("running"), batch.column("x")):
+                x = np.frombuffer(x.as_buffer()).reshape(width, -1)
+                total += step_counts(x, np.frombuffer(running.as_buffer(), np.int64), params)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(size, TaskContext.get().partitionId(), dtype=np.int32)),
@@ -112,7 +144,7 @@ def expectation(sequences: DataFrame, params: HmmParams) -> np.ndarray:
 
     in_order = F.sort_array(F.collect_list(F.struct("part", "v")))
     sums = (
-        sequences.select("days", "x")
+        table.select("running", "x")
         .mapInArrow(partial, "part int, idx int, v double")
         .groupBy("idx")
         .agg(F.aggregate(in_order, F.lit(0.0), lambda acc, e: acc + e["v"]).alias("v"))
@@ -159,6 +191,15 @@ def penalty(params: HmmParams, covars_prior: float = 1e-2) -> float:
     return float(covars_prior / 2 * (1 / params.covars).sum())
 
 
+def _started(train: DataFrame, states: int, width: int, seed: int, min_covar: float) -> HmmParams:
+    """``initial_params`` of rows that are kept while it reads them."""
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return initial_params(train, states, width, seed, min_covar)
+    finally:
+        train.unpersist()
+
+
 def fit(
     sequences: DataFrame,
     states: int = 4,
@@ -177,17 +218,19 @@ def fit(
     alone may fall a little; ``objectives`` has the penalised values, and if the likelihood
     fell the parameters before that step are kept.
 
-    Pass staged sequences: every iteration reads them, from memory where they fit, and
-    a lost executor only re-reads its part of the staged table.
+    Pass staged sequences: they are read by the start, from memory where they fit, and once
+    more for ``packed`` arrays, which every iteration reads; a lost executor only re-reads its
+    part of the staged table.
     """
     train = sequences.where(F.col("days") >= min_train_days).select("user_id", "days", "bet_dates", "x")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    # the plan of the arrays is made first, so that they come from the staged table
+    table = packed(train, width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        params = init or initial_params(train, states, width, seed, min_covar)
+        params = init or _started(train, states, width, seed, min_covar)
         result = HmmFit(params, converged=False)
         previous = params
         for _ in range(max_iter):
-            loglik, after = maximization(expectation(train, params), params, covars_prior)
+            loglik, after = maximization(_expectation(table, params), params, covars_prior)
             history = result.log_likelihoods
             history.append(loglik)
             result.objectives.append(loglik - penalty(params, covars_prior))
@@ -199,7 +242,7 @@ def fit(
         result.params = canonical_order(params)
         return result
     finally:
-        train.unpersist()
+        table.unpersist()
 
 
 def decode(sequences: DataFrame, params: HmmParams) -> DataFrame:

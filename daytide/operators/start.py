@@ -20,6 +20,8 @@ from daytide.session import ship_package
 
 #: Rows whose distances to all centres of all tries are in memory at once.
 SLICE = 1 << 16
+#: Rows of a slice whose distances are worked out together.
+BLOCK = 1 << 12
 #: The largest absolute value is this many units.
 UNITS = 2**43
 #: Constants of the splitmix64 generator.
@@ -61,7 +63,21 @@ def uniform(hashes: np.ndarray, stream: int) -> np.ndarray:
 
 def squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """(rows, centres); by differences, so equal rows are at distance 0."""
-    return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+    return _distances(np.ascontiguousarray(x.T), centers).T
+
+
+def _distances(columns: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """(centres, rows) for rows given by columns, some thousand at a time, which the cache holds."""
+    out = np.empty((len(centers), columns.shape[1]))
+    for at in range(0, columns.shape[1], BLOCK):
+        part = columns[:, at : at + BLOCK]
+        for c, own in zip(centers, out[:, at : at + BLOCK]):
+            own[:] = 0
+            for value, of_center in zip(part, c):
+                away = value - of_center
+                away *= away
+                own += away
+    return out
 
 
 def _flat(column) -> np.ndarray:
@@ -180,15 +196,22 @@ class _Step:
 
     def __call__(self, x: np.ndarray) -> list:
         q = np.rint(x / self.unit).astype(np.int64)
+        # two parts of 22 bits, whose sums over a slice are exact in doubles
+        parts = np.concatenate([(q >> 22), q & (2**22 - 1)], axis=1).astype(float)
+        columns, width = np.ascontiguousarray(x.T), x.shape[1]
         out, inertia = [], []
         grain = (self.unit * UNITS) ** 2 / 2**24
         for centers in self.centers:
-            far = squared_distances(x, centers)
-            near = far.argmin(axis=1)
-            for s in range(len(centers)):
-                mine = q[near == s]
-                out += [len(mine), *mine.sum(axis=0)]
-            inertia.append(np.rint(far.min(axis=1) / grain).astype(np.int64).sum())
+            far = _distances(columns, centers)
+            low, near = far[0].copy(), np.zeros(len(x), np.int64)
+            for s in range(1, len(centers)):
+                less = far[s] < low
+                near[less] = s
+                np.minimum(low, far[s], out=low)
+            mine = (near == np.arange(len(centers))[:, None]).astype(float)
+            for n, sums in zip(mine.sum(axis=1), mine @ parts):
+                out += [int(n), *((int(a) << 22) + int(b) for a, b in zip(sums[:width], sums[width:]))]
+            inertia.append(np.rint(low / grain).astype(np.int64).sum())
         return out + inertia
 
 

@@ -185,3 +185,23 @@ def test_maximization_uses_the_variance_prior():
 
 def test_shared_dir_follows_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_passes_read_packed_arrays(spark):
+    """The rows of a step lie together, whatever the sequences' lengths, and sums are those of each sequence alone."""
+    rng = np.random.default_rng(8)
+    lengths = np.array([3, 1, 6, 6, 2, 9, 1])
+    x = rng.normal(size=(lengths.sum(), 2))
+    k = PARAMS.states
+    params = HmmParams(PARAMS.start, PARAMS.trans, rng.normal(size=(k, 2)), rng.uniform(0.5, 2, (k, 2)))
+    cuts = np.cumsum(lengths)[:-1]
+    alone = sum(expected_counts(part, np.array([len(part)]), params) for part in np.split(x, cuts))
+    rows = [(str(i), len(p), [], p.ravel().tolist()) for i, p in enumerate(np.split(x, cuts))]
+    frame = spark.createDataFrame(rows, "user_id string, days int, bet_dates array<date>, x array<double>")
+    table = hmm.packed(frame.repartition(2), 2)
+    assert table.columns == ["running", "x"]
+    got = table.collect()
+    assert 1 <= len(got) <= 2  # a row for many sequences
+    assert sum(np.frombuffer(r["running"], np.int64).sum() for r in got) == lengths.sum()
+    assert np.allclose(hmm.expectation(frame.repartition(2), params), alone, rtol=1e-12)
+    assert (hmm.expectation(frame.limit(0), params) == 0).all()
