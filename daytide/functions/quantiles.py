@@ -120,6 +120,51 @@ def _counted(slots: _Slots, bits: int):
     return kernel
 
 
+def _values(key: np.ndarray) -> np.ndarray:
+    """The doubles that ``ordered_bits`` gave."""
+    top = np.uint64(1 << (BITS - 1))
+    return np.where(key >= top, key ^ top, ~key).view(np.float64)
+
+
+def _counted_columns(slots: _Slots, bits: int, groups: list[int]):
+    """As ``_counted`` of wide rows, column i being the group ``groups[i]``, none if it is -1.
+
+    A column is sorted, and what begins with a prefix is a run of it.
+    """
+    of_group: dict[int, list[tuple[int, int, int]]] = {}
+    shift = BITS - slots.done
+    for slot, code in enumerate(slots.codes.tolist()):
+        group, place = divmod(code, len(slots.prefixes))
+        prefix = int(slots.prefixes[place])
+        of_group.setdefault(group, []).append((slot, prefix << shift, (prefix + 1 << shift) - 1))
+
+    def kernel(batches):
+        for batch in batches:
+            out = []
+            for group, column in zip(groups, batch.columns):
+                known = column.drop_null().to_numpy(zero_copy_only=False) if group >= 0 else ()
+                if not len(known):
+                    continue
+                key = np.sort(ordered_bits(known))
+                for slot, low, high in of_group.get(group, ()):
+                    a = int(np.searchsorted(key, np.uint64(low)))
+                    own = key[a : int(np.searchsorted(key, np.uint64(high), "right"))]
+                    if not len(own):
+                        continue
+                    digit = (own >> np.uint64(shift - bits)) & np.uint64((1 << bits) - 1) if bits else own
+                    first = np.flatnonzero(np.concatenate(([True], digit[1:] != digit[:-1])))
+                    last = np.append(first[1:], len(own)) - 1
+                    shown = digit[first].astype(np.int64) if bits else np.zeros(len(first), np.int64)
+                    named = np.full(len(first), slot, np.int32)
+                    out.append((named, shown, last - first + 1, _values(own[first]), _values(own[last])))
+            if out:
+                yield pa.record_batch(
+                    [pa.array(np.concatenate(c)) for c in zip(*out)], names=["_s", "_d", "_c", "_low", "_high"]
+                )
+
+    return kernel
+
+
 def _upto(counted: DataFrame, by: str) -> DataFrame:
     """Running counts of a slot along ``by``."""
     along = Window.partitionBy("_s").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
@@ -140,6 +185,7 @@ def exact_quantiles(
     max_groups: int = 10_000,
     positions: Callable[[int, int], dict[str, float]] | None = None,
     begun: Begun | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """One row per group: keys, ``n`` and one linearly interpolated quantile per name.
 
@@ -148,13 +194,23 @@ def exact_quantiles(
     ``accuracy`` digits apart. ``keys`` must form few groups without missing keys (features,
     states): more than ``max_groups`` raise. Missing values are skipped. The input is scanned
     three times or more, so stage it when it is expensive.
+
+    With ``columns`` the groups are these columns of ``df`` under the one key, and no row is made
+    for each of their values.
     """
     spark = df.sparkSession
     ship_package(spark)
-    every = df.select(*keys, F.col(value).cast("double").alias("_x"))
-    key_fields = [every.schema[k] for k in keys]
+    if columns:
+        every = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+        key_fields = [T.StructField(keys[0], T.StringType())]
+    else:
+        every = df.select(*keys, F.col(value).cast("double").alias("_x"))
+        key_fields = [every.schema[k] for k in keys]
     if begun:
         rows = begun.sizes
+    elif columns:
+        found = every.agg(F.count("*"), *(F.count(c) for c in columns)).first()
+        rows = [{keys[0]: c, "n": n, "rows": found[0]} for c, n in zip(columns, found[1:])]
     else:
         rows = every.groupBy(*keys).agg(F.count("_x").alias("n"), F.count("*").alias("rows"))
         rows = rows.limit(max_groups + 1).collect()
@@ -179,7 +235,17 @@ def exact_quantiles(
     # groups are few, see max_groups
     numbers = T.StructType([*key_fields, T.StructField("_g", T.IntegerType())])
     groups = spark.createDataFrame([(*k, i) for i, k in enumerate(sizes)], numbers)
-    x = every.where("_x IS NOT NULL").join(F.broadcast(groups), keys).select("_g", "_x")
+    kind = "_s int, _d long, _c long, _low double, _high double"
+    if columns:
+        numbered = [list(sizes).index((c,)) if (c,) in sizes else -1 for c in columns]
+    else:
+        x = every.where("_x IS NOT NULL").join(F.broadcast(groups), keys).select("_g", "_x")
+
+    def counted(slots: _Slots, bits: int) -> DataFrame:
+        if columns:
+            return every.mapInArrow(_counted_columns(slots, bits, numbered), kind)
+        return x.mapInArrow(_counted(slots, bits), kind)
+
     digit, done = max(1, math.ceil(math.log2(accuracy))), 0
     while done < BITS:
         slots, slot = _Slots.of(ranks, done)
@@ -189,7 +255,7 @@ def exact_quantiles(
             counts = begun.counts.join(F.broadcast(groups), keys).withColumnRenamed("_g", "_s")
         else:
             bits = min(digit, BITS - done)
-            counts = x.mapInArrow(_counted(slots, bits), "_s int, _d long, _c long, _low double, _high double")
+            counts = counted(slots, bits)
         counts = counts.groupBy("_s", "_d").agg(
             F.sum("_c").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
         )
@@ -208,7 +274,7 @@ def exact_quantiles(
             break
 
     slots, slot = _Slots.of(ranks, done)
-    counts = x.mapInArrow(_counted(slots, 0), "_s int, _d long, _c long, _low double, _high double")
+    counts = counted(slots, 0)
     counts = counts.groupBy("_s", F.col("_low").alias("_x")).agg(F.sum("_c").alias("_c"))
     held = spark.createDataFrame(
         [(s, *r.keys, sizes[r.keys], r.name, r.position, r.upper, r.rest) for s, r in zip(slot, ranks)],

@@ -89,9 +89,8 @@ def feature_counts(
 def feature_quantiles(
     features: DataFrame, columns: list[str] = FEATURES, profile: Profile | None = None
 ) -> DataFrame:
-    long = to_long(clean_features(features, columns), [], columns)
-    begun = profile.begun() if profile else None
-    return exact_quantiles(long, ["feature"], "x", SUMMARY_QUANTILES, begun=begun).drop("n")
+    clean, begun = clean_features(features, columns), profile.begun() if profile else None
+    return exact_quantiles(clean, ["feature"], "x", SUMMARY_QUANTILES, begun=begun, columns=columns).drop("n")
 
 
 def feature_summary(

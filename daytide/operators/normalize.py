@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from daytide import schema
 from daytide.functions.columns import clip, finite, nan_to_null
 from daytide.functions.quantiles import exact_quantiles
-from daytide.functions.shape import small_table, to_long
+from daytide.functions.shape import small_table
 
 KEYS = ["user_id", "bet_date"]
 FEATURES = schema.MODEL_FEATURES
@@ -37,8 +37,7 @@ def fill_constants(features: DataFrame) -> DataFrame:
 
 def fit_fill_values(filled: DataFrame) -> DataFrame:
     """(feature, fill_value): the median left after the constants."""
-    long = to_long(filled, [], FEATURES)
-    return exact_quantiles(long, ["feature"], "x", {"fill_value": 0.5}).select(
+    return exact_quantiles(filled, ["feature"], "x", {"fill_value": 0.5}, columns=FEATURES).select(
         "feature", "fill_value"
     )
 
@@ -52,8 +51,7 @@ def impute(filled: DataFrame, fill: dict[str, float]) -> DataFrame:
 
 def fit_bounds(imputed: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(feature, p01, p99) of the imputed columns."""
-    long = to_long(imputed, [], FEATURES)
-    return exact_quantiles(long, ["feature"], "x", {"p01": low, "p99": high}).drop("n")
+    return exact_quantiles(imputed, ["feature"], "x", {"p01": low, "p99": high}, columns=FEATURES).drop("n")
 
 
 def winsorize(imputed: DataFrame, bounds: dict[str, dict]) -> DataFrame:
@@ -104,9 +102,8 @@ def fit_marks(filled: DataFrame, low: float = 0.01, high: float = 0.99) -> dict[
                 out[f"{end}_{name}"] = middle if inside else rank if rank < below else rank - missing
         return out
 
-    long = to_long(filled, [], FEATURES)
     probs = {"fill_value": 0.5} | dict.fromkeys(names, 0.5)
-    marks = exact_quantiles(long, ["feature"], "x", probs, positions=positions)
+    marks = exact_quantiles(filled, ["feature"], "x", probs, positions=positions, columns=FEATURES)
     rows = filled.count()
     found = {r["feature"]: r.asDict() for r in marks.collect()}
     out = {}

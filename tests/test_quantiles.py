@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from daytide.functions import quantiles
 from daytide.functions.quantiles import _counted, _Rank, _Slots, exact_quantiles, ordered_bits
 
 
@@ -43,3 +44,27 @@ def test_every_pass_combines_before_the_exchange(spark):
     df = spark.range(100).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
     plan = exact_quantiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "percentile" not in plan
+
+
+def test_columns_are_groups_without_a_row_a_value(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = {
+        "a": rng.normal(size=400).tolist(),
+        "b": [None] * 400,
+        "c": [None, 0.0, -0.0, 3.0] * 100,
+        "d": (10.0 ** rng.uniform(-300, 300, 400) * rng.choice([-1, 1], 400)).tolist(),
+        "e": [7.0 + i * 2.0**-50 for i in range(400)],
+    }
+    frame = spark.createDataFrame(list(zip(*values.values())), ", ".join(f"{c} double" for c in values)).repartition(3)
+    probs = {"low": 0.01, "mid": 0.5, "high": 0.993}
+    seen = []
+    real = quantiles._counted_columns
+    monkeypatch.setattr(quantiles, "_counted_columns", lambda *a: seen.append(a) or real(*a))
+    got = quantiles.exact_quantiles(frame, ["feature"], "x", probs, rank_rows=3, columns=list(values)).collect()
+    assert len(seen) >= 3
+    assert sorted(r["feature"] for r in got) == ["a", "c", "d", "e"]
+    for r in got:
+        known = np.array([v for v in values[r["feature"]] if v is not None])
+        assert r["n"] == len(known)
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.quantile(known, p), rel=1e-12)
