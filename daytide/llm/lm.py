@@ -60,9 +60,13 @@ SLICE = 6 << 20
 SIDE_BY_SIDE = 1 << 22
 END = 0
 #: States whose choices are worked out together, so that these stay in the processor's cache.
-BLOCK = 512
+BLOCK = 256
 #: States that a scoring task gathers from its windows before their choices are worked out.
 TOGETHER_SCORED = 1 << 15
+#: Texts that take a step together while they are scored, so that their states stay in the cache.
+ABREAST = 512
+#: Bytes of text whose words are hashed at a time, for the same reason.
+CUT = 1 << 16
 #: The sum of a state's exponentials stays above exp(-RANGE), a normal number of 32 bits.
 RANGE = 80
 
@@ -95,8 +99,11 @@ def tail_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, tails: int) ->
 def _word_counts(tails: int):
     def kernel(batches):
         for batch in parts(batches, limit=SLICE):
-            words = Words(batch["text"], lower=True)
-            _, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+            words = Words(batch["text"], lower=True, block=CUT)
+            order = np.argsort(words.hash)
+            hashes = words.hash[order]
+            cuts = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1], append=~hashes[-1:]))
+            first, n = order[cuts[:-1]], np.diff(cuts)
             data, begin, end = LOWER[words.data], words.begin[first], words.end[first]
             yield pa.record_batch(
                 [strings_at(data, begin, end), pa.array(tail_of(data, begin, end, tails)), pa.array(n)],
@@ -171,14 +178,30 @@ class Numbering:
         hashes = vocab.hashes
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
+        # first hash of each value of the leading bits, of which there are four to a hash and more
+        self.bits = np.uint64(64 - max(1, (4 * len(hashes)).bit_length()))
+        leading = np.arange(1 << int(64 - self.bits), dtype=np.uint64) << self.bits
+        self.begin = np.searchsorted(self.sorted, leading).astype(np.int32)
         self.head, self.tails = vocab.head, len(vocab.tail_total)
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Place in the short list, -1 if not there."""
         if not len(self.sorted):
             return np.full(len(hashes), -1, np.int64)
-        near = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[near] == hashes, self.order[near], -1)
+        out = np.full(len(hashes), -1, np.int64)
+        for a in range(0, len(hashes), 1 << 14):
+            some = hashes[a : a + (1 << 14)]
+            near = self.begin[some >> self.bits]
+            which = np.arange(len(some))
+            # few hashes share their leading bits: go on along them where a smaller one stands
+            while len(which):
+                which = which[near[which] < len(self.sorted)]
+                there = self.sorted[near[which]]
+                same, wanted = which[there == some[which]], some[which]
+                out[a + same] = self.order[near[same]]
+                which = which[there < wanted]
+                near[which] += 1
+        return out
 
     def tokens(self, words: Words, data: np.ndarray):
         """(token numbers with an end after each text, places in the short list, lengths)."""
@@ -260,7 +283,7 @@ def levelled(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
     bound is taken off the bias, so that the sum of the choices' exponentials neither overflows
     nor vanishes. The last axis but one is that of the choices; there may be several groups.
     """
-    reach = np.abs(weights).sum(axis=-1)
+    reach = np.abs(weights) @ np.ones(weights.shape[-1], weights.dtype)
     high, low = (bias + reach).max(axis=-1, keepdims=True), (bias - reach).max(axis=-1, keepdims=True)
     return np.concatenate([weights, (bias - high)[..., None]], axis=-1), bool((high - low < RANGE).all())
 
@@ -286,20 +309,26 @@ def halved(weights: np.ndarray) -> np.ndarray:
     return weights
 
 
+def inputs(net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """(embeddings with a last column of ones, ``halved`` weights that move them with the bias as a last column)."""
+    return with_one(net.embed), np.ascontiguousarray(halved(np.vstack([net.into, net.bias])).T)
+
+
 def step(turn: np.ndarray, moved: np.ndarray, h: np.ndarray):
     """One step of the gated unit: the new state, and what its gradient needs.
 
-    ``moved`` and ``turn`` are as ``halved`` gives them.
+    A column is a text, so that each gate lies in one piece. ``moved`` and ``turn`` are of
+    weights as ``halved`` gives them, choices x states.
     """
-    turned = h @ turn
-    gates = turned[:, : 2 * HIDDEN]
-    gates += moved[:, : 2 * HIDDEN]
+    turned = turn @ h
+    gates = turned[: 2 * HIDDEN]
+    gates += moved[: 2 * HIDDEN]
     np.tanh(gates, out=gates)
     gates *= 0.5
     gates += 0.5
-    z, r, again = gates[:, :HIDDEN], gates[:, HIDDEN:], turned[:, 2 * HIDDEN :]
+    z, r, again = gates[:HIDDEN], gates[HIDDEN:], turned[2 * HIDDEN :]
     c = r * again
-    c += moved[:, 2 * HIDDEN :]
+    c += moved[2 * HIDDEN :]
     np.tanh(c, out=c)
     after = h - c
     after *= z
@@ -313,25 +342,28 @@ def class_of(net: Network, token: np.ndarray) -> np.ndarray:
 
 
 def by_class(net: Network, cls: np.ndarray):
-    """(order of tokens by class, [(head class, first and end place in that order)])."""
+    """(order of tokens by class, [(head class, first and end place in that order)], how many are in head classes)."""
     order = np.argsort(cls.astype(np.int16) if len(net.class_bias) < 1 << 15 else cls, kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(net.head_classes + 1)).tolist()
-    spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-    return order[: cuts[-1]], spans
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a], cuts[-1]
 
 
 def log_probabilities(net: Network, states: np.ndarray, token: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Natural log of each token's probability after its state; of its class for tail tokens."""
-    out, cls, states = np.empty(len(token)), class_of(net, token), with_one(states)
+    return _log_probabilities(net, with_one(states), token, block)
+
+
+def _log_probabilities(net: Network, states: np.ndarray, token: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    out, cls = np.empty(len(token)), class_of(net, token)
     weights, level = levelled(np.ascontiguousarray(net.classes.T), net.class_bias)
     for a in range(0, len(token), block):
         out[a : a + block] = chosen(states[a : a + block] @ weights.T, cls[a : a + block], level)[0]
-    order, spans = by_class(net, cls)
-    mine, inner = states[order], np.empty((len(order), CLASS), states.dtype)
+    order, spans, head = by_class(net, cls)
+    mine, inner = states[order[:head]], np.empty((head, CLASS), states.dtype)
     weights, level = levelled(net.words, net.word_bias)
     for k, a, b in spans:
         np.matmul(mine[a:b], weights[k].T, out=inner[a:b])
-    out[order] += chosen(inner, token[order] % CLASS, level)[0]
+    out[order[:head]] += chosen(inner, token[order[:head]] % CLASS, level)[0]
     return out
 
 
@@ -340,118 +372,135 @@ def text_scores(net: Network, tokens: np.ndarray, lengths: np.ndarray, window: i
 
     Texts run side by side, the longest first; the states go on from window to window.
     """
-    moved, turn = halved(net.embed @ net.into + net.bias), halved(net.turn)
     order = np.argsort(-lengths, kind="stable")
     size, first = lengths[order], (np.cumsum(lengths) - lengths)[order]
-    total = np.zeros(len(lengths))
-    h = np.zeros((len(lengths), HIDDEN), np.float32)
-    target = np.full(len(lengths), END)
-    longest, t = int(size.max(initial=0)), 0
-    running = np.searchsorted(-size, -np.arange(longest), "left")  # texts longer than each step
-    while t < longest:
-        states, targets, begun, waiting = [], [], t, 0
-        while t < longest and (t == begun or waiting < TOGETHER_SCORED or t % window):
-            n = int(running[t])
-            h = step(turn, moved[target[:n]], h[:n])[0]
-            target = tokens[first[:n] + t].astype(np.int64)
-            states.append(h)
-            targets.append(target)
-            waiting += n
-            t += 1
-        found = log_probabilities(net, np.concatenate(states), np.concatenate(targets))
-        many = running[begun:t]
-        owners = np.arange(waiting) - np.repeat(np.cumsum(many) - many, many)
-        total += np.bincount(owners, found, len(lengths))
+    total = np.empty(len(lengths))
+    for a in range(0, len(lengths), ABREAST):
+        mine = slice(a, a + ABREAST)
+        total[mine] = _abreast(net, tokens, size[mine], first[mine], window)
     out = np.empty(len(lengths))
     out[order] = total
     return out
 
 
+def _abreast(net: Network, tokens: np.ndarray, size: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """``text_scores`` of texts by falling size, whose tokens begin at ``first``, side by side."""
+    embed, into = inputs(net)
+    turn = np.ascontiguousarray(halved(net.turn).T)
+    total = np.zeros(len(size))
+    h = np.zeros((HIDDEN, len(size)), np.float32)
+    longest, t = int(size[0]), 0
+    running = np.searchsorted(-size, -np.arange(longest), "left")  # texts longer than each step
+    upto = np.cumsum(running)
+    while t < longest:
+        enough = np.searchsorted(upto, (upto[t - 1] if t else 0) + TOGETHER_SCORED) + 1
+        end = min(longest, t + -(-(enough - t) // window) * window)
+        many = running[t:end]
+        cuts = np.append(0, np.cumsum(many))
+        owners = np.arange(cuts[-1]) - np.repeat(cuts[:-1], many)
+        at = first[owners] + np.repeat(np.arange(t, end), many)
+        target = tokens[at].astype(np.int64)
+        before = tokens[at - 1]
+        if t == 0:
+            before[: many[0]] = END
+        states = np.ones((len(target), HIDDEN + 1), np.float32)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            h = step(turn, into @ embed[before[a:b]].T, h[:, : b - a])[0]
+            states[a:b, :HIDDEN] = h.T
+        total += np.bincount(owners, _log_probabilities(net, states, target), len(size))
+        t = end
+    return total
+
+
 def gradients(net: Network, seen: np.ndarray, target: np.ndarray, h: np.ndarray):
     """Loss, gradients and last states over a window (steps x lanes), cut off before it.
 
     A lane whose last token was an end starts a new text from the zero state.
     """
     steps_, lanes = seen.shape
-    token_in, begun = seen.reshape(-1), (seen != END)[:, :, None]
-    moved = halved(net.embed @ net.into + net.bias)[token_in].reshape(steps_, lanes, -1)
-    turn = halved(net.turn)
-    kept, states = [], np.empty((steps_, lanes, HIDDEN), h.dtype)
+    token_in, begun = seen.reshape(-1), [np.flatnonzero(row) for row in seen == END]
+    embed, weights_in = inputs(net)
+    came_in = embed[token_in].reshape(steps_, lanes, -1)
+    turn = np.ascontiguousarray(halved(net.turn).T)
+    kept, ones, h = [], np.ones((steps_ * lanes, HIDDEN + 1), h.dtype), h.T.copy()
+    states = ones.reshape(steps_, lanes, -1)[:, :, :HIDDEN]
     for s in range(steps_):
-        h = h * begun[s]
-        after, *rest = step(turn, moved[s], h)
+        h[:, begun[s]] = 0
+        after, *rest = step(turn, weights_in @ came_in[s].T, h)
         kept.append((h, *rest))
-        states[s] = h = after
-    flat, token = states.reshape(-1, HIDDEN), target.reshape(-1)
+        h = after
+        states[s] = h.T
+    # states go by class, so that those of a head class lie in one piece
+    order, spans, head = by_class(net, class_of(net, target.reshape(-1)))
+    token, ones = target.reshape(-1)[order], ones[order]
     cls, loss = class_of(net, token), 0.0
     grad = Network(*(np.zeros_like(a) for a in net.arrays()))
-    back, outer = np.empty_like(flat), np.ascontiguousarray(net.classes.T)
+    back, outer = np.empty((len(token), HIDDEN), h.dtype), np.ascontiguousarray(net.classes.T)
     weights, level = levelled(outer, net.class_bias)
-    slope, ones = np.zeros_like(weights.T), with_one(flat)
+    slope, number = np.zeros_like(weights.T), np.arange(BLOCK)
     for a in range(0, len(token), BLOCK):
         own, which = ones[a : a + BLOCK], cls[a : a + BLOCK]
         error = own @ weights.T
         found, sums = chosen(error, which, level)
         loss -= found.sum(dtype=np.float64)
-        error /= sums[:, None]
-        error[np.arange(len(which)), which] -= 1
-        slope += own.T @ error
-        np.matmul(error, outer, out=back[a : a + BLOCK])
+        # errors times the sums: these are taken off the narrower products
+        error[number[: len(which)], which] -= sums
+        part = 1 / sums[:, None]
+        slope += (own * part).T @ error
+        np.multiply(error @ outer, part, out=back[a : a + BLOCK])
     grad.classes, grad.class_bias = slope[:-1], slope[-1]
-    order, spans = by_class(net, cls)
-    mine, place, miss = ones[order], token[order] % CLASS, np.empty((len(order), CLASS), h.dtype)
+    place, miss = token[:head] % CLASS, np.empty((head, CLASS), h.dtype)
     weights, level = levelled(net.words, net.word_bias)
     for k, a, b in spans:
-        np.matmul(mine[a:b], weights[k].T, out=miss[a:b])
+        np.matmul(ones[a:b], weights[k].T, out=miss[a:b])
     found, sums = chosen(miss, place, level)
     loss -= found.sum(dtype=np.float64)
     miss /= sums[:, None]
-    miss[np.arange(len(place)), place] -= 1
-    slope, inner = np.zeros_like(weights), np.empty((len(order), HIDDEN), h.dtype)
+    miss[np.arange(head), place] -= 1
+    slope, inner = np.zeros_like(weights), np.empty((head, HIDDEN), h.dtype)
     for k, a, b in spans:
-        np.matmul(miss[a:b].T, mine[a:b], out=slope[k])
+        np.matmul(miss[a:b].T, ones[a:b], out=slope[k])
         np.matmul(miss[a:b], net.words[k], out=inner[a:b])
     grad.words, grad.word_bias = slope[..., :-1], slope[..., -1]
-    back[order] += inner
-    back = back.reshape(steps_, lanes, HIDDEN)
-    into = np.empty((steps_, lanes, 3 * HIDDEN), h.dtype)
-    turned, turn_back = np.empty_like(into), np.ascontiguousarray(net.turn.T)
-    carry = np.zeros_like(h)
+    back[:head] += inner
+    at = np.empty_like(order)
+    at[order] = np.arange(len(order))
+    back = back[at].reshape(steps_, lanes, HIDDEN)
+    into, turned = np.empty((3 * HIDDEN, lanes), h.dtype), np.empty((3 * HIDDEN, lanes), h.dtype)
+    rows = np.empty((EMBEDDING, steps_, lanes), h.dtype)
+    slope_in, carry = np.zeros_like(weights_in), np.zeros_like(h)
+    dz, dr, dc = into[:HIDDEN], into[HIDDEN : 2 * HIDDEN], into[2 * HIDDEN :]
     for s in range(steps_ - 1, -1, -1):
         before, z, r, again, c = kept[s]
-        d = back[s]
-        d += carry
-        dc = 1 - z
-        dz = before - c
+        d = carry
+        d += back[s].T
+        np.subtract(1, z, out=dc)
+        np.subtract(before, c, out=dz)
         dz *= z
         dz *= dc
         dz *= d
-        into[s, :, :HIDDEN] = dz
         dc *= d
-        dc *= 1 - c * c
-        into[s, :, 2 * HIDDEN :] = dc
-        dr = 1 - r
+        c *= c
+        np.subtract(1, c, out=c)
+        dc *= c
+        np.subtract(1, r, out=dr)
         dr *= r
         dr *= again
         dr *= dc
-        into[s, :, HIDDEN : 2 * HIDDEN] = dr
-        turned[s, :, : 2 * HIDDEN] = into[s, :, : 2 * HIDDEN]
-        np.multiply(dc, r, out=turned[s, :, 2 * HIDDEN :])
-        carry = turned[s] @ turn_back
+        turned[: 2 * HIDDEN] = into[: 2 * HIDDEN]
+        np.multiply(dc, r, out=turned[2 * HIDDEN :])
         d *= z
+        carry = net.turn @ turned
         carry += d
-        carry *= begun[s]
-    rows = into.reshape(-1, 3 * HIDDEN)
-    grad.bias = np.ones(len(rows), rows.dtype) @ rows
-    came = np.concatenate([k[0] for k in kept])
-    grad.turn = came.T @ turned.reshape(-1, 3 * HIDDEN)
-    grad.into = net.embed[token_in].T @ rows
+        carry[:, begun[s]] = 0
+        grad.turn += before @ turned.T
+        slope_in += into @ came_in[s]
+        np.matmul(net.into, into, out=rows[:, s])
+    grad.into, grad.bias = slope_in[:, :-1].T, slope_in[:, -1]
     # inputs repeat: their gradients are added up by token
-    order = np.argsort(token_in.astype(np.int16) if len(net.embed) < 1 << 15 else token_in, kind="stable")
-    sorted_in = token_in[order]
-    starts = np.flatnonzero(np.diff(sorted_in, prepend=-1))
-    grad.embed[sorted_in[starts]] = np.add.reduceat((rows @ net.into.T)[order], starts)
-    return loss, grad, h
+    for column, row in zip(grad.embed.T, rows.reshape(EMBEDDING, -1)):
+        column[:] = np.bincount(token_in, row, len(column))
+    return loss, grad, h.T
 
 
 class Adam:
@@ -464,10 +513,17 @@ class Adam:
         self.turn += 1
         grown, spread = 1 - 0.9**self.turn, 1 - 0.999**self.turn
         for a, g, m, v in zip(self.net.arrays(), grad.arrays(), self.first, self.second):
-            g = g / n
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            a -= (self.rate / grown) * m / (np.sqrt(v / spread) + 1e-8)
+            m *= 0.9
+            m += g * a.dtype.type(0.1 / n)
+            v *= 0.999
+            g = g * a.dtype.type(0.001**0.5 / n)
+            g *= g
+            v += g
+            move = np.sqrt(v)
+            move += a.dtype.type(1e-8 * spread**0.5)
+            np.divide(m, move, out=move)
+            move *= self.rate * spread**0.5 / grown
+            a -= move
 
 
 def train(net: Network, streams, rate: float) -> tuple[Network, int]:
@@ -504,7 +560,7 @@ def _trained(vocab: Vocabulary, net: Network, rate: float):
 
         def streams():
             for batch in parts(batches, limit=SLICE):
-                words = Words(batch["text"], lower=True)
+                words = Words(batch["text"], lower=True, block=CUT)
                 yield numbering.tokens(words, LOWER[words.data])[0]
 
         after, n = train(net, streams(), rate)
@@ -578,7 +634,7 @@ def _scored(vocab: Vocabulary, net: Network):
 
     def kernel(batches):
         numbering = Numbering(vocab)
-        smooth = np.log10(vocab.counts + 0.5)
+        smooth = np.append(np.log10(vocab.counts + 0.5), 0)  # the last for words that have no place
         end = np.log10(vocab.docs + 0.5)
         whole = np.log10(vocab.total + 0.5 * (vocab.kinds + 1))
         in_tail = np.log10(vocab.tail_total + 0.5 * (vocab.tail_kinds + 1))
@@ -599,14 +655,14 @@ def _scored(vocab: Vocabulary, net: Network):
 
         waiting = 0
         for batch in parts(batches, limit=SLICE):
-            words = Words(batch["text"], lower=True)
+            words = Words(batch["text"], lower=True, block=CUT)
             data, n = LOWER[words.data], batch.num_rows
             tokens, place, lengths = numbering.tokens(words, data)
             owner = words.text_number()
             add = lambda which, value: np.bincount(owner[which], value, n)
             short = place >= 0
-            log_count = np.where(short, smooth[place] if len(smooth) else 0, 0)
-            base = add(slice(None), log_count) + end - lengths * whole
+            log_count = smooth[place]
+            base = np.bincount(owner, log_count, n) + end - lengths * whole
             tail = np.flatnonzero(~short | (place >= vocab.head - 1))
             number = tokens[tail + owner[tail]] - vocab.head
             model = add(tail, log_count[tail] - in_tail[number])
@@ -669,9 +725,12 @@ def score(
     kind = "row long, doc_id long, n_tokens long, n_known long, base double, model double, word string, n long"
     # the rows' numbers are fixed by the written table
     scored = stage(given.mapInArrow(_scored(vocab, net), kind), "scored")
-    rare = scored.where(F.col("word").isNotNull()).select("row", "word", "n")
+    # joined by a number, which sorts faster than a word; words that share it are told apart by the other two terms
+    rare = scored.where(F.col("word").isNotNull()).select("row", "word", "n", F.xxhash64("word").alias("hash"))
+    known = counts.select(F.col("word").alias("same"), "c", F.xxhash64("word").alias("known_hash"))
+    equal = (F.col("hash") == F.col("known_hash")) & (F.col("word") <= F.col("same")) & (F.col("word") >= F.col("same"))
     c = F.coalesce("c", F.lit(0))
-    found = rare.join(counts.select("word", "c"), "word", "left").groupBy("row").agg(
+    found = rare.join(known, equal, "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("also")
     )
     whole = scored.where(F.col("word").isNull()).drop("word", "n").join(found, "row", "left")

@@ -35,6 +35,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_KEPT: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers, modulo 2^64; the tables of usual blocks are kept."""
+    kept = _KEPT.get(int(base), ())
+    if len(kept) < n:
+        kept = np.full(n + n // 8, base, np.uint64)
+        kept[:1] = 1
+        np.multiply.accumulate(kept, out=kept)
+        if n <= 1 << 21:
+            _KEPT[int(base)] = kept
+    return kept[:n]
+
+
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
@@ -98,15 +114,11 @@ class Words:
             after[:-1] = inside[1:]
             last = np.flatnonzero(inside & (~after | edge[1:])) + 1
             length = last - first
-            # place in the word; behind a word, where values are 0, any place
-            place = np.arange(b - a)
-            place[first[0] :] -= np.repeat(first, np.diff(first, append=b - a))
-            powers = np.full(int(length.max()) + 1, _STEP, np.uint64)
-            powers[0] = 1
-            np.multiply.accumulate(powers, out=powers)
+            # powers go by the place in the block; those up to the word's begin are taken back
             value = fold[part]
-            value *= powers[np.minimum(place, len(powers) - 1, out=place)]
+            value *= _powers(_STEP, b - a)
             summed = np.add.reduceat(value, first)
+            summed *= _powers(_BACK, int(first[-1]) + 1)[first]
             hashes.append(mixed(summed + length.astype(np.uint64) * _ODD))
             begins.append(first + a)
             ends.append(last + a)

@@ -254,3 +254,62 @@ def test_choices_of_any_size_neither_overflow_nor_vanish():
         every = np.arange(len(net.embed))
         logs = lm.log_probabilities(grown, np.tile(h, (len(every), 1)), every)
         assert abs(np.exp(logs).sum() - 1) < 1e-3
+
+
+def test_steps_take_a_bounded_number_of_texts(monkeypatch):
+    """Texts beyond ``ABREAST`` wait, so that states stay in the cache; scores are those of each text alone."""
+    _, net, texts, lengths = small(8)
+    widths, whole = [], lm.step
+
+    def counted(turn, moved, h):
+        widths.append(h.shape[1])
+        return whole(turn, moved, h)
+
+    monkeypatch.setattr(lm, "step", counted)
+    monkeypatch.setattr(lm, "ABREAST", 3)
+    got = lm.text_scores(net, np.concatenate(texts).astype(np.int16), lengths, 7)
+    assert max(widths) == 3
+    assert np.allclose(got, [plain(net, t) for t in texts], rtol=1e-4)
+
+
+@pytest.mark.parametrize("kinds", [0, 1, 900])
+def test_places_of_words_whose_hashes_share_leading_bits(kinds):
+    rng = np.random.default_rng(kinds)
+    few = (rng.integers(0, 5, kinds).astype(np.uint64) << np.uint64(61)) + np.arange(kinds, dtype=np.uint64)
+    known = rng.permutation(np.append(few, np.full(int(kinds > 1), 2**64 - 1, np.uint64)))
+    vocab = type("V", (), {"hashes": known, "head": 2, "tail_total": np.zeros(4)})
+    asked = np.concatenate([known, known + np.uint64(10_000), np.array([0, 2**63, 2**64 - 2], np.uint64)])
+    where = {h: i for i, h in enumerate(known.tolist())}
+    assert lm.Numbering(vocab).place(asked).tolist() == [where.get(h, -1) for h in asked.tolist()]
+
+
+def test_rare_words_join_by_number_and_stay_apart(spark, monkeypatch):
+    """Words outside the short list get their own counts, though all of them share the number joined by."""
+    rows = [(i, t) for i, t in enumerate(["a b c", "a B d", "a e", "f c f", ""]) if learnt(i)] + [(10, "zz B f c"), (7, "é e")]
+    hashed = []
+
+    def one(*columns):
+        hashed.append(columns)
+        return whole(*columns) if len(columns) > 1 else lm.F.lit(5).cast("long")
+
+    whole = lm.F.xxhash64
+    monkeypatch.setattr(lm.F, "xxhash64", one)
+    got = lm.score(documents(spark, rows).repartition(2), short=1, head=2, tails=4).collect()
+    assert ("word",) in hashed
+    check_base(got, rows)
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
+def test_hashes_of_words_do_not_depend_on_their_place(block):
+    texts = ["ab cd ab", None, "", "x" * 300 + " ab", "\tcd\r\nAB", "é ab é"]
+    words = Words(pa.array(texts), lower=True, block=block)
+    data, by = LOWER[words.data], {}
+    for h, a, b in zip(words.hash.tolist(), words.begin, words.end):
+        by.setdefault(data[a:b].tobytes(), set()).add(h)
+    assert all(len(hashes) == 1 for hashes in by.values()) and len(set.union(*by.values())) == len(by) == 4
+    # the hash is the polynomial in the word's own bytes
+    from daytide.llm import words as w
+
+    for word, (h,) in by.items():
+        value = sum(int(w._BYTES[c]) * pow(int(w._STEP), i, 1 << 64) for i, c in enumerate(word)) + len(word) * int(w._ODD)
+        assert h == int(w.mixed(np.array([value % (1 << 64)], np.uint64))[0])
