@@ -25,6 +25,7 @@ the base is log10(1) for each token, and so is the score; other columns are left
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +90,17 @@ def strings_at(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.large_string(), len(size), buffers).cast(pa.string())
 
 
+@cache
+def _tails(tails: int) -> np.ndarray:
+    """Tail class by the last two bytes."""
+    return (mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) % np.uint64(tails)).astype(np.int64)
+
+
 def tail_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, tails: int) -> np.ndarray:
     """Tail class of lower-cased words, from their last two bytes."""
-    last = data[end - 1].astype(np.uint64)
-    other = np.where(end - begin > 1, data[np.maximum(end - 2, begin)], 0).astype(np.uint64)
-    return (mixed(last * np.uint64(256) + other + np.uint64(1)) % np.uint64(tails)).astype(np.int64)
+    last = data[end - 1].astype(np.int64) << 8
+    last |= np.where(end - begin > 1, data[np.maximum(end - 2, begin)], 0)
+    return _tails(tails)[last]
 
 
 def _word_counts(tails: int):
@@ -206,8 +213,9 @@ class Numbering:
     def tokens(self, words: Words, data: np.ndarray):
         """(token numbers with an end after each text, places in the short list, lengths)."""
         place = self.place(words.hash)
-        tail = tail_of(data, words.begin, words.end, self.tails)
-        number = np.where((place >= 0) & (place < self.head - 1), place + 1, self.head + tail)
+        number = place + 1
+        other = np.flatnonzero((place < 0) | (place >= self.head - 1))
+        number[other] = self.head + tail_of(data, words.begin[other], words.end[other], self.tails)
         lengths = words.counts + 1
         out = np.full(int(lengths.sum()), END, np.int64)
         out[np.arange(len(number)) + words.text_number()] = number
@@ -277,15 +285,16 @@ def with_one(h: np.ndarray) -> np.ndarray:
 
 
 def levelled(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
-    """(weights with the bias as a last column, choices x (states + 1); whether they are level).
+    """(weights with the bias as a last row, (states + 1) x choices; whether they are level).
 
     States lie between -1 and 1. Where that alone bounds the highest choice closely enough, the
     bound is taken off the bias, so that the sum of the choices' exponentials neither overflows
-    nor vanishes. The last axis but one is that of the choices; there may be several groups.
+    nor vanishes. The given weights are choices x states; there may be several groups of them.
     """
     reach = np.abs(weights) @ np.ones(weights.shape[-1], weights.dtype)
     high, low = (bias + reach).max(axis=-1, keepdims=True), (bias - reach).max(axis=-1, keepdims=True)
-    return np.concatenate([weights, (bias - high)[..., None]], axis=-1), bool((high - low < RANGE).all())
+    whole = np.concatenate([np.swapaxes(weights, -1, -2), (bias - high)[..., None, :]], axis=-2)
+    return np.ascontiguousarray(whole), bool((high - low < RANGE).all())
 
 
 def chosen(x: np.ndarray, choice: np.ndarray, level: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -357,12 +366,12 @@ def _log_probabilities(net: Network, states: np.ndarray, token: np.ndarray, bloc
     out, cls = np.empty(len(token)), class_of(net, token)
     weights, level = levelled(np.ascontiguousarray(net.classes.T), net.class_bias)
     for a in range(0, len(token), block):
-        out[a : a + block] = chosen(states[a : a + block] @ weights.T, cls[a : a + block], level)[0]
+        out[a : a + block] = chosen(states[a : a + block] @ weights, cls[a : a + block], level)[0]
     order, spans, head = by_class(net, cls)
     mine, inner = states[order[:head]], np.empty((head, CLASS), states.dtype)
     weights, level = levelled(net.words, net.word_bias)
     for k, a, b in spans:
-        np.matmul(mine[a:b], weights[k].T, out=inner[a:b])
+        np.matmul(mine[a:b], weights[k], out=inner[a:b])
     out[order[:head]] += chosen(inner, token[order[:head]] % CLASS, level)[0]
     return out
 
@@ -437,10 +446,10 @@ def gradients(net: Network, seen: np.ndarray, target: np.ndarray, h: np.ndarray)
     grad = Network(*(np.zeros_like(a) for a in net.arrays()))
     back, outer = np.empty((len(token), HIDDEN), h.dtype), np.ascontiguousarray(net.classes.T)
     weights, level = levelled(outer, net.class_bias)
-    slope, number = np.zeros_like(weights.T), np.arange(BLOCK)
+    slope, number = np.zeros_like(weights), np.arange(BLOCK)
     for a in range(0, len(token), BLOCK):
         own, which = ones[a : a + BLOCK], cls[a : a + BLOCK]
-        error = own @ weights.T
+        error = own @ weights
         found, sums = chosen(error, which, level)
         loss -= found.sum(dtype=np.float64)
         # errors times the sums: these are taken off the narrower products
@@ -452,12 +461,12 @@ def gradients(net: Network, seen: np.ndarray, target: np.ndarray, h: np.ndarray)
     place, miss = token[:head] % CLASS, np.empty((head, CLASS), h.dtype)
     weights, level = levelled(net.words, net.word_bias)
     for k, a, b in spans:
-        np.matmul(ones[a:b], weights[k].T, out=miss[a:b])
+        np.matmul(ones[a:b], weights[k], out=miss[a:b])
     found, sums = chosen(miss, place, level)
     loss -= found.sum(dtype=np.float64)
     miss /= sums[:, None]
     miss[np.arange(head), place] -= 1
-    slope, inner = np.zeros_like(weights), np.empty((head, HIDDEN), h.dtype)
+    slope, inner = np.zeros((*net.word_bias.shape, HIDDEN + 1), h.dtype), np.empty((head, HIDDEN), h.dtype)
     for k, a, b in spans:
         np.matmul(miss[a:b].T, ones[a:b], out=slope[k])
         np.matmul(miss[a:b], net.words[k], out=inner[a:b])
@@ -468,7 +477,7 @@ def gradients(net: Network, seen: np.ndarray, target: np.ndarray, h: np.ndarray)
     back = back[at].reshape(steps_, lanes, HIDDEN)
     into, turned = np.empty((3 * HIDDEN, lanes), h.dtype), np.empty((3 * HIDDEN, lanes), h.dtype)
     rows = np.empty((EMBEDDING, steps_, lanes), h.dtype)
-    slope_in, carry = np.zeros_like(weights_in), np.zeros_like(h)
+    slope_in, slope_turn, carry = np.zeros_like(weights_in), np.zeros_like(turn), np.zeros_like(h)
     dz, dr, dc = into[:HIDDEN], into[HIDDEN : 2 * HIDDEN], into[2 * HIDDEN :]
     for s in range(steps_ - 1, -1, -1):
         before, z, r, again, c = kept[s]
@@ -493,10 +502,10 @@ def gradients(net: Network, seen: np.ndarray, target: np.ndarray, h: np.ndarray)
         carry = net.turn @ turned
         carry += d
         carry[:, begun[s]] = 0
-        grad.turn += before @ turned.T
+        slope_turn += turned @ before.T
         slope_in += into @ came_in[s]
         np.matmul(net.into, into, out=rows[:, s])
-    grad.into, grad.bias = slope_in[:, :-1].T, slope_in[:, -1]
+    grad.into, grad.bias, grad.turn = slope_in[:, :-1].T, slope_in[:, -1], slope_turn.T
     # inputs repeat: their gradients are added up by token
     for column, row in zip(grad.embed.T, rows.reshape(EMBEDDING, -1)):
         column[:] = np.bincount(token_in, row, len(column))

@@ -72,17 +72,17 @@ def _cuts(data, offsets, separator, block):
     """Block ends that split no word."""
     at, n = 0, len(data)
     while at < n:
-        end = min(n, at + block)
+        end, look = min(n, at + block), min(block, 256)
         while end < n:
             # the next separator or text start at or after end
-            ahead = np.flatnonzero(separator[data[end : end + block]])
+            ahead = np.flatnonzero(separator[data[end : end + look]])
             starts = np.searchsorted(offsets, end)
             start = int(offsets[starts]) if starts < len(offsets) else n
-            found = end + int(ahead[0]) if len(ahead) else min(n, end + block)
+            found = end + int(ahead[0]) if len(ahead) else min(n, end + look)
             if start <= found:
                 end = start
                 break
-            end = found
+            end, look = found, min(block, 2 * look)
             if len(ahead):
                 break
         yield at, end
