@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytide.llm import decontaminate, langid, near_dedup, packing, secrets
+from daytide.llm.common import NO_ID
 from daytide.llm.queries import table, tokenizer_path
 from daytide.session import stage
 
+#: Rows without an id are dealt by their texts to so many parts, so that they do not meet in one task.
+NO_ID_PARTS = 1024
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network learnt; rejected ones go.
@@ -29,11 +33,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows of it go as well. A null id comes before all others; texts without words
     are like nothing else and stay, each id once.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    # by position of the frames, as the table may have any other columns
-    own, found = docs.alias("own"), kept.alias("found")
-    same = F.col("own.doc_id").eqNullSafe(F.col("found.doc_id"))
-    return own.join(found, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    every = F.sequence(F.lit(0), F.lit(NO_ID_PARTS - 1))
+    parts = F.when(F.col("id") == NO_ID, every).otherwise(F.array(F.lit(0)))
+    found = kept.distinct().select("id", F.explode(parts).alias("part"))
+    # columns by position, as the table may have any other ones
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    own_id = F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID))
+    part = F.pmod(F.xxhash64(at["text"]), F.lit(NO_ID_PARTS)).cast("int")
+    own = docs.toDF(*at.values()).withColumn("id", own_id)
+    own = own.withColumn("part", F.when(F.col("id") == NO_ID, part).otherwise(0))
+    # the join deals rows by columns that repeated rows share, so texts move once
+    stay = own.join(found, ["id", "part"], "left_semi")
+    stay = stay.dropDuplicates(["id", "part", at["doc_id"], at["text"]])
+    return stay.select(*at.values()).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

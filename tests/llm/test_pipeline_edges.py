@@ -56,6 +56,34 @@ def test_nulls_repeated_rows_and_clashing_columns(spark, rows, name):
         assert {901, 902, 904} <= set(ids) and ids.count(rows[0][0]) in (0, 3)
 
 
+def test_near_duplicates_move_texts_once(spark, rows, tmp_path):
+    """The join with the kept ids and the dropping of repeated rows share one exchange."""
+    table(spark, rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many ids
+    try:
+        plan = STAGES["near_duplicates"](spark, docs, SF)._jdf.queryExecution().executedPlan()
+        depth, moves = [], 0
+        for line in plan.toString().splitlines():
+            at = len(line) - len(line.lstrip(" :+-"))
+            depth = [d for d in depth if d[0] < at] + [(at, "Exchange hash" in line)]
+            if "docs" in line and "Scan" in line:
+                moves = sum(moved for _, moved in depth)
+        assert moves == 1, plan.toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id stay, each text once; they take the rows with one that are like them."""
+    texts = [" ".join(f"t{i}w{j}" for j in range(30)) for i in range(300)]
+    rows = [(None, t, "en", "s", 1) for t in texts] * 2
+    rows += [(i, t, "en", "s", 1) for i, t in enumerate(texts[:50])] + [(900, "other words", "en", "s", 1)] * 3
+    found = [(r.doc_id, r.text) for r in STAGES["near_duplicates"](spark, table(spark, rows), SF).collect()]
+    assert len(found) == 301 and set(found) == {(None, t) for t in texts} | {(900, "other words")}
+
+
 def test_packing_of_hostile_rows(spark, rows):
     got = STAGES["packing"](spark, table(spark, rows), SF).collect()
     pieces = [r for r in got if r.piece == 0]
